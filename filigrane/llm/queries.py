@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 from filigrane.llm.bpe import op8_bpe
+from filigrane.llm.jaccard_join import OP7_SQL, op7_jaccard_join
+from filigrane.llm.language_id import op4_language_id
+from filigrane.llm.metric_tree import OP5_SQL, op5_metric_tree_top_k
 from filigrane.llm.packing import op3_best_fit_packing
+from filigrane.llm.quality import op10_quality
+from filigrane.llm.syncmers import op2_syncmer_fingerprints
 from filigrane.llm.token_counts import op1_token_counts
+from filigrane.llm.warc import OP6_SQL, op6_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op3_best_fit_packing, op8_bpe)}
+    return {f.__name__: f for f in (
+        op1_token_counts, op2_syncmer_fingerprints, op3_best_fit_packing, op4_language_id, op5_metric_tree_top_k,
+        op6_warc, op7_jaccard_join, op8_bpe, op10_quality,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_metric_tree_top_k": OP5_SQL, "op6_warc": OP6_SQL, "op7_jaccard_join": OP7_SQL}

@@ -89,3 +89,38 @@ def column(table, name: str):
 
     c = table.column(name)
     return c.chunk(0) if c.num_chunks == 1 else pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type)
+
+
+def annotated(docs: DataFrame, make, added: str, keep: list[str] | None = None, least_bytes: int = 8_000_000) -> DataFrame:
+    """docs with columns that make(texts) returns for each Arrow array of texts.
+
+    added: their DDL, "name type, ..."; a column of docs that has such a name gives way.  keep: the columns of
+    docs to carry along, all if None.  make may be a function that returns such a function once a task.
+    """
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL(added)
+    carried = [c for c in (docs.columns if keep is None else keep) if c not in new.names]
+    text_at = len(carried)
+
+    def run(batches):
+        import pyarrow as pa
+
+        work = None
+        for part in gathered(batches, least_bytes):
+            work = work or make()
+            texts = part.column(text_at)
+            texts = texts.chunk(0) if texts.num_chunks == 1 else pa.concat_arrays(texts.chunks)
+            yield from pa.table([*(part.column(i) for i in range(text_at)), *work(texts)], names=[*carried, *new.names]).to_batches(max_chunksize=10_000)
+
+    schema = StructType([docs.schema[c] for c in carried] + list(new.fields))
+    source = docs.select(*(F.col(f"`{c}`") for c in carried), F.col("text").cast("string").alias("__text"))
+    return source.mapInArrow(run, schema)
+
+
+def remainder(doc_id, mod: int):
+    """crc32(doc_id as text) mod a number; null for a null doc_id."""
+    from pyspark.sql import functions as F
+
+    return F.crc32(doc_id.cast("string").cast("binary")) % mod
