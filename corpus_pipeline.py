@@ -1 +1,70 @@
-"""The corpus pipeline: stages from documents to packed sequences."""
+"""The corpus pipeline: from documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all that the stage before kept.
+run() writes each stage's rows to the folder that all executors share and reads them again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from filigrane.llm import jaccard_join, language_id, packing, quality
+from filigrane.llm.shared import prepare, staged, table
+
+#: A document goes if its quality score is below this.
+LEAST_QUALITY = 0.5
+#: A document goes if its language is unknown or its score is below this.
+LEAST_LANGUAGE = 0.3
+
+#: What SQL can't express here: the classifiers. tests/llm has brute-force versions of the stages.
+ORACLE_SQL = None
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject; it is fitted on labelled documents of its input."""
+    prepare(spark)
+    trees = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, trees, "__quality").filter(F.col("__quality") >= LEAST_QUALITY).drop("__quality")
+
+
+def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told; the languages are learned from its input."""
+    prepare(spark)
+    told = language_id.identified(docs, language_id.fit(docs), ("__lang", "__score"))
+    return told.filter((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= LEAST_LANGUAGE)).drop("__lang", "__score")
+
+
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that similarity links join, the one with the smallest doc_id.
+
+    Rows that repeat that doc_id stay once, the first by text; rows with a null doc_id have no group and stay.
+    """
+    prepare(spark)
+    groups = jaccard_join.similar_components(docs.select("doc_id", "text"))
+    first = staged(spark, groups.filter("doc_id = component_id").select("doc_id").distinct(), "kept")
+    kept = docs.join(first, "doc_id", "left_semi")
+    twice = staged(spark, kept.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "twice")
+    if not twice.isEmpty():
+        one = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text")))).alias("r"))
+        kept = kept.join(twice, "doc_id", "left_anti").unionByName(one.select("doc_id", "r.*"))
+    return kept.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents left, and their places in sequences."""
+    prepare(spark)
+    return packing.pack(docs.select("doc_id", "text"))
+
+
+STAGES = [("quality", keep_quality), ("language", keep_language), ("near duplicates", keep_one_of_similar), ("packing", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, from the documents table."""
+    out = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, out, sf_dir)
+        if k + 1 < len(STAGES):
+            out = staged(spark, out, f"stage{k}")
+    return out
