@@ -59,7 +59,7 @@ def money(text: Column) -> Column:
 def strip_fences(text: Column) -> Column:
     """Without a leading code fence (with or without `markdown`) and all from the last fence on."""
     opened = F.regexp_replace(F.trim(text), r"^```(?:markdown)?\s*", "")
-    closed = F.trim(F.regexp_replace(opened, r"(?s)```(?!.*```).*$", ""))
+    closed = F.regexp_replace(F.regexp_replace(opened, r"(?s)```(?!.*```).*$", ""), r"^\s+|\s+$", "")
     return F.when(F.trim(text).startswith("```"), closed).otherwise(text)
 
 

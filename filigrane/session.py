@@ -3,12 +3,16 @@
 from pyspark.sql import SparkSession
 
 
+def _name(key: str) -> str:
+    return key.replace("_", ".")
+
+
 def session(app: str = "filigrane", master: str | None = None, **conf: str) -> SparkSession:
     """UTC, adaptive execution with skew handling; conf: further settings with _ for the dots of their names."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
-    for k, v in (settings | {k.replace("_", "."): v for k, v in conf.items()}).items():
+    for k, v in (settings | {_name(k): v for k, v in conf.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()

@@ -22,12 +22,12 @@ def periods(payloads: DataFrame, kind: str) -> DataFrame:
 
     A payload may be the array itself or an envelope with it under `data`; text where a number is due is null.
     """
-    array = f"ARRAY<STRUCT<{SCHEMAS[kind].replace(' DOUBLE', ': STRING').replace(' STRING', ': STRING')}>>"
+    names = [x.split()[0] for x in SCHEMAS[kind].split(", ")]
+    array = f"ARRAY<STRUCT<{', '.join(f'{n}: STRING' for n in names)}>>"
     direct = F.from_json("payload", array)
     wrapped = F.from_json("payload", f"STRUCT<data: {array}>")["data"]
     is_array = F.ltrim(F.col("payload")).startswith("[")
     rows = payloads.filter("status = 'ok'").select("symbol", F.posexplode(F.when(is_array, direct).otherwise(wrapped)).alias("ordinal", "p"))
-    names = [x.split()[0] for x in SCHEMAS[kind].split(", ")]
     return rows.select("symbol", "ordinal", F.col("p.displayPeriod").alias("displayPeriod"), *(F.expr(f"try_cast(p.{n} AS DOUBLE)").alias(n) for n in names[1:]))
 
 

@@ -1,0 +1,47 @@
+"""Every query of the catalogue against its SQL in DuckDB."""
+
+import math
+
+import duckdb
+import pytest
+
+from filigrane.plans import catalogue
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+
+
+@pytest.fixture(scope="module")
+def duck(sf):
+    con = duckdb.connect()
+    for t in TABLES.split():
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    return con
+
+
+def plain(v):
+    if isinstance(v, float):
+        return "nan" if math.isnan(v) else round(v, 6) + 0.0
+    return tuple(map(plain, v)) if isinstance(v, list) else v
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.queries()))
+def test_query_equals_its_sql(spark, sf, duck, name):
+    got = catalogue.queries()[name](spark, sf)
+    columns = sorted(got.columns)
+    rows = sorted((tuple(plain(r[c]) for c in columns) for r in got.collect()), key=repr)
+    if name not in catalogue.oracle_sql():
+        assert rows
+        return
+    found = duck.execute(catalogue.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == columns
+    want = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall()), key=repr)
+    assert rows == want
+
+
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    found = entry.entry(spark)
+    assert found.columns == ["doc_id", "score", "rank"] and found.count() == 10
+    assert set(entry.oracle_sql()) <= set(entry.queries())
