@@ -22,20 +22,20 @@ SCALE = 256
 TOP = 5
 EVERY = 50
 #: Vectors of a shard, and of a leaf page.
-SHARD_ROWS = 4096
-PAGE_ROWS = 128
+SHARD_ROWS = 16_384
+PAGE_ROWS = 1024
 FAN_OUT = 16
 #: Queries that a task answers on a shard.
 BLOCK_ROWS = 2048
 
 
 class Node:
-    """A page: its routing vector, covering radius, distance to the parent's routing vector, smallest id, and content."""
+    """A page. An inner one: its children, and as arrays their routing vectors, covering radii and distances to its own.
 
-    __slots__ = ("centre", "radius", "to_parent", "least_id", "children", "rows")
+    A leaf: rows in order of their ids, and their vectors.
+    """
 
-    def __init__(self, centre, radius, to_parent, least_id, children, rows):
-        self.centre, self.radius, self.to_parent, self.least_id, self.children, self.rows = centre, radius, to_parent, least_id, children, rows
+    __slots__ = ("centre", "centres", "children", "least_id", "radii", "radius", "rows", "to_parent", "vectors")
 
 
 class MTree:
@@ -47,29 +47,36 @@ class MTree:
         norms = (real**2).sum(1)
         self.most = float(norms.max(initial=0.0))
         self.points = np.column_stack([real, np.sqrt(np.maximum(0.0, self.most - norms))])
-        self.root = self._build(np.arange(len(ids)), None) if len(ids) else None
+        self.root = self._build(np.arange(len(ids))) if len(ids) else None
 
-    def _build(self, rows: np.ndarray, parent: np.ndarray | None) -> Node:
+    def _build(self, rows: np.ndarray) -> Node:
         points = self.points[rows]
+        node = Node()
         centre = points.mean(0)
-        centre = points[((points - centre) ** 2).sum(1).argmin()]
+        node.centre = centre = points[((points - centre) ** 2).sum(1).argmin()]
         away = np.sqrt(((points - centre) ** 2).sum(1))
-        radius = float(away.max())
-        to_parent = 0.0 if parent is None else float(np.sqrt(((centre - parent) ** 2).sum()))
-        least = int(self.ids[rows].min())
-        if len(rows) <= PAGE_ROWS or radius == 0.0:
-            return Node(centre, radius, to_parent, least, None, rows[np.argsort(self.ids[rows], kind="stable")])
+        node.radius, node.least_id = float(away.max()), int(self.ids[rows].min())
+        node.children = None
+        if len(rows) <= PAGE_ROWS or node.radius == 0.0:
+            node.rows = rows[np.argsort(self.ids[rows], kind="stable")]
+            node.vectors = self.x[node.rows[:1]] if node.radius == 0.0 else self.x[node.rows]
+            return node
         picks = [int(away.argmax())]  # routing vectors far from each other
         near = np.full(len(rows), np.inf)
         owner = np.zeros(len(rows), np.int64)
-        for k in range(FAN_OUT):
+        fan = max(2, min(FAN_OUT, -(-len(rows) // PAGE_ROWS)))
+        for k in range(fan):
             d = ((points - points[picks[-1]]) ** 2).sum(1)
             closer = d < near
             near[closer], owner[closer] = d[closer], k
             if near.max() == 0.0:
                 break
             picks.append(int(near.argmax()))
-        return Node(centre, radius, to_parent, least, [self._build(rows[owner == k], centre) for k in np.unique(owner)], None)
+        node.children = [self._build(rows[owner == k]) for k in np.unique(owner)]
+        node.centres = np.array([c.centre for c in node.children])
+        node.radii = np.array([c.radius for c in node.children])
+        node.to_parent = np.sqrt(((node.centres - centre) ** 2).sum(1))
+        return node
 
     def search(self, q: np.ndarray, own: int | None, k: int) -> tuple[list[tuple], int]:
         """The k best (score, id), ties to the smaller id, without rows of id own; and how many pages were read."""
@@ -79,36 +86,38 @@ class MTree:
         base = float((query**2).sum()) + self.most
         slack = 1e-6 * (base + 1.0)
 
-        def upper(distance: float) -> float:  # the largest inner product at so small a distance
-            return (base - max(0.0, distance) ** 2) / 2 + slack
+        def upper(distance):  # the largest inner product at so small a distance
+            return (base - np.maximum(0.0, distance) ** 2) / 2 + slack
 
         best: list[tuple] = []  # heap of (score, -id)
         first = float(np.sqrt(((query - self.root.centre) ** 2).sum()))
-        queue, tie, pages = [(-upper(first - self.root.radius), 0, first, self.root)], 0, 0
+        queue, tie, pages = [(-float(upper(first - self.root.radius)), 0, first, self.root)], 0, 0
         while queue:
             bound, _, distance, node = heapq.heappop(queue)
-            if len(best) == k and -bound < best[0][0]:
+            full = len(best) == k
+            if full and -bound < best[0][0]:
                 break
             if node.children is not None:
-                for child in node.children:
-                    least = abs(distance - child.to_parent) - child.radius
-                    if len(best) == k and upper(least) < best[0][0]:
-                        continue  # ruled out by the stored distance
-                    d = float(np.sqrt(((query - child.centre) ** 2).sum()))
-                    b = upper(d - child.radius)
-                    if len(best) < k or b >= best[0][0]:
+                near = np.arange(len(node.children))
+                if full:  # those that the stored distances don't rule out
+                    near = np.flatnonzero(upper(np.abs(distance - node.to_parent) - node.radii) >= best[0][0])
+                d = np.sqrt(((node.centres[near] - query) ** 2).sum(1))
+                for i, at, b in zip(near.tolist(), d.tolist(), upper(d - node.radii[near]).tolist(), strict=True):
+                    if not full or b >= best[0][0]:
                         tie += 1
-                        heapq.heappush(queue, (-b, tie, d, child))
+                        heapq.heappush(queue, (-b, tie, at, node.children[i]))
+                continue
+            scores = node.vectors @ q
+            if full and (most := scores.max()) <= best[0][0] and (most < best[0][0] or node.least_id >= -best[0][1]):
+                pages += node.radius > 0.0
                 continue
-            if node.radius == 0.0 and len(best) == k and (exact := self._scores(node.rows[:1], q)[0]) <= best[0][0] and (exact < best[0][0] or node.least_id >= -best[0][1]):
-                continue  # equal vectors: none of them can enter
             pages += 1
-            rows = node.rows
-            scores = self._scores(rows[:1], q).repeat(len(rows)) if node.radius == 0.0 else self._scores(rows, q)
-            top = np.flatnonzero(scores >= best[0][0]) if len(best) == k else np.arange(len(rows))
+            if node.radius == 0.0:  # equal vectors share one score
+                scores = scores.repeat(len(node.rows))
+            top = np.flatnonzero(scores >= best[0][0]) if full else np.arange(len(node.rows))
             top = top[np.argsort(-scores[top], kind="stable")][: k + 1]  # rows are in order of their ids
             for i in top.tolist():
-                vec, score = int(self.ids[rows[i]]), int(scores[i])
+                vec, score = int(self.ids[node.rows[i]]), int(scores[i])
                 if vec == own:
                     continue
                 if len(best) < k:
@@ -117,9 +126,6 @@ class MTree:
                     heapq.heapreplace(best, (score, -vec))
         return [(s, -v) for s, v in sorted(best, reverse=True)], pages
 
-    def _scores(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
-        return self.x[rows] @ q
-
 
 def exact_matrix(vectors: list[np.ndarray], scale: int = SCALE) -> np.ndarray:
     """floor(scale * x) of float64 components, shorter vectors filled with zeros; Python integers if products could pass 2**53."""
