@@ -77,8 +77,11 @@ def gathered(batches, least_bytes: int):
         held.append(batch)
         size += batch.nbytes
         if size >= least_bytes:
-            yield pa.Table.from_batches(held).combine_chunks()
+            part = pa.Table.from_batches(held).combine_chunks()
             held, size = [], 0
+            yield part
+            del part, batch
+            pa.default_memory_pool().release_unused()
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
