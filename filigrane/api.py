@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigrane.functions import text as T
-from filigrane.operators import fusion, report, statements
+from filigrane.operators import fusion, report, sections, statements
+from filigrane.operators.prompts import prompt
 from filigrane.sources import filings, statements as payloads
 
 
 class Engine:
-    """Over listings (name, ticker), payload rows (symbol, endpoint, payload, status) and a folder of filings a symbol."""
+    """Over listings (name, ticker), payload rows (symbol, endpoint, payload, status), search text (symbol, web) and filings."""
 
-    def __init__(self, spark: SparkSession, listings: DataFrame | None = None, stored: DataFrame | None = None):
-        self.spark, self.listings, self.stored = spark, listings, stored
+    def __init__(self, spark: SparkSession, listings: DataFrame | None = None, stored: DataFrame | None = None, web: DataFrame | None = None):
+        self.spark, self.listings, self.stored, self.web = spark, listings, stored, web
 
     def search(self, query: str) -> DataFrame:
         return report.ticker_search(self.listings, "name", query)
@@ -53,26 +54,28 @@ class Engine:
         return report.balance_table(statements.balance_health(latest), "symbol", "displayPeriod")
 
     def section(self, name: str) -> DataFrame:
-        """symbol, markdown: heading and tables of a section, or the payloads of one that has no table."""
-        head = report.HEADINGS.get(report.ALIASES.get(name, name), "### Section Financial Analysis")
+        """symbol, markdown of a section (older names count too); an unknown one is the payloads of the full bundle."""
+        name = report.ALIASES.get(name, name)
+        if name in sections.SECTIONS:
+            return sections.wide(self.stored, self.web).select("symbol", sections.SECTIONS[name]().alias("markdown"))
+        head = report.HEADINGS.get(name, "### Section Financial Analysis")
         if name == "financial_results":
             both = self.income().withColumnRenamed("table", "q").join(self.income(annual=True).withColumnRenamed("table", "a"), "symbol", "full")
             body = F.concat_ws("\n\n", F.coalesce("q", F.lit(report.MISSING_ROW)), F.coalesce("a", F.lit(report.MISSING_ROW)))
             return both.select("symbol", F.concat(F.lit(head + "\n\n"), body).alias("markdown"))
         if name == "balance_sheet":
             return self.balance().select("symbol", F.concat(F.lit(head + "\n\n"), "table").alias("markdown"))
-        rows = self.context(name).withColumn("lines", F.when(F.col("status") == "ok", payloads.comment_lines(F.col("payload"), 10)))
-        shown = F.coalesce(F.nullif(T.bullets(F.coalesce("lines", F.array().cast("array<string>"))), F.lit("")), F.when(F.col("status") == "ok", F.col("payload")), F.col("status"))
-        body = rows.withColumn("__t", shown).groupBy("symbol").agg(report.ordered_text("ordinal", "__t", "\n\n").alias("body"))
+        rows = self.context(name).withColumn("__t", F.when(F.col("status") == "ok", F.col("payload")).otherwise(F.col("status")))
+        body = rows.groupBy("symbol").agg(report.ordered_text("ordinal", "__t", "\n\n").alias("body"))
         return body.select("symbol", F.concat(F.lit(head + "\n\n"), "body").alias("markdown"))
 
     def report(self, complete=None) -> DataFrame:
         """symbol, report, is_accurate for all symbols at once: sections are rows, so they run in parallel."""
-        sections = None
+        every = None
         for i, name in enumerate(report.SECTIONS):
-            one = self.section(name).withColumn("ordinal", F.lit(i))
-            sections = one if sections is None else sections.unionByName(one)
-        answers = report.completed(sections.withColumnRenamed("markdown", "context").withColumn("prompt", F.lit(report.TASK_MARKER)), complete)
+            one = self.section(name).withColumns({"ordinal": F.lit(i), "prompt": F.lit(f"{report.TASK_MARKER}\n{prompt(name)}")})
+            every = one if every is None else every.unionByName(one)
+        answers = report.completed(every.withColumnRenamed("markdown", "context"), complete)
         done = answers.select("symbol", "ordinal", T.strip_fences(F.col("answer")).alias("markdown"))
         return report.audited(report.assemble(done, F.concat(F.lit("# Financial Analyst Report: "), F.col("symbol")), "*end of report*"))
 

@@ -135,11 +135,6 @@ def audited(reports: DataFrame) -> DataFrame:
     return reports.withColumn("is_accurate", ok)
 
 
-def write_reports(reports: DataFrame, path: str) -> None:
-    """One folder a symbol, replaced as a whole: a reader never sees half a report."""
-    reports.select("symbol", F.col("report").alias("value")).write.mode("overwrite").partitionBy("symbol").option("lineSep", "\n").text(path)
-
-
 def merged(left: Column, right: Column) -> Column:
     """Two maps; the right one's values win."""
     keep = F.map_filter(left, lambda k, _: ~F.array_contains(F.map_keys(right), k))

@@ -2,11 +2,13 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from filigrane.api import Engine
 from filigrane.operators import report
-from filigrane.sources import dictionary, filings, statements
+from filigrane.operators.prompts import prompt
+from filigrane.sources import dictionary, filings, sinks, statements
 from filigrane.sources.endpoints import ENDPOINTS, EndpointSource
 from filigrane.streaming import ingest
 
@@ -18,8 +20,8 @@ def payload_rows():
     solvency = {"solvency_ratios": {"is_debt_safe": True}, "_comments": {"a": "line [one]", "b": "line [one]", "c": 3, "d": "two"}}
     return [
         ("ab", "quarterly_income", json.dumps(quarters), None), ("ab", "annual_income", json.dumps({"data": years}), "ok"), ("ab", "balance_sheet", json.dumps(balance), None), ("ab", "solvency", json.dumps(solvency), None),
-        ("ab", "cagr", None, "unavailable: HTTPError"), ("ab", "dupont", json.dumps({"period": "TTM"}), None), ("ab", "stock_summary", json.dumps({"name": "AB", "x": 1}), None),
-        ("ab", "full_financial_bundle", json.dumps({"info": "old", "k": [1, 2]}), None), ("cd", "stock_summary", None, None),
+        ("ab", "cagr", None, "unavailable: HTTPError"), ("ab", "dupont", json.dumps({"period": "FY", "dupont_5_factor": {"asset_turnover_x": "n/a", "factor_check_roe_pct": 9}, "raw_variables": {"pat": 1, "revenue": 8, "ebit": True}}), None), ("ab", "stock_peers", json.dumps({"peers": [{"name": "AB"}, {"name": "Other"}, {"x": 1}, {"name": "Third"}]}), None), ("ab", "stock_summary", json.dumps({"name": "AB", "x": 1}), None),
+        ("ab", "full_financial_bundle", json.dumps({"info": "old", "k": [1, 2], "full": 1}), None), ("cd", "stock_summary", None, None),
     ]
 
 
@@ -49,6 +51,15 @@ def test_facade(spark, tmp_path):
     bundle = {r.key: r.value for r in engine.bundle("AB").collect()}
     assert bundle["ticker"] == "AB" and json.loads(bundle["info"])["name"] == "AB" and json.loads(bundle["k"]) == [1, 2] and engine.bundle("cd").count() == 0
     assert "line [one]" in engine.section("strengths_weaknesses").first().markdown
+    dupont = engine.section("dupont_analysis").filter("symbol = 'ab'").first().markdown
+    assert "| Net Profit Margin | PAT ÷ Revenue | 12.50% |" in dupont and "| Asset Turnover | Revenue ÷ Total Assets | N/A |" in dupont and "| Return on Equity (ROE) | PAT ÷ Net Worth | 9.00% |" in dupont
+    thesis = engine.section("strengths_weaknesses").filter("symbol = 'ab'").first().markdown
+    assert "1. Balance-sheet leverage is within safe limits" in thesis and "- two" in thesis
+    web = Engine(spark, None, stored(spark, tmp_path), spark.createDataFrame([("ab", "worth ₹ 5 Crore")], "symbol string, web string"))
+    assert "| Market Cap | ₹ 5 Crore |" in web.section("executive_summary").filter("symbol = 'ab'").first().markdown
+    peers = web.section("clients_market").filter("symbol = 'ab'").first().markdown
+    assert peers.endswith("  - Other\n  - Third") and "worth" in peers
+    assert "full" in web.section("unknown").first().markdown
     done = engine.report().collect()
     own = next(r for r in done if r.symbol == "ab")
     assert not own.is_accurate and report.HEADINGS["financial_results"] in own.report and own.report.endswith("*end of report*\n")
@@ -86,7 +97,17 @@ def test_stream_takes_new_files_once(spark, tmp_path):
     assert spark.read.parquet(out).count() == 4
 
 
-def test_written_reports(spark, tmp_path):
+def test_sinks(spark, tmp_path):
     path = str(tmp_path / "reports")
-    report.write_reports(spark.createDataFrame([("A", "one\ntwo\n"), ("B", "b")], "symbol string, report string"), path)
-    assert {r.symbol for r in spark.read.text(path, wholetext=True).collect()} == {"A", "B"}
+    sinks.write_reports(spark.createDataFrame([("A", "one\ntwo\n"), ("B", "b")], "symbol string, report string"), path)
+    sinks.write_reports(spark.createDataFrame([("B", "new")], "symbol string, report string"), path)
+    assert sinks.cached_report(spark, path, "b").strip() == "new" and sinks.cached_report(spark, path, "A").strip() == "one\ntwo" and sinks.cached_report(spark, path, "zz") is None
+    symbols = str(tmp_path / "symbols")
+    sinks.register_symbol(spark, symbols, " AB ")
+    assert spark.read.parquet(symbols).first().symbol == "ab"
+    where = sinks.save_upload(spark, str(tmp_path / "landing"), "AB", "presentation.pdf", b"%PDF")
+    assert where.endswith("/ab/presentation.pdf")
+    for call in (lambda: sinks.register_symbol(spark, symbols, None), lambda: sinks.save_upload(spark, path, "a", "x", b""), lambda: prompt("nothing")):
+        with pytest.raises(ValueError):
+            call()
+    assert "SECTION" in prompt("critique", section="SECTION", context="c") and "Answer" in prompt("critique")
