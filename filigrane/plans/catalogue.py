@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from filigrane.functions import finance as X
 from filigrane.functions import text as T
-from filigrane.operators import bm25, chunking, fusion, report, statements, vector
+from filigrane.operators import bm25, chunking, fusion, report, sections, statements, vector
 from filigrane.sources import dictionary, statements as payloads
 from filigrane.sources.tables import table
 from filigrane.streaming import ingest
@@ -569,6 +569,80 @@ def balance_table(spark, sf):
     return report.balance_table(latest, "nation", "period")
 
 
+# ---- sections from stored payloads
+
+
+def stored(rows: DataFrame, endpoint: str, payload) -> DataFrame:
+    return rows.select(F.col("symbol"), F.lit(endpoint).alias("endpoint"), payload.alias("payload"), F.lit("ok").alias("status"))
+
+
+NL = " || chr(10) || "
+
+
+def show(value: str, unit: str) -> str:
+    return f"coalesce({PLAIN.format(value)} || '{unit}', 'N/A')"
+
+
+DUPONT_ROWS = [
+    ("Net Profit Margin", "PAT ÷ Revenue", show("pat / nullif(revenue, 0) * 100", "%")), ("Asset Turnover", "Revenue ÷ Total Assets", show("revenue / nullif(assets, 0)", "x")),
+    ("Financial Leverage", "Total Assets ÷ Net Worth", show("assets / nullif(equity, 0)", "x")), ("Return on Equity (ROE)", "PAT ÷ Net Worth", show("pat / nullif(equity, 0) * 100", "%")),
+    ("ROCE", "EBIT ÷ (Equity + Debt)", show("ebit / nullif(equity + debt, 0) * 100", "%")),
+]
+
+
+@query(
+    f"SELECT nation || '-' || period AS symbol, '{report.HEADINGS['dupont_analysis']}'{NL}''{NL}'Period: ' || period{NL}''{NL}'| Driver | Formula | Value |'{NL}'| :--- | :--- | :--- |'{NL}"
+    + NL.join(f"'| {a} | {b} | ' || {v} || ' |'" for a, b, v in DUPONT_ROWS)
+    + f" AS markdown FROM ({YEARLY_SQL})"
+)
+def section_dupont(spark, sf):
+    rows = statements.dupont(yearly(spark, sf)).withColumn("symbol", F.concat_ws("-", "nation", "period"))
+    factors = F.struct(F.col("asset_turnover").alias("asset_turnover_x"), F.col("equity_multiplier").alias("equity_multiplier_x"), F.col("roe_pct").alias("return_on_equity_roe_pct"))
+    payload = F.to_json(F.struct("period", factors.alias("dupont_5_factor"), F.struct("pat", "revenue", "ebit", "equity", "debt").alias("raw_variables")))
+    return sections.wide(stored(rows, "dupont", payload)).select("symbol", sections.dupont().alias("markdown"))
+
+
+@query(
+    f"""SELECT symbol, '{report.HEADINGS['clients_market']}'{NL}''{NL}'#### Enterprise Footprint & Market Standing'{NL}'No live market-footprint headlines available for ' || upper(symbol) || '; see the filing passages below.'
+      || CASE WHEN len(names) > 0 THEN chr(10) || chr(10) || '- **Listed Peer Companies (Live)**:' || chr(10) || array_to_string(list_transform(names, lambda n: '  - ' || n), chr(10)) ELSE '' END AS markdown
+      FROM (SELECT 's' || s_nationkey AS symbol, list(s_name ORDER BY s_suppkey)[1:6] AS names FROM supplier GROUP BY s_nationkey)"""
+)
+def section_clients(spark, sf):
+    names = F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name"))), lambda x: F.struct(x["s_name"].alias("name")))
+    rows = table(spark, sf, "supplier").groupBy(F.concat(F.lit("s"), F.col("s_nationkey").cast("string")).alias("symbol")).agg(names.alias("peers"))
+    return sections.wide(stored(rows, "stock_peers", F.to_json(F.struct("peers")))).select("symbol", sections.clients().alias("markdown"))
+
+
+THESIS = "nullif(array_to_string(list_transform(list_filter([{}], lambda x: x IS NOT NULL), lambda x, i: i || '. ' || x), chr(10)), '')"
+
+
+@query(
+    f"""SELECT symbol, '{report.HEADINGS['strengths_weaknesses']}'{NL}''{NL}'#### Quantitative Strengths'{NL}coalesce({THESIS.format(', '.join(f"CASE WHEN f{i} THEN '{f[2]}' END" for i, f in enumerate(statements.FLAGS)))}, 'No strength could be computed.')
+      {NL}''{NL}'#### Quantitative Watch-Points'{NL}coalesce({THESIS.format(', '.join(f"CASE WHEN NOT f{i} THEN '{f[3]}' END" for i, f in enumerate(statements.FLAGS)))}, 'No computed ratio raises a flag.')
+      || chr(10) || chr(10) || '#### Supporting Computed Metrics (TTM)' || chr(10) || '- Debt ' || symbol AS markdown
+      FROM (SELECT CAST(c_custkey AS VARCHAR) AS symbol, c_acctbal > 0 AS f0, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 4 = 0 END AS f1, CAST(NULL AS BOOLEAN) AS f2 FROM customer)"""
+)
+def section_thesis(spark, sf):
+    rows = table(spark, sf, "customer").withColumn("symbol", F.col("c_custkey").cast("string"))
+    solvency = F.to_json(F.struct(F.struct((F.col("c_acctbal") > 0).alias("is_debt_safe")).alias("solvency_ratios"), F.struct(F.concat(F.lit("Debt "), F.col("symbol")).alias("x")).alias("_comments")))
+    healthy = F.when(F.col("c_custkey") % 2 == 0, F.to_json(F.struct(F.struct((F.col("c_custkey") % 4 == 0).alias("is_liquidity_healthy")).alias("liquidity_ratios"))))
+    both = stored(rows, "solvency", solvency).unionByName(stored(rows, "liquidity", healthy))
+    return sections.wide(both).select("symbol", sections.thesis().alias("markdown"))
+
+
+@query(
+    f"""SELECT symbol, '{report.HEADINGS['company_overview']}'{NL}''{NL}'#### Corporate Overview'{NL}'About ' || p_name{NL}''{NL}'| Profile Field | Details |'{NL}'| :--- | :--- |'{NL}'| Company Name | ' || p_name || ' |'{NL}'| Symbol | ' || upper(symbol) || ' |'{NL}
+      '| Sector | ' || p_brand || ' |'{NL}'| Industry | N/A |'{NL}'| Market Cap | ' || CASE WHEN p_partkey % 3 = 0 THEN '₹' || p_size || ' Cr' WHEN p_partkey % 3 = 1 THEN '$ ' || p_size || ' Billion' ELSE 'N/A' END || ' |' AS markdown
+      FROM (SELECT *, 'p' || p_partkey AS symbol FROM part)"""
+)
+def section_overview(spark, sf):
+    rows = table(spark, sf, "part").withColumn("symbol", F.concat(F.lit("p"), F.col("p_partkey").cast("string")))
+    value = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("₹"), F.col("p_size").cast("string"), F.lit(" Cr")))
+    payload = F.to_json(F.struct(F.col("p_name").alias("name"), F.concat(F.lit("About "), "p_name").alias("description"), F.col("p_brand").alias("sector"), value.alias("marketCap")))
+    web = rows.filter("p_partkey % 3 = 1").select("symbol", F.concat(F.lit("now worth $ "), F.col("p_size").cast("string"), F.lit(" Billion or so")).alias("web"))
+    return sections.wide(stored(rows, "stock_summary", payload), web).select("symbol", sections.overview().alias("markdown"))
+
+
 def queries() -> dict:
     return {name: f for name, (f, _) in QUERIES.items()}
 
