@@ -231,11 +231,11 @@ def hybrid_search(spark, sf):
 
 
 def statement(spark: SparkSession, sf: str, unit: str) -> DataFrame:
-    """nation, period, revenue, tax, cost by quarter or year; money to the cent, so that all that follows is exact."""
+    """nation, period, revenue, tax, cost by quarter or year; whole cents are summed, so that no order of rows shows."""
     li = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     rows = li.join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    cents = lambda c: F.round(F.sum(c), 2)
+    cents = lambda c: F.sum(F.floor(c * 100 + 0.5)).cast("double") / 100
     period = F.date_format(F.date_trunc(unit, "o_orderdate"), "yyyy-MM")
     return rows.groupBy(F.col("c_nationkey").alias("nation"), period.alias("period")).agg(
         cents(net).alias("revenue"), cents(net * F.col("l_tax")).alias("tax"), cents(F.col("l_quantity") * F.col("p_retailprice")).alias("cost")
@@ -243,8 +243,9 @@ def statement(spark: SparkSession, sf: str, unit: str) -> DataFrame:
 
 
 def statement_sql(unit: str) -> str:
-    return f"""SELECT c_nationkey AS nation, strftime(date_trunc('{unit}', o_orderdate), '%Y-%m') AS period, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue,
-      round(sum(l_extendedprice * (1 - l_discount) * l_tax), 2) AS tax, round(sum(l_quantity * p_retailprice), 2) AS cost
+    cents = "CAST(sum(CAST(floor({} * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100"
+    return f"""SELECT c_nationkey AS nation, strftime(date_trunc('{unit}', o_orderdate), '%Y-%m') AS period, {cents.format('l_extendedprice * (1 - l_discount)')} AS revenue,
+      {cents.format('l_extendedprice * (1 - l_discount) * l_tax')} AS tax, {cents.format('l_quantity * p_retailprice')} AS cost
       FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL"""
 
 
