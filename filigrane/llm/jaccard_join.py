@@ -40,6 +40,9 @@ BATCH_BYTES = 12_000_000
 _LOW = bytes([32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256)])
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SALTS = 64
+#: Kinds of rows of the lists: a subset of a small set, a light shingle, a heavy one, and one row about a set:
+#: where its prefix ends in the order, and how many heavy shingles are in it.
+_SUBSET, _LIGHT, _HEAVY, _ABOUT = -1, 0, 1, 2
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -309,7 +312,7 @@ def similar_components(docs: DataFrame, similar: int = SIMILAR, heavy: int = HEA
                     own = [hash_of(np.array([c, *sub], np.uint64)) for c in overlap_sizes(n, similar) for sub in combinations(s.tolist(), c)]
                     keys.append(np.array(own, np.int64))
                     places.append(np.zeros(len(own), np.int64))
-                    loads.append(np.full(len(own), -1, np.int64))
+                    loads.append(np.full(len(own), _SUBSET, np.int64))
                     nodes.append(np.full(len(own), node))
                     lens.append(np.full(len(own), n))
                 if 100 * n < similar * (small + 1):
@@ -318,6 +321,12 @@ def similar_components(docs: DataFrame, similar: int = SIMILAR, heavy: int = HEA
                 if w.any():
                     order = np.argsort(w, kind="stable")[:p]
                     s, w = s[order], w[order]
+                last, weight_of_last = int(s[p - 1]), int(w[p - 1])
+                keys.append(np.array([last >> 2 if not weight_of_last else (1 << 62) + (min(weight_of_last, (1 << 29) - 1) << 32) + (last >> 32)]))
+                places.append(np.array([np.count_nonzero(w[:p])]))
+                loads.append(np.array([_ABOUT]))
+                nodes.append(np.array([node]))
+                lens.append(np.array([n]))
                 keys.append(s[:p].view(np.int64))
                 places.append(np.arange(1, p + 1))
                 loads.append((w[:p] > 0).astype(np.int64))
@@ -339,14 +348,26 @@ def similar_components(docs: DataFrame, similar: int = SIMILAR, heavy: int = HEA
     met = lists.repartition("key", "salt").withColumns({"low": F.min("node").over(inside), "high": F.max("node").over(inside)})
     met = staged(spark, met.filter("load <> 0 or low <> high").drop("high"), "lists")
 
-    stars = met.filter("load <> 0")
+    stars = met.filter(F.col("load").isin(_SUBSET, _HEAVY))
     heads = staged(spark, stars.groupBy("key").agg(F.min("low").alias("head"), F.max("low").alias("last")).filter("head <> last").drop("last"), "heads")
     across = stars.select("key", "low").distinct().join(heads, "key").select(F.col("low").alias("u"), F.col("head").alias("v"))
-    light = staged(spark, met.filter("load = 0").select("key", "node", "n", "place").dropDuplicates(["key", "node"]), "light")
+    light = staged(spark, met.filter(F.col("load") == _LIGHT).select("key", "node", "n", "place").dropDuplicates(["key", "node"]), "light")
     a, b = light.alias("a"), light.alias("b")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (100 * F.least("a.n", "b.n") >= similar * F.greatest("a.n", "b.n")))
     pairs = pairs.groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v")).agg(F.count("*").alias("c"), F.max("a.place").alias("i"), F.max("b.place").alias("j"), F.first("a.n").alias("n"), F.first("b.n").alias("m"))
-    pairs = pairs.filter((100 + similar) * (F.col("c") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))) >= similar * (F.col("n") + F.col("m")))
+
+    def may_reach(overlap):
+        return (100 + similar) * overlap >= similar * (F.col("n") + F.col("m"))
+
+    # all shared shingles up to the last one met are known, and all light ones up to where the first prefix ends
+    pairs = staged(spark, pairs.filter(may_reach(F.col("c") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")))), "pairs")
+    about = met.filter(F.col("load") == _ABOUT).groupBy("node").agg(F.min("key").alias("end"), F.max("place").alias("heavy"))
+    about = staged(spark, about, "about")
+    pairs = pairs.join(about.select(F.col("node").alias("u"), F.col("end").alias("end_u"), F.col("heavy").alias("heavy_u")), "u")
+    pairs = pairs.join(about.select(F.col("node").alias("v"), F.col("end").alias("end_v"), F.col("heavy").alias("heavy_v")), "v")
+    beyond = lambda n: F.ceil(F.col(n) * F.lit(similar) / 100) - 1  # noqa: E731  shingles after the prefix
+    met_most = F.col("c") + F.least("heavy_u", "heavy_v")
+    pairs = pairs.filter(((F.col("end_u") <= F.col("end_v")) & may_reach(met_most + beyond("n"))) | ((F.col("end_v") <= F.col("end_u")) & may_reach(met_most + beyond("m"))))
     candidates = stars.select(F.col("node").alias("u"), F.col("low").alias("v")).unionByName(across).unionByName(pairs.select("u", "v"))
     groups = components(spark, candidates)
 
