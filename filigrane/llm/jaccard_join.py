@@ -35,8 +35,11 @@ HEAVY = 32
 MOST_HEAVY = 1 << 20
 #: Subsets a set may enumerate for each shingle it would put into inverted lists.
 SUBSET_COST = 5
-BLOCK_SHINGLES = 1_000_000
-BATCH_BYTES = 12_000_000
+#: Shingles of a cell that are compared in one go; a larger component is cut into blocks of so many.
+BLOCK_SHINGLES = 100_000
+#: Bytes of the texts whose sets are made together, and shingles that a task counts before it passes the counts on.
+BATCH_BYTES = 5_000_000
+COUNTED = 2_000_000
 _LOW = bytes([32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256)])
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SALTS = 64
@@ -250,7 +253,7 @@ def similar_components(docs: DataFrame, similar: int = SIMILAR, heavy: int = HEA
             n = len(nodes)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), column(part, "doc_id"), pa.array(sizes), pa.array(nodes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
             row += n
-            if sum(c.nbytes for c in counted) > 64 << 20:
+            if sum(map(len, counted)) > COUNTED:
                 yield from sketch(counted)
         yield from sketch(counted)
 
