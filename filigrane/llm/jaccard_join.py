@@ -36,7 +36,9 @@ MOST_HEAVY = 1 << 20
 #: Subsets a set may enumerate for each shingle it would put into inverted lists.
 SUBSET_COST = 5
 #: Shingles of a cell that are compared in one go; a larger component is cut into blocks of so many.
-BLOCK_SHINGLES = 100_000
+BLOCK_SHINGLES = 250_000
+#: Sets to compare up to which their numbers are broadcast to the texts (about 100 bytes each); beyond, both are shuffled.
+BROADCAST_ROWS = 200_000
 #: Bytes of the texts whose sets are made together, and shingles that a task counts before it passes the counts on.
 BATCH_BYTES = 5_000_000
 COUNTED = 2_000_000
@@ -377,29 +379,37 @@ def similar_components(docs: DataFrame, similar: int = SIMILAR, heavy: int = HEA
     # each component's sets in one cell, or in cells of two blocks each
     one = rows.filter("doc_id is not null and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     members = staged(spark, groups.join(one, "node").select("node", "doc_id", "n", F.col("label").alias("group")), "members")
-    masses = members.groupBy("group").agg(F.ceil(F.sum("n") / F.lit(block_shingles)).alias("blocks"))
-    total = masses.agg(F.sum("blocks").alias("b")).first()["b"] or 0
-    mass = members.agg(F.sum("n").alias("n")).first()["n"] or 0
-    bags = max(1, -(-mass // block_shingles))
-    members = members.join(staged(spark, masses, "masses"), "group") if total else members.withColumn("blocks", F.lit(1).cast("long"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    members = members.withColumn("block", block).withColumn("other", other)
-    members = members.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(bags))).otherwise(-1 - F.pmod(F.xxhash64("group", "lo", "hi"), F.lit(1 << 50)))
-    members = staged(spark, members.withColumn("cell", cell).select("node", "doc_id", "group", "block", "lo", "hi", "cell"), "cells")
-    wanted = members.select("doc_id").distinct()
+    masses = staged(spark, members.groupBy("group").agg(F.ceil(F.sum("n") / F.lit(block_shingles)).alias("blocks")), "masses")
+    found_in = members.agg(F.sum("n").alias("n"), F.count("*").alias("members")).first()
+    bags = max(1, -(-(found_in["n"] or 0) // block_shingles))
+    members = members.join(masses, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+
+    def cell(other):
+        lo, hi = F.least("block", other), F.greatest("block", other)
+        own = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(bags))).otherwise(-1 - F.pmod(F.xxhash64("group", lo, hi), F.lit(1 << 50)))
+        return F.struct(own.alias("cell"), lo.alias("lo"), hi.alias("hi"))
+
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), cell)
+    members = staged(spark, members.select("doc_id", "node", "group", "block", cells.alias("cells")), "cells")
+    if found_in["members"] <= BROADCAST_ROWS:
+        members = F.broadcast(members)
 
     def sets_of(batches):
         import pyarrow as pa
 
         for part in gathered(batches, BATCH_BYTES):
             flat, sizes = shingle_sets(column(part, "text"))
-            sets = np.split(flat, np.cumsum(sizes)[:-1])
-            keep = [s for s in sets if s.size]
-            yield from pa.table({"node": pa.array([set_id(s) for s in keep], pa.int64()), "shingles": pa.array([s.tobytes() for s in keep], pa.binary())}).to_batches(max_chunksize=2000)
-
-    sets = known.join(staged(spark, wanted, "wanted"), "doc_id").mapInArrow(sets_of, "node long, shingles binary")
+            out: list[list] = [[] for _ in range(7)]
+            rows = zip(*(column(part, c).to_pylist() for c in ("node", "group", "block", "cells")), np.split(flat, np.cumsum(sizes)[:-1]), strict=True)
+            for node, group, block, own, s in rows:
+                if s.size and set_id(s) == node:
+                    for c in own:
+                        for column_of, v in zip(out, (c["cell"], group, c["lo"], c["hi"], block == c["lo"], node, s.tobytes()), strict=True):
+                            column_of.append(v)
+            kinds = [pa.int64()] * 4 + [pa.bool_(), pa.int64(), pa.binary()]
+            yield from pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["cell", "group", "lo", "hi", "first", "node", "shingles"]).to_batches(max_chunksize=2000)
+
+    sets = known.join(members, "doc_id").select("node", "group", "block", "cells", "text").mapInArrow(sets_of, "cell long, group long, lo long, hi long, first boolean, node long, shingles binary")
 
     def compare(key, part):
         import pandas as pd
@@ -407,10 +417,10 @@ def similar_components(docs: DataFrame, similar: int = SIMILAR, heavy: int = HEA
         part = part.drop_duplicates(["node", "group", "lo", "hi"])
         groups = []
         for (_, lo, hi), own in part.groupby(["group", "lo", "hi"], sort=False):
-            groups.append((own["node"].tolist(), [np.frombuffer(x, np.uint64) for x in own["shingles"]], None if lo == hi else (own["block"] == lo).tolist()))
+            groups.append((own["node"].tolist(), [np.frombuffer(x, np.uint64) for x in own["shingles"]], None if lo == hi else own["first"].tolist()))
         return pd.DataFrame(link_forest(groups, similar), columns=["u", "v"])
 
-    links = members.drop("doc_id").join(sets, "node").groupBy("cell").applyInPandas(compare, "u long, v long")
+    links = sets.groupBy("cell").applyInPandas(compare, "u long, v long")
     joined = components(spark, links)
 
     labelled = rows.join(joined, "node", "left").select("row", "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
