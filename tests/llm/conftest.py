@@ -18,6 +18,7 @@ def spark():
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.codegen.wholeStage", "false")  # tiny tables: compiling costs more than it gives
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
