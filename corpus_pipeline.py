@@ -42,8 +42,11 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """
     prepare(spark)
     groups = jaccard_join.similar_components(docs.select("doc_id", "text"))
-    first = staged(spark, groups.filter("doc_id = component_id").select("doc_id").distinct(), "kept")
-    kept = docs.join(first, "doc_id", "left_semi")
+    gone = groups.groupBy("doc_id").agg(F.max("component_id").alias("first")).filter("first < doc_id").select("doc_id")
+    gone = staged(spark, gone, "gone")
+    if gone.count() <= jaccard_join.BROADCAST_ROWS:  # else both sides are shuffled
+        gone = F.broadcast(gone)
+    kept = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti")
     twice = staged(spark, kept.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "twice")
     if not twice.isEmpty():
         one = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text")))).alias("r"))
