@@ -115,11 +115,11 @@ class MTree:
             if node.radius == 0.0:  # equal vectors share one score
                 scores = scores.repeat(len(node.rows))
             top = np.flatnonzero(scores >= best[0][0]) if full else np.arange(len(node.rows))
-            top = top[np.argsort(-scores[top], kind="stable")][: k + 1]  # rows are in order of their ids
+            if own is not None:  # before the cut, as an id may have any number of rows
+                top = top[self.ids[node.rows[top]] != own]
+            top = top[np.argsort(-scores[top], kind="stable")][:k]  # rows are in order of their ids
             for i in top.tolist():
                 vec, score = int(self.ids[node.rows[i]]), int(scores[i])
-                if vec == own:
-                    continue
                 if len(best) < k:
                     heapq.heappush(best, (score, -vec))
                 elif (score, -vec) > best[0]:

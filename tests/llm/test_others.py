@@ -115,6 +115,23 @@ def test_metric_tree(spark):
     assert big.search(big.x[0], 0, 1)[0] == [(int(256e15) ** 2 + 256 * 512, 1)]
 
 
+def test_metric_tree_leaves_out_all_own_rows(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 8))
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist())] * 2 + [(50, x[50].tolist())] * 7 + [(7, x[7].tolist())] * 3 + [(100, x[1].tolist()), (100, x[2].tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    use = [(i, np.floor(256 * np.array(v, np.float32).astype(float))) for i, v in rows]
+    for shard_rows in (1000, 20):
+        got = sorted((r.query_id, r["rank"], -r.score, r.vec_id) for r in metric_tree.nearest(table, table.filter("vec_id % 50 = 0"), shard_rows=shard_rows).collect())
+        want = []
+        for q in (0, 50, 100):  # a query's distinct vectors against every row of other ids
+            asked = {tuple(v) for i, v in use if i == q}
+            best = sorted((-int(np.dot(a, v)), i) for a in asked for i, v in use if i != q)[:5]
+            want += [(q, n, s, i) for n, (s, i) in enumerate(best, 1)]
+        assert got == want
+
+
 def test_metric_tree_prunes():
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(40, 4)) * 5
