@@ -198,6 +198,49 @@ def test_html_text(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+ARTICLE_HTML = "<article><p>text</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<html><head><title>t</title><body>" + ARTICLE_HTML, "text"),
+        ("<head><meta charset=x><script>s</script><p>a<p>b", "a\nb"),
+        ("<head><title>t</title><noscript><p>no</p></noscript></head>a", "a"),
+        ('<div class="wrap has-sidebar"><nav>no</nav>' + ARTICLE_HTML + "</div>", "text"),
+        ('<div class="content no-sidebar">a<div class="elementor-widget">b</div></div>', "a\nb"),
+        ('<p>a<div class="cookie-banner">no</div><div id="site-footer">no</div><div class="left sidebar">no', "a"),
+        ("<form><nav>no</nav>" + ARTICLE_HTML + "<p>no</form>", "text"),
+        ("<a>skip</a><form><nav>no</nav><p>whole page of text</p></form>", "skip\nwhole page of text"),
+        ("<p>text of the page</p><form>no</form>", "text of the page"),
+        ('<div class="sidebar widget">no' + ARTICLE_HTML + "</div>", "text"),
+        ("<div class=sidebar>no<main>text</main></div>", "text"),
+        (ARTICLE_HTML + "<aside><article>no</article></aside>", "text"),
+        ("<p>text<aside><article>more</article></aside>", "text\nmore"),
+        ("<div><p class=notice>no<p>a</div>b", "a\nb"),
+        ("<ul><li class=menu>no<li>a</ul>b", "a\nb"),
+        ("<dl><dt class=alert>no<dd>a</dl>", "a"),
+        ("<section><div class=notice>no</section>" + ARTICLE_HTML, "text"),
+        ("<table><tr><td><div class=ad>no<td>a<tr><td>b</table>c", "a\nb\nc"),
+        ("<div class=ad>no<div>no</div><p>no</div>a", "a"),
+        ("<div><span class=ad>no<div></span>a</div>b</div>", "a\nb"),
+        ("<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b</p>", "a x=1 b"),
+        ("<div><svg><path><p>a</p></div>", "a"),
+        ("<p>a<svg><text>no</text></svg>b<noscript><p>no</p></noscript>c</p>", "abc"),
+    ],
+)
+def test_main_text_of_markup(page, want):
+    blocks = html_text.blocks_of(page)
+    best = max((p for p, _ in blocks), default=0)
+    assert "\n".join(t for p, t in blocks if p == max(best, 0)) == want
+
+
+def test_deep_markup_takes_linear_time():
+    n = 50_000
+    blocks = html_text.blocks_of("<div class=ad>" + "<i>" * n + "<b>" * n + "</i>" * n + "</div><p>a" + "<div>" * n + "b")
+    assert [t for p, t in blocks if p == 0] == ["a", "b"]
+
+
 def test_suffix_groups():
     rng = np.random.default_rng(0)
     streams = [rng.integers(0, 2, rng.integers(0, 40)).astype(np.uint64) for _ in range(12)]
