@@ -235,6 +235,20 @@ def test_main_text_of_markup(page, want):
     assert "\n".join(t for p, t in blocks if p == max(best, 0)) == want
 
 
+def test_html_text_keeps_copies(spark):
+    rng = random.Random(11)
+    notice, one, two, other = (" ".join(f"{k}{rng.randrange(10**6)}" for _ in range(n)) for k, n in (("n", 13), ("a", 40), ("b", 40), ("c", 30)))
+    near = two.replace(two.split()[20], "edited")
+    page = lambda *blocks: "<nav>menu</nav>" + "".join(f"<div>{b}</div>" for b in blocks)
+    rows = [(i, "http://c/", page(notice, one, two)) for i in range(11, 14)] + [(14, "https://c/print", page(notice, one, near)), (15, "http://c/15", page(notice, other))]
+    rows += [(i, "http://d/", page(notice, one)) for i in (21, 22)] + [(23, "http://d/23", page(notice, one + " more"))]
+    rows += [(31, "http://e/", page(one)), (31, "http://e/", page(one)), (None, "http://e/", page(one)), (33, "http://e/33", "<article>x</article>" + page(notice))]
+    pages = spark.createDataFrame([(*r, *EXTRA) for r in rows], f"page_id long, url string, html string, {CLASH}").repartition(4)
+    got = sorted(((r.page_id or 0, r.text) for r in html_text.main_text(pages).collect()))
+    want = [(i, f"{one}\n{two}") for i in range(11, 14)] + [(14, f"{one}\n{near}"), (15, other), (21, f"{notice}\n{one}"), (22, f"{notice}\n{one}"), (23, f"{notice}\n{one} more")]
+    assert got == [(0, one), *want, (31, one), (31, one), (33, "x")]
+
+
 def test_deep_markup_takes_linear_time():
     n = 50_000
     blocks = html_text.blocks_of("<div class=ad>" + "<i>" * n + "<b>" * n + "</i>" * n + "</div><p>a" + "<div>" * n + "b")
