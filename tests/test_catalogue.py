@@ -39,6 +39,17 @@ def test_query_equals_its_sql(spark, sf, duck, name):
     assert rows == want
 
 
+def test_fence_strip_of_texts_with_fences(spark, tmp_path):
+    texts = ["plain", "a ```py\nb\n``` c", "```\nx\n```", "```markdown\ny", "z\n```", "one ` tick", "````", "a\n\n```\n```\n\n", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.answer for r in catalogue.queries()["fence_strip"](spark, str(tmp_path)).collect()}
+    want = {}
+    for i, t in enumerate(texts):  # the reference's rule, word for word
+        answer = f"```markdown\n{t}\n```\n".strip()
+        want[i] = answer.split("```markdown", 1)[1].rsplit("```", 1)[0].strip()
+    assert got == want
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
