@@ -21,11 +21,12 @@ SAMPLE_DOCS = 300
 DOC_CHARS = 1_000
 #: Characters that one lane parses; a phrase ends at a segment's end.
 SEGMENT = 256
-#: Letters that have a column of their own.
+#: Letters of a language that have a column of their own, and columns that its other letters share.
 LETTERS = 60
+SHARED = 64
 #: Differences of bits a character become odds by this power.
 SHARPNESS = 4.0
-_SPACE, _RARE = 0, 1
+_SPACE, _FOREIGN = 0, 1
 UNKNOWN = "und"
 
 
@@ -77,29 +78,36 @@ class Model:
 
     def __init__(self, samples: dict[str, list[str]]):
         self.names = sorted(samples)
-        joined = {k: " ".join(samples[k]).lower()[:SAMPLE_CHARS] for k in self.names}
-        seen: dict[str, int] = {}
-        for text in joined.values():
-            for c in text:
-                if c.isalpha():
-                    seen[c] = seen.get(c, 0) + 1
-        self.letters = sorted(sorted(seen, key=lambda c: (-seen[c], c))[:LETTERS])
-        self.texts = joined
+        self.texts = {k: " ".join(samples[k]).lower()[:SAMPLE_CHARS] for k in self.names}
 
     def prepared(self) -> Model:
         from filigrane.llm.bpe import _LETTER, char_kinds
 
-        self.codes = np.where(char_kinds() == _LETTER, _RARE, _SPACE).astype(np.uint8)
-        for i, c in enumerate(self.letters):
+        self.codes = np.where(char_kinds() == _LETTER, _FOREIGN, _SPACE).astype(np.int32)
+        known = sorted({c for text in self.texts.values() for c in text if c.isalpha()})
+        for i, c in enumerate(known):
             self.codes[ord(c)] = 2 + i
-        self.symbols = 2 + len(self.letters)
-        self.tables, self.bits = [], []
+        self.alphabets, self.symbols, self.tables, self.bits = [], [], [], []
         for name in self.names:
             text = self.code(self.texts[name])
-            self.tables.append(phrase_table(text.tolist(), self.symbols))
+            alphabet, symbols = self.alphabet(text, 2 + len(known))
+            self.alphabets.append(alphabet)
+            self.symbols.append(symbols)
+            self.tables.append(phrase_table(alphabet[text].tolist(), symbols))
             self.bits.append(np.log2(max(2, len(text))))
         return self
 
+    def alphabet(self, text: np.ndarray, codes: int) -> tuple[np.ndarray, int]:
+        """A language's symbol of each code, and how many symbols it has; letters that its sample lacks are _FOREIGN."""
+        counts = np.bincount(text, minlength=codes)
+        counts[: _FOREIGN + 1] = 0
+        ranked = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+        place = np.arange(len(ranked))
+        out = np.full(codes, _FOREIGN, np.int64)
+        out[_SPACE] = _SPACE
+        out[ranked] = 2 + np.where(place < LETTERS, place, LETTERS + (place - LETTERS) % SHARED)
+        return out, 2 + min(len(ranked), LETTERS + SHARED)
+
     def code(self, text: str) -> np.ndarray:
         return self.codes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
 
@@ -109,7 +117,7 @@ class Model:
         size = np.array([len(t) for t in low], np.int64)
         code = self.code("".join(low))
         ends = np.cumsum(size)
-        letters = np.concatenate([[0], np.cumsum(code >= _RARE)])
+        letters = np.concatenate([[0], np.cumsum(code >= _FOREIGN)])
         n_letters = letters[ends] - letters[ends - size]
         lanes = -(-size // SEGMENT)
         total = int(lanes.sum())
@@ -122,13 +130,13 @@ class Model:
         active = np.searchsorted(-length, -np.arange(SEGMENT), "left")  # lanes that have a symbol at each step
         out = np.zeros((len(texts), len(self.names)))
         steps = [code[at[:m] + j] for j, m in enumerate(active.tolist())]
-        for k, moves in enumerate(self.tables):
+        for k, (moves, alphabet, symbols) in enumerate(zip(self.tables, self.alphabets, self.symbols, strict=True)):
             state, ended = np.zeros(total, np.int64), np.zeros(total, np.int32)
             for symbol in steps:
                 m = symbol.size
                 if not m:
                     break
-                v = moves[state[:m] * self.symbols + symbol]
+                v = moves[state[:m] * symbols + alphabet[symbol]]
                 ended[:m] += v & 3
                 state[:m] = v >> 2
             out[:, k] = np.bincount(owner, ended + (state > 0), len(texts))

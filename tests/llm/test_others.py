@@ -89,6 +89,21 @@ def test_language_id(spark, sf):
     assert {(r.doc_id, r.lang_pred, r.score) for r in again} == {(r.doc_id, r.lang_pred, r.score) for r, _ in held}
 
 
+def test_languages_of_many_scripts():
+    rng = random.Random(12)
+    scripts = {"ru": (0x430, 32), "uk": (0x430, 32), "el": (0x3B1, 24), "hi": (0x905, 45), "mr": (0x905, 45), "ka": (0x10D0, 33), "en": (0x61, 26), "ko": (0xAC00, 900), "zh": (0x4E00, 900), "ja": (0x4E00, 900)}
+
+    def words(first, n):  # of one length in all languages, so that only letters tell
+        return ["".join(chr(first + rng.randrange(n)) for _ in range(4)) for _ in range(150)]
+
+    known = {k: words(*v) for k, v in scripts.items()}
+    text = lambda k, n: " ".join(rng.choices(known[k], k=n))
+    model = language_id.Model({k: [text(k, 2000)] for k in scripts}).prepared()
+    asked = [k for k in scripts for _ in range(5)]
+    assert model.predict([text(k, 30) for k in asked])[0] == asked
+    assert model.predict(["\u0561\u0562\u0563 12", "12"])[0][1] == language_id.UNKNOWN
+
+
 def test_metric_tree(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(700, 8)) / 3
