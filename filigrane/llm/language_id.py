@@ -4,23 +4,31 @@ For each language a suffix automaton of labelled text is turned into a table: st
 state, and whether a phrase ends there because the text so far occurs nowhere in the language's sample.  A
 text is parsed into its longest matches by walking the table; the language that needs the fewest phrases,
 each counted as the logarithm of the sample's length, wins.  Texts are cut into segments that walk in step,
-one table read for all segments, so the whole of every text is parsed.
+one table read for all segments; segments are then walked again from the state that the one before ended in,
+until both walks agree, so that a whole text has the phrases of one parse from its first to its last character.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigrane.llm.shared import annotated, prepare, remainder, table
+from filigrane.llm.shared import annotated, hash_below, prepare, remainder, table
 
 #: Labelled text of a language that is learned: so many characters, of so many documents, so many of each.
 SAMPLE_CHARS = 50_000
 SAMPLE_DOCS = 300
 DOC_CHARS = 1_000
-#: Characters that one lane parses; a phrase ends at a segment's end.
+#: Languages that are learned: the commonest. It bounds what the driver gathers.
+MOST_LANGUAGES = 200
+#: Characters that one lane walks, and rounds in which all lanes that don't agree yet walk in step.
 SEGMENT = 256
+ROUNDS = 4
+#: Characters of texts that are parsed at a time; a longer text goes alone.
+STEP_CHARS = 1_000_000
 #: Letters of a language that have a column of their own, and columns that its other letters share.
 LETTERS = 60
 SHARED = 64
@@ -60,16 +68,21 @@ def suffix_automaton(text: list[int]) -> tuple[list[dict[int, int]], list[int]]:
     return nxt, link
 
 
-def phrase_table(text: list[int], symbols: int) -> np.ndarray:
-    """Flat table: [state * symbols + symbol] = 4 * next state + phrases that ended on the way."""
+def transitions(text: list[int]) -> tuple[np.ndarray, int]:
+    """(state, symbol, next state) of every transition of the text's suffix automaton, and how many states it has."""
     nxt, _ = suffix_automaton(text)
+    return np.array([(s, c, t) for s, moves in enumerate(nxt) for c, t in moves.items()], np.int32).reshape(-1, 3), len(nxt)
+
+
+def phrase_table(moves: np.ndarray, states: int, symbols: int) -> np.ndarray:
+    """Flat table: [state * symbols + symbol] = 4 * next state + phrases that ended on the way."""
     # a phrase ends before a symbol that can't follow; a symbol that the sample lacks is a phrase of its own
-    restart = np.array([4 * nxt[0][c] + 1 if c in nxt[0] else 2 for c in range(symbols)], np.int32)
-    out = np.tile(restart, (len(nxt), 1))
+    restart = np.full(symbols, 2, np.int32)
+    first = moves[moves[:, 0] == 0]
+    restart[first[:, 1]] = 4 * first[:, 2] + 1
+    out = np.tile(restart, (states, 1))
     out[0] -= 1
-    for s, moves in enumerate(nxt):
-        for c, t in moves.items():
-            out[s, c] = 4 * t
+    out[moves[:, 0], moves[:, 1]] = 4 * moves[:, 2]
     return out.ravel()
 
 
@@ -77,26 +90,40 @@ class Model:
     """Samples by language; the tables are built where they are used."""
 
     def __init__(self, samples: dict[str, list[str]]):
-        self.names = sorted(samples)
+        self.names: list[str] = sorted(samples)
         self.texts = {k: " ".join(samples[k]).lower()[:SAMPLE_CHARS] for k in self.names}
 
-    def prepared(self) -> Model:
-        from filigrane.llm.bpe import _LETTER, char_kinds
-
-        self.codes = np.where(char_kinds() == _LETTER, _FOREIGN, _SPACE).astype(np.int32)
-        known = sorted({c for text in self.texts.values() for c in text if c.isalpha()})
-        for i, c in enumerate(known):
-            self.codes[ord(c)] = 2 + i
-        self.alphabets, self.symbols, self.tables, self.bits = [], [], [], []
+    @cached_property
+    def learned(self) -> list[tuple[np.ndarray, np.ndarray, int, int, float]]:
+        """By language: its symbol of each code, its automaton's transitions, states, symbols and the bits of a phrase."""
+        out = []
         for name in self.names:
             text = self.code(self.texts[name])
-            alphabet, symbols = self.alphabet(text, 2 + len(known))
-            self.alphabets.append(alphabet)
-            self.symbols.append(symbols)
-            self.tables.append(phrase_table(alphabet[text].tolist(), symbols))
-            self.bits.append(np.log2(max(2, len(text))))
+            alphabet, symbols = self.alphabet(text, 2 + len(self.letters))
+            out.append((alphabet, *transitions(alphabet[text].tolist()), symbols, float(np.log2(max(2, len(text))))))
+        return out
+
+    @cached_property
+    def letters(self) -> list[str]:
+        return sorted({c for text in self.texts.values() for c in text if c.isalpha()})
+
+    @cached_property
+    def codes(self) -> np.ndarray:
+        from filigrane.llm.bpe import _LETTER, char_kinds
+
+        out = np.where(char_kinds() == _LETTER, _FOREIGN, _SPACE).astype(np.int32)
+        out[[ord(c) for c in self.letters]] = 2 + np.arange(len(self.letters))
+        return out
+
+    def prepared(self) -> Model:
+        """With the tables, which are far larger than what is learned; they are made where they are used."""
+        self.alphabets, self.symbols, self.bits = ([x[k] for x in self.learned] for k in (0, 3, 4))
+        self.tables = [phrase_table(moves, states, symbols) for _, moves, states, symbols, _ in self.learned]
         return self
 
+    def __getstate__(self) -> dict:
+        return {"names": self.names, "texts": {}, "letters": self.letters, "learned": self.learned}
+
     def alphabet(self, text: np.ndarray, codes: int) -> tuple[np.ndarray, int]:
         """A language's symbol of each code, and how many symbols it has; letters that its sample lacks are _FOREIGN."""
         counts = np.bincount(text, minlength=codes)
@@ -126,27 +153,71 @@ class Model:
         at = np.repeat(ends - size, lanes) + within * SEGMENT
         length = np.minimum(SEGMENT, np.repeat(size, lanes) - within * SEGMENT)
         order = np.argsort(-length, kind="stable")
+        place = np.empty(total, np.int64)  # of a lane, in text order, among those ordered by length
+        place[order] = np.arange(total)
+        before = np.full(total, -1)  # the place of the lane before in the same text
+        before[place[1:][within[1:] > 0]] = place[:-1][within[1:] > 0]
         at, length, owner = at[order], length[order], owner[order]
         active = np.searchsorted(-length, -np.arange(SEGMENT), "left")  # lanes that have a symbol at each step
         out = np.zeros((len(texts), len(self.names)))
-        steps = [code[at[:m] + j] for j, m in enumerate(active.tolist())]
+        steps = [code[at[:m] + j] for j, m in enumerate(active.tolist()) if m]
+        final = place[np.cumsum(lanes)[lanes > 0] - 1]
         for k, (moves, alphabet, symbols) in enumerate(zip(self.tables, self.alphabets, self.symbols, strict=True)):
-            state, ended = np.zeros(total, np.int64), np.zeros(total, np.int32)
+            state, ended, walked = np.zeros(total, np.int64), np.zeros(total, np.int64), []
             for symbol in steps:
                 m = symbol.size
-                if not m:
-                    break
                 v = moves[state[:m] * symbols + alphabet[symbol]]
                 ended[:m] += v & 3
                 state[:m] = v >> 2
-            out[:, k] = np.bincount(owner, ended + (state > 0), len(texts))
+                walked.append(v)
+            entry = np.zeros(total, np.int64)
+            for _ in range(ROUNDS):
+                true = np.where(before >= 0, state[before], 0)
+                lane = np.flatnonzero(true != entry)
+                if not lane.size:
+                    break
+                entry, own = true, true[lane]
+                for symbol, old in zip(steps, walked, strict=True):
+                    here = lane < symbol.size
+                    if not here.all():
+                        state[lane[~here]] = own[~here]
+                        lane, own = lane[here], own[here]
+                    v = moves[own * symbols + alphabet[symbol[lane]]]
+                    was = old[lane]
+                    ended[lane] += (v & 3) - (was & 3)
+                    old[lane] = v
+                    apart = (v >> 2) != (was >> 2)  # the others go on as they did
+                    lane, own = lane[apart], v[apart].astype(np.int64) >> 2
+                    if not lane.size:
+                        break
+                state[lane] = own
+            else:  # texts in which walks don't meet: one after the other, such lanes are few
+                late = np.unique(owner[np.flatnonzero(np.where(before >= 0, state[before], 0) != entry)])
+                flat = memoryview(moves)
+                for i in late.tolist():
+                    s = n = 0
+                    for c in alphabet[code[ends[i] - size[i] : ends[i]]].tolist():
+                        v = flat[s * symbols + c]
+                        n, s = n + (v & 3), v >> 2
+                    own = np.flatnonzero(owner == i)
+                    ended[own], state[own] = 0, 0
+                    ended[own[0]], state[place[np.cumsum(lanes)[i] - 1]] = n, s
+            ended[final] += state[final] > 0
+            out[:, k] = np.bincount(owner, ended, len(texts))
         return out, n_letters, size
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """The language and a score from 0 to 1 of each text; ties go to the first name."""
         if not self.names:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        phrases, letters, size = self.phrases(texts)
+        parts, held = [], []
+        for t in texts:  # so many characters at a time
+            held.append(t)
+            if sum(map(len, held)) >= STEP_CHARS:
+                parts.append(self.phrases(held))
+                held = []
+        parts += [self.phrases(held)] if held else []
+        phrases, letters, size = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros((0, len(self.names))), np.zeros(0), np.zeros(0))
         bits = phrases * np.array(self.bits) / np.maximum(1, size)[:, None]
         best = bits.argmin(1)
         odds = 2.0 ** (-SHARPNESS * (bits - bits.min(1, keepdims=True)))
@@ -157,17 +228,20 @@ class Model:
 def fit(docs: DataFrame) -> Model:
     """Learn from text and lang of documents that aren't held out (crc32(doc_id) mod 5 = 0).
 
-    Of each language a bounded sample: about SAMPLE_DOCS documents by a hash of doc_id, DOC_CHARS characters
-    from the middle of each, SAMPLE_CHARS in all.
+    Of each of the MOST_LANGUAGES commonest languages a bounded sample: about SAMPLE_DOCS documents by a hash of
+    doc_id and text (repeated rows count once), DOC_CHARS characters from the middle of each, SAMPLE_CHARS in all.
     """
-    learn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), 5) != 0))
-    counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    spark = docs.sparkSession
+    learn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    learn = learn.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), 5) != 0))
+    counts = learn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return Model({})
-    part = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(int(2**20 * min(1.0, SAMPLE_DOCS / n))))))
-    mark = F.pmod(F.xxhash64("doc_id"), F.lit(2**20))
+    most = F.broadcast(spark.createDataFrame([(r["lang"], hash_below(SAMPLE_DOCS, r["n"])) for r in counts], "lang string, most long"))  # MOST_LANGUAGES rows
     start = F.greatest(F.lit(1), ((F.length("text") - DOC_CHARS) / 2).cast("int"))
-    rows = learn.filter(mark < part[F.col("lang")]).select("lang", "doc_id", F.substr("text", start, F.lit(DOC_CHARS)).alias("text")).limit(4 * SAMPLE_DOCS * len(counts)).collect()
+    mark = F.xxhash64("doc_id", "text")
+    found = learn.withColumn("mark", mark).join(most, "lang").filter("mark <= most").select("mark", "lang", "doc_id", F.substr("text", start, F.lit(DOC_CHARS)).alias("text"))
+    rows = found.distinct().orderBy("mark", "lang", "doc_id", "text").limit(2 * SAMPLE_DOCS * len(counts)).collect()
     samples: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"] * 2654435761 % 2**32, r["text"])):
         if r["text"] not in samples.setdefault(r["lang"], []):
@@ -176,7 +250,11 @@ def fit(docs: DataFrame) -> Model:
 
 
 def identified(docs: DataFrame, model: Model, columns: tuple[str, str] = ("lang_pred", "score"), keep: list[str] | None = None) -> DataFrame:
-    """docs with the language and score of every whole text; a text that is null or without a letter is `und`, score 0."""
+    """docs with the language and score of every whole text; a text that is null or without a letter is `und`, score 0.
+
+    Rows that repeat, or repeat a doc_id, are rows of their own; equal texts have equal scores.
+    """
+    model.learned  # noqa: B018  the automata are built once, on the driver
 
     def make():
         own = model.prepared()
@@ -189,7 +267,7 @@ def identified(docs: DataFrame, model: Model, columns: tuple[str, str] = ("lang_
 
         return work
 
-    return annotated(docs, make, f"{columns[0]} string, {columns[1]} double", keep, 6_000_000)
+    return annotated(docs, make, f"{columns[0]} string, {columns[1]} double", keep, 2_000_000)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

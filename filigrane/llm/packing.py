@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigrane.llm.bpe import BATCH_BYTES, VOCABULARY, encoder
+from filigrane.llm.bpe import VOCABULARY, encoder
 from filigrane.llm.shared import column, gathered, prepare, staged, table
 
 CAPACITY = 2048
@@ -26,7 +26,10 @@ FAN = 64
 NEARLY_FULL = 0.995
 #: Pieces that are packed together locally.
 LOCAL_PIECES = 400_000
-_GROUP_BITS = 36
+#: Bits of a bin's number within its partition.
+_BIN_BITS = 40
+#: Bytes of texts that are encoded together.
+_BYTES = 6_000_000
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,7 +66,7 @@ def passed_up(fill: np.ndarray, capacity: int) -> np.ndarray:
     return out & (fill < NEARLY_FULL * capacity)
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, fan: int = FAN) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, fan: int = FAN, local_pieces: int = LOCAL_PIECES) -> DataFrame:
     """Pack all documents into sequences of at most capacity tokens.
 
     Returns a row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.  A document is its
@@ -77,29 +80,31 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, groups = encoder(vocabulary), 0
-        held: list[list] = [[], [], [], [], []]
+        enc, bins = encoder(vocabulary), TaskContext.get().partitionId() << _BIN_BITS
+        held: list[list] = [[], [], [], [], []]  # arrays of what a batch of texts gave
 
         def flush():
-            nonlocal groups
-            length = np.array(held[3], np.int64)
-            where, offset, fill = best_fit(length, capacity)
-            base = ((TaskContext.get().partitionId() << 8) + min(groups, 255) << _GROUP_BITS) + (groups // 255 << 28)
-            groups += 1
-            up = passed_up(fill, capacity)
-            arrays = [*(pa.array(c, k) for c, k in zip(held, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)), pa.array(where + base), pa.array(offset), pa.array(fill[where]), pa.array(up[where])]
+            nonlocal bins
+            doc_id, piece, start, length, crc = (pa.concat_arrays(c) for c in held)
             for c in held:
                 c.clear()
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            where, offset, fill = best_fit(length.to_numpy(), capacity)
+            up = passed_up(fill, capacity)
+            arrays = [doc_id, piece, start, length, crc, pa.array(where + bins), pa.array(offset), pa.array(fill[where]), pa.array(up[where])]
+            bins += len(fill)
+            yield from pa.table(arrays, names=names).to_batches(max_chunksize=10_000)
 
-        for part in gathered(batches, BATCH_BYTES):
+        for part in gathered(batches, _BYTES):
+            cuts: list[list] = [[], [], [], [], []]
             for doc_id, ids in zip(column(part, "doc_id").to_pylist(), enc.encode_all(column(part, "text")), strict=True):
                 data = memoryview(np.append(ids, 0).astype("<u4").tobytes())
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     cut = data[at : at + 4 * capacity]
-                    for c, x in zip(held, (doc_id, piece, at // 4, len(cut) // 4, zlib.crc32(cut)), strict=True):
+                    for c, x in zip(cuts, (doc_id, piece, at // 4, len(cut) // 4, zlib.crc32(cut)), strict=True):
                         c.append(x)
-            if len(held[0]) >= LOCAL_PIECES:
+            for c, x, k in zip(held, cuts, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True):
+                c.append(pa.array(x, k))
+            if sum(map(len, held[0])) >= local_pieces:
                 yield from flush()
         if held[0]:
             yield from flush()
@@ -120,11 +125,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
         return rows.assign(root=first[where[at]], base=rows["base"].to_numpy() + offset[at], fill=fill[where[at]], up=up[where[at]])
 
     rows = pieces.filter("up").groupBy("bin").agg(F.max("fill").alias("fill")).select(F.col("bin").alias("root"), "fill", "bin", F.lit(0).cast("long").alias("base"), F.lit(True).alias("up"))
-    most = pieces.agg(F.max(F.shiftright("bin", _GROUP_BITS + 8)).alias("m")).first()["m"]
+    most = pieces.agg(F.max(F.shiftright("bin", _BIN_BITS)).alias("m")).first()["m"]
     done, width = None, 1
     while True:
         width *= fan
-        node = F.floor(F.shiftright("root", _GROUP_BITS + 8) / F.lit(width)).alias("node")
+        node = F.floor(F.shiftright("root", _BIN_BITS) / F.lit(width)).alias("node")
         out = rows.select(node, "root", "fill", "bin", "base", "up").groupBy("node").applyInPandas(merge, "node long, root long, fill long, bin long, base long, up boolean")
         last = most is None or most < width
         out = (out if last and done is None else staged(spark, out, "bins")).drop("node")

@@ -13,10 +13,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigrane.llm.shared import annotated, prepare, remainder, table
+from filigrane.llm.shared import annotated, hash_below, prepare, remainder, table
 
 #: Labelled rows to learn from, about: rows are taken by a hash of their doc_id.
 SAMPLE_ROWS = 20_000
+#: Bytes of text that are counted at a time.
+SLICE_BYTES = 1_000_000
 #: Score from which a document is predicted to be good.
 THRESHOLD = 0.7
 STATISTICS = (
@@ -38,24 +40,41 @@ def _byte_classes() -> np.ndarray:
 
 
 def statistics(texts) -> np.ndarray:
-    """A row of STATISTICS for each text of an Arrow array; a null text counts as empty."""
+    """A row of STATISTICS for each text of an Arrow array; a null text counts as empty.
+
+    Texts are counted in slices of SLICE_BYTES, which bounds the memory; a longer text goes alone.
+    """
+    import pyarrow.compute as pc
+
+    upto, at, out = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64), 0, []
+    while at < len(texts):
+        n = max(1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE_BYTES, "right")) - at)
+        out.append(_counted(texts.slice(at, n)))
+        at += n
+    return np.concatenate(out) if out else np.zeros((0, len(STATISTICS)))
+
+
+def _counted(texts) -> np.ndarray:
     import pyarrow.compute as pc
 
     n = len(texts)
     texts = pc.fill_null(texts, "")
     bounds = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy())]).astype(np.int64)
-    first = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset] if n else 0
+    first = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset]
     raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[first : first + bounds[-1]]
-    doc = np.repeat(np.arange(n), np.diff(bounds))
-    by_class = np.bincount(doc * _CLASSES + _byte_classes()[raw], minlength=n * _CLASSES).reshape(n, _CLASSES)
-    high = np.bincount(doc, weights=raw >= 128, minlength=n)
+    by_byte = np.zeros((n, 256), np.int64)
+    for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        for k in range(a, b, SLICE_BYTES):
+            by_byte[i] += np.bincount(raw[k : min(b, k + SLICE_BYTES)], minlength=256)
+    by_class = by_byte @ (_byte_classes()[:, None] == np.arange(_CLASSES)).astype(np.int64)
+    high = by_byte[:, 128:].sum(1)
     size = np.maximum(1, np.diff(bounds))
     split = pc.utf8_split_whitespace(texts)
     words = split.flatten().dictionary_encode()
     code, ends = words.indices.to_numpy(), split.offsets.to_numpy() - (split.offsets[0].as_py() if n else 0)
     word_size = pc.binary_length(words.dictionary).to_numpy() if len(words.dictionary) else np.zeros(0, np.int32)
     real = word_size[code] > 0
-    owner = np.repeat(np.arange(n), np.diff(ends))[real]
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(ends))[real]
     code = code[real].astype(np.int64)
     n_words = np.bincount(owner, minlength=n)
     least = np.maximum(1, n_words)
@@ -81,7 +100,7 @@ def statistics(texts) -> np.ndarray:
         pairs / np.maximum(1, n_words - 1), most_pair / np.maximum(1, n_words - 1),
         *(by_class[:, k] / size for k in (0, 1, 2, 3, 4, 5, 6, 7, 8, 9)), high / size, np.log1p(size / n_lines),
     ]
-    return np.column_stack(columns) if n else np.zeros((0, len(STATISTICS)))
+    return np.column_stack(columns)
 
 
 @dataclass
@@ -146,14 +165,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
     """Learn labels.quality from whole texts of labelled documents that aren't held out (crc32(doc_id) mod 4 = 2).
 
     About sample_rows of them, chosen by a hash of doc_id, come to the driver as statistics (20 numbers a
-    row).  Null ids, labels or texts without a label aren't learned from; each repeated label counts.
+    row), 4 times as many at most where ids repeat.  Null ids, labels or texts without a label aren't learned
+    from; each repeated label counts.
     """
     learn = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).filter(F.col("quality").isin(0.0, 1.0) & (remainder(F.col("doc_id"), 4) != 2))
-    n = learn.count()
-    part = int(2**20 * min(1.0, sample_rows / max(1, n)))
-    chosen = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(2**20)) < part
-    rows = annotated(docs.filter(chosen), lambda: lambda texts: list(map(_as_array, statistics(texts).T)), ", ".join(f"{c} double" for c in STATISTICS), ["doc_id"], 2_000_000)
-    got = rows.join(learn.filter(chosen), "doc_id").orderBy("doc_id", *STATISTICS, "quality").limit(4 * sample_rows).toPandas()
+    learn = learn.filter(F.xxhash64("doc_id") <= hash_below(sample_rows, learn.count()))
+    asked = F.broadcast(learn.select("doc_id").distinct())  # about sample_rows numbers at most, however many labels there are
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id", "left_semi")
+    rows = annotated(source, lambda: lambda texts: list(map(_as_array, statistics(texts).T)), ", ".join(f"{c} double" for c in STATISTICS), ["doc_id"], 2_000_000)
+    got = rows.join(learn, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *STATISTICS, "quality").limit(4 * sample_rows).toPandas()
     return grow(got[list(STATISTICS)].to_numpy(float), got["quality"].to_numpy(float))
 
 

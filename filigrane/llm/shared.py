@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import re
 import uuid
 import zipfile
 from pathlib import Path
@@ -15,17 +16,21 @@ _shipped: set[str] = set()
 
 #: Rows of one Arrow batch; with the byte bound it keeps a batch of long texts small.
 ARROW_ROWS = 1000
-ARROW_BYTES = 32 << 20
+ARROW_BYTES = 8 << 20
+#: Allocations of so many bytes go back to the system as soon as a worker frees them.
+MAPPED_BYTES = 1 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Ship this package to the executors and bound the Arrow batches."""
+    """Ship this package to the executors, and bound the Arrow batches of a session that doesn't bound them itself."""
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         _shipped.add(app)
         spark.sparkContext.addPyFile(str(_package_zip()))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    said = spark.conf.getAll
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        if f"spark.sql.execution.arrow.{key}" not in said:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
     return spark
 
 
@@ -52,6 +57,8 @@ def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in the folder that all executors share; Spark's file system removes it when the JVM ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.path.join(os.environ.get("TMPDIR", "/tmp"), "filigrane-scratch")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -68,10 +75,31 @@ def staged(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_libc: list = []
+
+
+def lean() -> None:
+    """Give a worker's free memory back to the system: Spark uses a worker for many tasks, of this and of later stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    if not _libc:
+        pa.set_memory_pool(pa.system_memory_pool())  # the default pool keeps what it frees
+        try:
+            libc = ctypes.CDLL("libc.so.6")
+            libc.mallopt(-3, MAPPED_BYTES)  # M_MMAP_THRESHOLD, which else grows with what is freed
+            _libc.append(libc.malloc_trim)
+        except (OSError, AttributeError):  # another C library
+            _libc.append(lambda _: 0)
+    _libc[0](0)
+
+
 def gathered(batches, least_bytes: int):
     """Arrow tables of at least so many bytes each (the last may be smaller), from an iterator of batches."""
     import pyarrow as pa
 
+    lean()
     held, size = [], 0
     for batch in batches:
         held.append(batch)
@@ -81,9 +109,13 @@ def gathered(batches, least_bytes: int):
             held, size = [], 0
             yield part
             del part, batch
-            pa.default_memory_pool().release_unused()
+            lean()
     if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        part = pa.Table.from_batches(held).combine_chunks()
+        held = batch = None
+        yield part
+        del part
+    lean()
 
 
 def column(table, name: str):
@@ -127,3 +159,8 @@ def remainder(doc_id, mod: int):
     from pyspark.sql import functions as F
 
     return F.crc32(doc_id.cast("string").cast("binary")) % mod
+
+
+def hash_below(wanted: int, n: int) -> int:
+    """The signed 64-bit hash up to which about wanted of n rows lie; all rows if there are no more than that."""
+    return min(2**63 - 1, 2**64 * wanted // max(1, n) - 2**63)

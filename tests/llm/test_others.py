@@ -61,7 +61,7 @@ def test_phrase_table_parses_like_longest_matches():
     rng = np.random.default_rng(3)
     for _ in range(20):
         sample, text = rng.integers(2, 5, 60).tolist(), rng.integers(2, 6, 50).tolist()
-        moves, state, n = language_id.phrase_table(sample, 6), 0, 0
+        moves, state, n = language_id.phrase_table(*language_id.transitions(sample), 6), 0, 0
         for c in text:
             v = int(moves[state * 6 + c])
             n, state = n + (v & 3), v >> 2
@@ -75,6 +75,31 @@ def test_phrase_table_parses_like_longest_matches():
         assert n + (state > 0) == want
 
 
+def test_whole_texts_are_parsed_in_one_go(spark, sf, monkeypatch):
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    model = language_id.Model({"x": [t[:900] for t in texts[:20]], "y": ["aaaa bbbb"], "z": ["zz"]}).prepared()
+    texts += ["", "a" * 5000, "ab" * 3000, "a" * 257, "b a" * 90]
+    monkeypatch.setattr(language_id, "SEGMENT", 64)
+    monkeypatch.setattr(language_id, "ROUNDS", 2)
+    got = model.phrases(texts)[0]
+    for k, (moves, alphabet, symbols) in enumerate(zip(model.tables, model.alphabets, model.symbols)):
+        for t, n in zip(texts, got[:, k].tolist()):
+            state = want = 0
+            for c in alphabet[model.code(t.lower())].tolist():
+                v = int(moves[state * symbols + c])
+                want, state = want + (v & 3), v >> 2
+            assert n == want + (state > 0)
+
+
+def test_samples_of_tables_of_any_size():
+    from filigrane.llm.shared import hash_below
+
+    for n in (0, 1, 300):
+        assert hash_below(300, n) == 2**63 - 1
+    for n in (10**9, 10**12, 10**15):
+        assert abs((hash_below(300, n) + 2**63) / 2**64 * n - 300) < 1
+
+
 def test_language_id(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
     model = language_id.fit(docs)

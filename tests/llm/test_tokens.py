@@ -123,6 +123,18 @@ def test_packing(spark, odd, sf, library):
     assert packing.pack(odd.limit(0)).count() == 0
 
 
+def test_packing_of_many_groups_a_partition(spark, library, monkeypatch):
+    docs = spark.createDataFrame([(i, "one two three " * (i % 7)) for i in range(700)], "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(packing, "_BYTES", 1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        rows = packing.pack(docs, capacity=64, local_pieces=1).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    check_packing(rows, docs.collect(), library, 64)
+
+
 def test_best_fit_merges_across_groups(spark, library):
     docs = spark.createDataFrame([(i, "word") for i in range(40)], "doc_id long, text string").repartition(10)
     assert packing.pack(docs, capacity=100, fan=3).select("sequence_id").distinct().count() == 1
