@@ -16,6 +16,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ from filigrane.llm.shared import column, gathered, prepare, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of the texts that are encoded together; a longer text goes alone.
-BATCH_BYTES = 12_000_000
+BATCH_BYTES = 8_000_000
 LANES = 8192
 _NONE = np.int32(2**31 - 1)
 
@@ -77,6 +78,81 @@ def char_kinds() -> np.ndarray:
     return _kinds[0]
 
 
+@dataclass
+class CharTables:
+    """What a tokenizers file makes of each code point, as runs: where they begin, their kind, and whether they are odd.
+
+    Odd ones are those that this Python's Unicode tables don't know, normalize or class otherwise; chunks that
+    hold one are normalized and split by the library itself.
+    """
+
+    starts: np.ndarray
+    kinds: np.ndarray
+    odd: np.ndarray
+
+    def spread(self) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.diff(np.append(self.starts, 0x110000))
+        return np.repeat(self.kinds, sizes), np.repeat(self.odd, sizes)
+
+
+_tables: dict[str, CharTables] = {}
+
+
+def char_tables(name_or_path: str) -> CharTables:
+    """Asked of the library once, on the driver: whole runs of code points first, halves of those where it differs."""
+    if name_or_path in _tables:
+        return _tables[name_or_path]
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary_path(name_or_path))
+    said = char_kinds()
+    kind = said.copy()
+    split = library.pre_tokenizer.pre_tokenize_str
+
+    def spans(text: str) -> list[tuple[int, int]]:
+        return [at for _, at in split(text)]
+
+    def agrees(a: int, b: int) -> bool:
+        text, n = "".join(map(chr, range(a, b))), b - a
+        match said[a]:
+            case 0:
+                return spans(f"a{text}a") == [(0, 1), (n + 1, n + 2)]
+            case 1:
+                return spans(f"a{text}") == [(0, n + 1)]
+            case 2:
+                return len(spans(f"a{text}#")) == n + 2
+        return spans(f"#{text}") == [(0, n + 1)]
+
+    edges = np.unique(np.concatenate([[0, 0xD800, 0xE000], np.flatnonzero(np.diff(said)) + 1]))
+    todo = [(a, b) for a, b in zip(edges.tolist(), [*edges[1:].tolist(), 0x110000], strict=True) if a != 0xD800]
+    while todo:
+        a, b = todo.pop()
+        if agrees(a, b):
+            continue
+        if b - a > 1:
+            todo += [(a, (a + b) // 2), ((a + b) // 2, b)]
+            continue
+        got = spans(f"a{chr(a)}#")
+        kind[a] = {((0, 2), (2, 3)): _LETTER, ((0, 1), (1, 3)): _OTHER, ((0, 1), (2, 3)): _BREAK}.get(tuple(got), _NUMBER)
+    odd = kind != said
+    odd[0x33480:0xE0000] = odd[0xE0200:0xF0000] = True  # no characters as yet
+    known = []
+    for c in (*range(0xD800), *range(0xF900, 0x33480), *range(0xE0000, 0xE0200)):
+        if unicodedata.category(chr(c)) == "Cn":
+            odd[c] = True
+        elif kind[c] != _BREAK and c != 124:
+            known.append(chr(c))
+    # alone, taken apart, and beside marks of the lowest and of a high combining class
+    asked = [*known, *(d for c in known if (d := unicodedata.normalize("NFD", c)) != c)]
+    asked += [x for c in known if unicodedata.combining(c) for x in (c + "\u0334", "\u0345" + c)]
+    for text, low in zip(asked, library.normalizer.normalize_str("|".join(asked)).split("|"), strict=True):
+        if low != "".join(x.lower() for x in unicodedata.normalize("NFC", text)):
+            odd[[ord(c) for c in text if c not in "\u0334\u0345" and ord(c) > 127]] = True
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(kind) != 0) | (np.diff(odd) != 0)])).astype(np.int32)
+    _tables[name_or_path] = CharTables(first, kind[first], odd[first])
+    return _tables[name_or_path]
+
+
 class PairRanks:
     """Open-addressing table from a pair of ids to the rank of its merge, looked up for whole arrays."""
 
@@ -219,9 +295,11 @@ def merge_many(tokens: np.ndarray, ranks: PairRanks, merged: np.ndarray) -> tupl
 class Encoder:
     """A byte-level BPE vocabulary with word ends, read from a tokenizers file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, tables: CharTables):
         import regex
 
+        self.path, self.library = path, None
+        self.kind_of, self.odd_of = tables.spread()
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         vocab, merges = said["model"]["vocab"], said["model"]["merges"]
@@ -245,6 +323,16 @@ class Encoder:
         self.words_in = regex.compile(pattern).findall
         self.space = regex.compile(r"\p{White_Space}+")
 
+    def by_library(self, chunk: str) -> str:
+        """A chunk, which has no white space, as the file's normalizer makes it."""
+        from tokenizers import Tokenizer
+
+        self.library = self.library or Tokenizer.from_file(self.path)
+        return self.library.normalizer.normalize_str(chunk)
+
+    def split_by_library(self, chunk: str) -> list[str]:
+        return [chunk[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
+
     def encode_words(self, data: np.ndarray, size_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of words whose bytes follow each other in data, and their count a word; size_of: bytes of each, over 0."""
         ends = np.cumsum(size_of)
@@ -281,14 +369,23 @@ class Encoder:
 
         Returns their bytes one after the other, each one's size in bytes, and how many each chunk has.
         """
-        text = unicodedata.normalize("NFC", "\n".join(chunks.to_pylist()))
+        text = "\n".join(chunks.to_pylist())
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        odd = np.flatnonzero(self.odd_of[points])
+        odd = np.unique(np.cumsum(points == 10)[odd]).tolist() if odd.size else []
+        text = unicodedata.normalize("NFC", text)
         text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+        if odd:
+            lines = text.split("\n")
+            for i in odd:
+                lines[i] = self.by_library(chunks[i].as_py())
+            text = "\n".join(lines)
         if "'" in text:  # contractions: the pattern itself, for the chunks that hold one
-            text = "\n".join("\v".join(self.words_in(c)) if "'" in c else c for c in text.split("\n"))
+            split = {i: self.split_by_library for i in odd}
+            text = "\n".join("\v".join(split.get(i, self.words_in)(c)) if "'" in c else c for i, c in enumerate(text.split("\n")))
         raw = text.encode("utf-8", "surrogatepass")
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-        kind = char_kinds()[np.minimum(points, 0x10FFFF)]
-        kind[points == 11] = _BREAK
+        kind = self.kind_of[points]
         new = np.ones(points.size, bool)
         new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _NUMBER)
         if "'" in text:  # what the pattern has found stays one pretoken
@@ -374,9 +471,10 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(name_or_path: str) -> Encoder:
+def encoder(name_or_path: str, tables: CharTables | None = None) -> Encoder:
+    """One a process; tasks are given the tables that the driver made."""
     if name_or_path not in _encoders:
-        _encoders[name_or_path] = Encoder(vocabulary_path(name_or_path))
+        _encoders[name_or_path] = Encoder(vocabulary_path(name_or_path), tables or char_tables(name_or_path))
     return _encoders[name_or_path]
 
 
@@ -388,10 +486,12 @@ def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, digests: bool = Fa
     empty: no ids, empty decoded text.  Repeated rows and null doc_ids are kept as rows of their own.
     """
 
+    tables = char_tables(vocabulary)
+
     def run(batches):
         import pyarrow as pa
 
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, tables)
         digit_of, token_of = list(map(str, range(max(enc.token_of) + 1))), [enc.token_of.get(i) for i in range(max(enc.token_of) + 1)]
         for part in gathered(batches, BATCH_BYTES):
             n, a, b = [], [], []

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigrane.llm.bpe import VOCABULARY, encoder
+from filigrane.llm.bpe import VOCABULARY, char_tables, encoder
 from filigrane.llm.shared import column, gathered, prepare, staged, table
 
 CAPACITY = 2048
@@ -74,13 +74,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
     than capacity are cut at its multiples, others are whole.  Repeated rows and null doc_ids are documents
     of their own; other columns are ignored; an empty table gives no rows.  It runs a job to pack locally.
     """
-    spark = docs.sparkSession
+    spark, tables = docs.sparkSession, char_tables(vocabulary)
 
     def local(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, bins = encoder(vocabulary), TaskContext.get().partitionId() << _BIN_BITS
+        enc, bins = encoder(vocabulary, tables), TaskContext.get().partitionId() << _BIN_BITS
         held: list[list] = [[], [], [], [], []]  # arrays of what a batch of texts gave
 
         def flush():

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigrane.llm.bpe import BATCH_BYTES, VOCABULARY, byte_symbols, encoder
+from filigrane.llm.bpe import BATCH_BYTES, VOCABULARY, byte_symbols, char_tables, encoder
 from filigrane.llm.shared import column, gathered, prepare, table
 
 #: The symbol after a word's last byte, for vocabularies that mark word ends.
@@ -99,12 +99,13 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     A null or empty text has zeros. Repeated rows and null doc_ids stay as rows of their own; other columns
     are ignored.
     """
+    tables = char_tables(vocabulary)
 
     def run(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        enc, match = encoder(vocabulary), automaton(vocabulary)
+        enc, match = encoder(vocabulary, tables), automaton(vocabulary)
         for part in gathered(batches, BATCH_BYTES):
             texts = pc.fill_null(column(part, "text"), "")
             split = pc.utf8_split_whitespace(texts)

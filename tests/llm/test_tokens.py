@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from filigrane.llm import bpe, packing, token_counts
@@ -38,6 +39,18 @@ def test_encode_and_decode_equal_the_library(spark, odd, sf, library):
     assert digests == {(i, hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()) for _, i, ids in want}
 
 
+def test_every_code_point_equals_the_library(library):
+    enc = bpe.encoder(bpe.VOCABULARY)
+    marks = [0x301, 0x308, 0x338, 0x11099, 0x16D67, 0x1611F]
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x32000 or c % 16 == 0 or 0xE0000 <= c < 0xE0200)]
+    odd = [c for c in points if enc.odd_of[c] and c < 0x20000]
+    texts = [f"{chr(c)}a1" for c in points] + [f"X{chr(c)}'s{chr(c)}{chr(m)}" for c in odd for m in marks[:2]] + [f"{chr(c)}{chr(m)}" for c in range(0x250, 0x1200) for m in marks]
+    texts += [chr(a) + chr(b) for a in range(0x16100, 0x16140) for b in range(0x16100, 0x16140)]
+    want = library.encode_batch_fast(texts, add_special_tokens=False)
+    got = enc.encode_all(pa.array(texts, pa.string()))
+    assert [t for t, a, b in zip(texts, want, got, strict=True) if a.ids != b.tolist()] == []
+
+
 def test_segment_tree_merges_like_a_plain_scan():
     rng = np.random.default_rng(1)
     pairs = {(int(a), int(b)): (r, 10 + r) for r, (a, b) in enumerate({tuple(x) for x in rng.integers(0, 30, (200, 2))})}
