@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import timeit
 import zlib
 
 import numpy as np
@@ -267,6 +268,17 @@ ARTICLE_HTML = "<article><p>text</p></article>"
         ("<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b</p>", "a x=1 b"),
         ("<div><svg><path><p>a</p></div>", "a"),
         ("<p>a<svg><text>no</text></svg>b<noscript><p>no</p></noscript>c</p>", "abc"),
+        ('<p title="x>Real</p><p>more', "Real\nmore"),
+        ('<p title="x>no</p><p class="y">more', "more"),
+        ('<p title="x>Real', "Real"),
+        ("<p title='a>b' data-x=\"c>d\">text</p>", "text"),
+        ("<p it's>a</p><p data=x'y>b", "a\nb"),
+        ("<!doctype html><?x y?></ z><p>a<!-- <p>no --><!-->b-->c", "ab-->c"),
+        ("a < b <1 <é> </é>c", "a < b <1 <é> c"),
+        ("<SCRIPT>if (a</b/.x) '</p>'</SCRIPT ><p>a<style/>b", "ab"),
+        ("<script src=x/>a", "a"),
+        ("<div hidden>no</div><div data-hidden=1>a</div>", "a"),
+        ("a<p", "a"),
     ],
 )
 def test_main_text_of_markup(page, want):
@@ -295,6 +307,14 @@ def test_deep_markup_takes_linear_time():
     assert [t for p, t in blocks if p == 0] == ["a", "b"]
 
 
+@pytest.mark.parametrize("unit", ['<a "', "<a x='", '<a x="', "<!--", "<script ", '<script "', "<a b=", "<", "<p>", "</p>", "<script>", "<a x='>y='", "<li><a x=y", "<a " + "b" * 50, "<!", "</", "<a =\">"])
+def test_odd_markup_takes_linear_time(unit):
+    def took(n):
+        return min(timeit.repeat(lambda: html_text.blocks_of(unit * n + ">x"), number=1, repeat=3))
+
+    assert took(40_000) < 12 * took(10_000) + 0.2
+
+
 def test_suffix_groups():
     rng = np.random.default_rng(0)
     streams = [rng.integers(0, 2, rng.integers(0, 40)).astype(np.uint64) for _ in range(12)]
