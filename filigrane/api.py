@@ -59,12 +59,15 @@ class Engine:
         if name in sections.SECTIONS:
             return sections.wide(self.stored, self.web).select("symbol", sections.SECTIONS[name]().alias("markdown"))
         head = report.HEADINGS.get(name, "### Section Financial Analysis")
+        symbols = self.stored.select("symbol").distinct()
         if name == "financial_results":
-            both = self.income().withColumnRenamed("table", "q").join(self.income(annual=True).withColumnRenamed("table", "a"), "symbol", "full")
-            body = F.concat_ws("\n\n", F.coalesce("q", F.lit(report.MISSING_ROW)), F.coalesce("a", F.lit(report.MISSING_ROW)))
-            return both.select("symbol", F.concat(F.lit(head + "\n\n"), body).alias("markdown"))
+            rows = symbols.join(self.income().withColumnRenamed("table", "q"), "symbol", "left").join(self.income(annual=True).withColumnRenamed("table", "a"), "symbol", "left")
+            body = F.concat_ws("\n\n", report.whole_table("quarterly", F.col("q")), report.whole_table("annual", F.col("a")), F.lit(report.READING))
+            return rows.select("symbol", F.concat(F.lit(head + "\n\n"), body).alias("markdown"))
         if name == "balance_sheet":
-            return self.balance().select("symbol", F.concat(F.lit(head + "\n\n"), "table").alias("markdown"))
+            rows = symbols.join(self.balance(), "symbol", "left").join(sections.wide(self.stored), "symbol", "left")
+            lines = sections.numbered_comments("solvency", most=6, head=report.SOLVENCY_HEAD)
+            return rows.select("symbol", F.concat(F.lit(head + "\n\n"), report.whole_table("balance", F.col("table")), lines).alias("markdown"))
         rows = self.context(name).withColumn("__t", F.when(F.col("status") == "ok", F.col("payload")).otherwise(F.col("status")))
         body = rows.groupBy("symbol").agg(report.ordered_text("ordinal", "__t", "\n\n").alias("body"))
         return body.select("symbol", F.concat(F.lit(head + "\n\n"), "body").alias("markdown"))
@@ -79,6 +82,10 @@ class Engine:
         done = answers.select("symbol", "ordinal", T.strip_fences(F.col("answer")).alias("markdown"))
         return report.audited(report.assemble(done, F.concat(F.lit("# Financial Analyst Report: "), F.col("symbol")), "*end of report*"))
 
+    def dcf_report(self, rows: DataFrame, terminal_growth: float) -> DataFrame:
+        """symbol, report: the valuation of each row of dcf() as text. rows: grp (the symbol), fcf, shares, price."""
+        return statements.dcf(rows, terminal_growth).select(F.col("grp").alias("symbol"), report.dcf_text(F.col("grp").cast("string"), terminal_growth).alias("report"))
+
     def filings(self, path: str, query: str, k: int = 2) -> DataFrame:
         """The best parent chunks of a folder of filings for a query."""
         return fusion.hybrid(filings.scan_folder(self.spark, path).filter("status = 'ok'"), "source", "content", query, k)

@@ -1,14 +1,14 @@
-"""Text expressions. All are JVM-side but unescape_all, which needs the whole entity table."""
+"""Text expressions. All are JVM-side but those that need the whole entity table of HTML."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # fixed values: patterns of the extraction operators
-SNIPPET = r'(?s)class="result__snippet[^>]*>(.*?)</a>'
+SNIPPET = r'(?s)class="result__snippet[^"]*"[^>]*>(.*?)</a>'
 TAG = r"<[^>]+>"
 MONEY = r"(?i)(?:₹|\$)\s*[\d\.,]+\s*(?:Trillion|Billion|Lakh\s*Crore|Crore|Cr)"
 
@@ -19,36 +19,47 @@ def tokens(text: Column) -> Column:
 
 
 def windows(text: Column, size: int, overlap: int) -> Column:
-    """Fixed windows of size code points that begin every size - overlap; an empty or null text has none."""
+    """Fixed windows of size code points that begin every size - overlap; an empty or null text has none.
+
+    The text is cut once into pieces of a step, and each window joins neighbours: linear in the text.
+    """
     step = max(1, size - overlap)
-    n = F.length(text)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(text, i + 1, F.lit(size)))
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?s).{{1,{step}}}"), F.lit(0))
+    more = -(-(size - step) // step)
+    joined = pieces  # no lambda reads the array itself: it would be made anew for each element
+    for k in range(1, more + 1):
+        joined = F.zip_with(joined, F.slice(pieces, F.lit(k + 1), F.size(pieces)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.transform(joined, lambda p: F.substring(p, F.lit(1), F.lit(size)))
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at both ends, in the Unicode sense."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def strip_tags(text: Column) -> Column:
     return F.regexp_replace(text, TAG, "")
 
 
-def unescape(text: Column) -> Column:
-    """The common character references, & last."""
-    for name, said in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(said))
-    return text
+@pandas_udf(StringType())
+def unescape(text):
+    """Every character reference of HTML: the whole entity table, which no expression has."""
+    import html
 
+    return text.map(lambda t: t if t is None or "&" not in t else html.unescape(t))
 
-@pandas_udf(StringType())
-def unescape_all(text):
-    """Every character reference of HTML."""
+
+@pandas_udf(ArrayType(StringType()))
+def _unescaped(texts):
     import html
 
-    return text.map(lambda t: None if t is None else html.unescape(t))
+    return texts.map(lambda own: None if own is None else [html.unescape(t).strip() for t in own])
 
 
 def snippets(page: Column, most: int = 3) -> Column:
     """The first so many result snippets, cleaned; those that are then empty fall away after the cut."""
     raw = F.slice(F.regexp_extract_all(page, F.lit(SNIPPET), 1), 1, most)
-    return F.filter(F.transform(raw, lambda s: F.trim(unescape(strip_tags(s)))), lambda s: s != "")
+    return F.filter(_unescaped(F.transform(raw, strip_tags)), lambda s: s != "")
 
 
 def money(text: Column) -> Column:
@@ -57,10 +68,12 @@ def money(text: Column) -> Column:
 
 
 def strip_fences(text: Column) -> Column:
-    """Without a leading code fence (with or without `markdown`) and all from the last fence on."""
-    opened = F.regexp_replace(F.trim(text), r"^```(?:markdown)?\s*", "")
-    closed = F.regexp_replace(F.regexp_replace(opened, r"(?s)```(?!.*```).*$", ""), r"^\s+|\s+$", "")
-    return F.when(F.trim(text).startswith("```"), closed).otherwise(text)
+    """Stripped; without a leading code fence (with or without `markdown`) and all from the last fence on."""
+    whole = stripped(text)
+    inner = F.when(whole.startswith("```markdown"), F.substring(whole, 12, 2**31 - 1)).otherwise(F.substring(whole, 4, 2**31 - 1))
+    after = F.substring_index(inner, "```", -1)  # the whole, if there is no further fence
+    kept = F.when(F.contains(inner, F.lit("```")), F.substring(inner, F.lit(1), F.length(inner) - F.length(after) - 3)).otherwise(inner)
+    return F.when(whole.startswith("```"), stripped(kept)).otherwise(whole)
 
 
 def thousands(x: Column) -> Column:

@@ -33,9 +33,10 @@ def tokenized(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
     return docs.select(F.col(key), *more, T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens")).withColumn("len", F.size("tokens"))
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf, len. A document's terms are counted before the shuffle."""
+def postings(docs: DataFrame, key: str, text: str, terms: DataFrame | None = None) -> DataFrame:
+    """key, term, tf, len, of all terms or of those in terms (term). A document's terms are counted before the shuffle."""
     rows = tokenized(docs, key, text).select(key, "len", F.explode("tokens").alias("term"))
+    rows = rows if terms is None else rows.join(terms.select("term").distinct(), "term", "left_semi")
     return rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
 
 
@@ -44,9 +45,11 @@ def corpus_stats(docs: DataFrame, key: str, text: str) -> DataFrame:
     return tokenized(docs, key, text).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
 
 
-def term_stats(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """term, df, idf of every term."""
-    df = tokenized(docs, key, text).select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+def term_stats(docs: DataFrame, key: str, text: str, terms: DataFrame | None = None) -> DataFrame:
+    """term, df, idf of every term, or of those in terms (term)."""
+    every = tokenized(docs, key, text).select(F.explode(F.array_distinct("tokens")).alias("term"))
+    every = every if terms is None else every.join(terms.select("term").distinct(), "term", "left_semi")
+    df = every.groupBy("term").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("n"))
     return df.crossJoin(F.broadcast(n)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
 
@@ -82,6 +85,17 @@ def ranked(scored: DataFrame, key: str, k: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))  # over k rows
 
 
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """term: those of queries (query_id, query)."""
+    return queries.select(F.explode(T.tokens(F.col("query"))).alias("term")).distinct()
+
+
+def search_many(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int) -> DataFrame:
+    """search_index without an index: only the asked terms' postings and statistics are made, before any shuffle."""
+    terms = asked_terms(queries)
+    return search_index(postings(docs, key, text, terms), term_stats(docs, key, text, terms), corpus_stats(docs, key, text), queries, key, k)
+
+
 def search_index(index: DataFrame, terms: DataFrame, stats: DataFrame, queries: DataFrame, key: str, k: int) -> DataFrame:
     """query_id, key, score, rank for many queries (query_id, query) over a persisted index.
 

@@ -61,22 +61,22 @@ def hybrid(docs: DataFrame, source: str, text: str, query: str, k: int = 5, sect
     """rank, score, content of the k best parent chunks by BM25 and hash vectors of their children.
 
     Parents with equal text are one, whichever file they come from.  If the best vector score is low the
-    query is rewritten once and searched without the section filter.
+    query is rewritten once and searched without the section filter.  It runs a job for the vector hits, SIDE_K
+    rows, and only then the searches that are still needed.
     """
-    parents = chunking.parents(docs, F.col(source), F.col(text), F.col(section_column) if section_column else None)
-    parts = chunking.children(parents).withColumn("ord", F.struct("source", "parent_idx", "child_idx"))
-    wide = rewrite_text(query)
-
-    chosen = parts.filter(bm25.section_kept(F.col("section"), section))
-    near = vector.search_text(chosen.withColumn("content", F.substring("content", 1, chunking.EMBEDDED_CHARS)), "ord", "content", query, SIDE_K, boosted=True)
-    near_wide = vector.search_text(parts, "ord", "content", wide, SIDE_K, boosted=True)
-    words = bm25.search(parts, "ord", "content", query, SIDE_K, section, "section")
-    words_wide = bm25.search(parts, "ord", "content", wide, SIDE_K)
-    low = near.agg((F.coalesce(F.max("score"), F.lit(0.0)) < LOW_CONFIDENCE).alias("low"))
-
-    def pick(first: DataFrame, second: DataFrame) -> DataFrame:
-        both = first.withColumn("w", F.lit(False)).unionByName(second.withColumn("w", F.lit(True)))
-        own = both.crossJoin(F.broadcast(low)).filter("w = low").select("rank", F.col("ord.source").alias("source"), F.col("ord.parent_idx").alias("parent_idx"))
-        return own.join(parents.select("source", "parent_idx", "content"), ["source", "parent_idx"]).select("content", "rank")
-
-    return fuse([pick(near, near_wide), pick(words, words_wide)], "content", k).select("rank", "score", "content")
+    where = F.col(section_column) if section_column else None
+    parts = chunking.children(chunking.parents(docs, F.col(source), F.col(text), where)).withColumn("ord", F.struct("source", "parent_idx", "child_idx"))
+
+    def near(asked: str, kept: DataFrame) -> list:
+        return vector.search_text(kept.withColumn("content", F.substring("content", 1, chunking.EMBEDDED_CHARS)), "ord", "content", asked, SIDE_K, boosted=True).collect()
+
+    hits = near(query, parts.filter(bm25.section_kept(F.col("section"), section)))
+    if max((h["score"] for h in hits), default=0.0) < LOW_CONFIDENCE:
+        query, section = rewrite_text(query), None
+        hits = near(query, parts)
+    words = bm25.search(parts, "ord", "content", query, SIDE_K, section, "section").collect()
+    found = [[(h["rank"], h["ord"]["source"], h["ord"]["parent_idx"]) for h in side] for side in (hits, words)]
+    named = sorted({s for side in found for _, s, _ in side})
+    parents = chunking.parents(docs.filter(F.col(source).cast("string").isin(named)), F.col(source), F.col(text), where)  # of 2 * SIDE_K files at most
+    lists = [docs.sparkSession.createDataFrame(side, "rank int, source string, parent_idx int").join(parents, ["source", "parent_idx"]).select("content", "rank") for side in found]
+    return fuse(lists, "content", k).select("rank", "score", "content")

@@ -57,6 +57,40 @@ def pass_through(context: Column, prompt: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(kept, r"(?U)^\s+|\s+$", ""), F.lit("")), F.lit(NO_CONTEXT))
 
 
+#: Environment variables that a provider of completions needs.
+PROVIDER_KEYS = {"groq": ("GROQ_API_KEY",), "gemini": ("GEMINI_API_KEY",)}
+
+
+def missing_settings(provider: str, environment: dict[str, str]) -> list[str]:
+    """The variables that a provider needs and the environment lacks."""
+    return [k for k in PROVIDER_KEYS.get(provider.lower(), ()) if not environment.get(k)]
+
+
+def chain(*providers: tuple[Callable[[str, str], str], float]) -> Callable[[str, str], str]:
+    """One completion function of several, each with its time limit in seconds: the first that answers in time with text.
+
+    It raises if none does, which completed() turns into the passed-through context.
+    """
+
+    def complete(context: str, prompt: str) -> str:
+        from concurrent.futures import ThreadPoolExecutor
+
+        failed: Exception | None = None
+        for ask, limit in providers:
+            pool = ThreadPoolExecutor(1)
+            try:
+                said = pool.submit(ask, context, prompt).result(limit)
+                if said and said.strip():
+                    return said.strip()
+            except Exception as e:  # an outside service: the next one is asked
+                failed = e
+            finally:
+                pool.shutdown(wait=False, cancel_futures=True)
+        raise RuntimeError("no provider answered") from failed
+
+    return complete
+
+
 def completed(rows: DataFrame, complete: Callable[[str, str], str] | None = None) -> DataFrame:
     """rows (context, prompt, ...) with column answer. complete runs in Arrow batches; a failure passes the context through."""
     if complete is None:
@@ -76,7 +110,7 @@ def completed(rows: DataFrame, complete: Callable[[str, str], str] | None = None
     return rows.withColumn("answer", F.coalesce(ask("context", "prompt"), pass_through(F.col("context"), F.col("prompt"))))
 
 
-# fixed values: headings of the sections and of their tables
+# fixed values: headings of the sections
 HEADINGS = {
     "company_overview": "### Executive Summary & Corporate Profile",
     "company_operations": "### Core Business Segments & Revenue Engine",
@@ -87,9 +121,23 @@ HEADINGS = {
     "balance_sheet": "### Capital Structure & Solvency Analysis",
     "strengths_weaknesses": "### Investment Thesis & Strategic Risk Audit",
 }
+# fixed values: titles and header rows of the statement tables
+TABLES = {
+    "quarterly": ("#### Latest Quarterly Financial Results Table (in ₹ Cr)", "| Quarter Period | Total Sales / Revenue | Operating Profit | Net Profit (PAT) | EPS (₹) | Quarterly Sales Trend |"),
+    "annual": ("#### Latest Annual Financial Results Table (in ₹ Cr)", "| Fiscal Year | Total Sales / Revenue | Operating Profit | Net Profit (PAT) | EPS (₹) | Yearly Sales Growth |"),
+    "balance": ("#### Balance Sheet Capital Structure (in ₹ Cr)", "| Fiscal Period | Company Net Worth (Equity) | Total Loans (Debt) | Cash & Short-Term Investments | Debt-to-Equity | Financial Health |"),
+}
+SOLVENCY_HEAD = "💡 **Computed Solvency Metrics (TTM)**:"
+READING = "Newest periods first. Operating profit is before interest and tax; net profit is what shareholders earn, with EPS per share."
 MISSING_ROW = "| Data unavailable from live API | — | — | — | — | — |"
 
 
+def whole_table(kind: str, rows: Column) -> Column:
+    """A titled Markdown table of ready rows; a row that says so if there are none."""
+    title, head = TABLES[kind]
+    return F.concat(F.lit(f"{title}\n{head}\n{'| :--- ' * head.count(' | ')}| :--- |\n"), F.coalesce(rows, F.lit(MISSING_ROW)))
+
+
 def ordered_text(order: str, text: str, separator: str) -> Column:
     """An aggregate: texts in order, joined."""
     return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda s: s[text]), separator)
@@ -127,6 +175,17 @@ def assemble(sections: DataFrame, title: Column, footer: str) -> DataFrame:
     return body.select("symbol", F.concat(title, F.lit("\n\n"), F.col("body"), F.lit(RULE + footer + "\n")).alias("report"))
 
 
+def dcf_text(symbol: Column, terminal_growth: float) -> Column:
+    """A valuation report over the columns of statements.dcf; a figure that can't be computed is N/A."""
+    row = lambda label, c: markdown_row(F.lit(label), T.rupees(F.col(c)))
+    upside = F.coalesce(F.concat(T.plain(F.col("upside_pct")), F.lit("%")), F.lit("N/A"))
+    return F.concat_ws(
+        "\n", F.concat(F.lit("# Discounted Cash Flow: "), F.upper(symbol)), F.lit(""), F.lit(f"Terminal growth: {terminal_growth * 100:.2f}%"), F.lit(""), F.lit("| Figure | Value |"), F.lit("| :--- | :--- |"),
+        row("Present value of cash flows", "pv_fcf"), row("Present value of the terminal value", "pv_terminal"), row("Intrinsic value", "intrinsic"), row("Price with a 20% margin of safety", "price_mos20"),
+        row("Price with a 30% margin of safety", "price_mos30"), markdown_row(F.lit("Upside to the price"), upside),
+    )
+
+
 def audited(reports: DataFrame) -> DataFrame:
     """reports with is_accurate: all markers are there."""
     ok = F.lit(True)

@@ -13,6 +13,7 @@ from filigrane.functions import finance as X
 from filigrane.functions import text as T
 from filigrane.operators import report, statements
 from filigrane.sources.statements import comment_lines
+from filigrane.sources.statements import number as typed
 
 ENDPOINTS = ("stock_summary", "stock_peers", "dupont", "solvency", "liquidity", "capital_efficiency")
 
@@ -31,8 +32,7 @@ def said(payload: str, path: str) -> Column:
 
 def number(payload: str, path: str) -> Column:
     """A field that is a JSON number; text and booleans are null."""
-    v = F.try_variant_get(F.try_parse_json(payload), path, "variant")
-    return F.when(F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.variant_get(v, "$", "double"))
+    return typed(F.try_variant_get(F.try_parse_json(payload), path, "variant"))
 
 
 def _comments(*payloads: str, most: int) -> Column:
@@ -40,6 +40,11 @@ def _comments(*payloads: str, most: int) -> Column:
     return F.slice(F.array_distinct(every), 1, most)
 
 
+def numbered_comments(*payloads: str, most: int, head: str) -> Column:
+    lines = _comments(*payloads, most=most)
+    return _block(lines, head, T.numbered(lines))
+
+
 def _block(lines: Column, head: str, text: Column) -> Column:
     """A blank line, a heading and text, or nothing without lines."""
     return F.when(F.size(lines) > 0, F.concat(F.lit(f"\n\n{head}\n"), text)).otherwise("")

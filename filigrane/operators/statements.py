@@ -85,19 +85,23 @@ def strengths_and_watch_points(flags: DataFrame) -> DataFrame:
     return flags.select("grp", side(True).alias("strengths"), side(False).alias("watch_points"))
 
 
-def dcf(rows: DataFrame, terminal_growth: float, growth: tuple[float, float] = (0.06, 0.05), wacc: float = 0.13, margins: tuple[float, float] = (0.2, 0.3)) -> DataFrame:
+def dcf(rows: DataFrame, terminal_growth: float | Column, growth: tuple[float, float] = (0.06, 0.05), wacc: float | Column = 0.13, margins: tuple[float, float] = (0.2, 0.3)) -> DataFrame:
     """Ten years of free cash flow, five at each growth, a terminal value, and prices with a margin of safety.
 
-    rows: grp, fcf, shares, price.  An error if terminal growth is not below the discount rate.
+    rows: grp, fcf, shares, price.  terminal_growth and wacc are numbers or columns of rows, so that one pass
+    values many scenarios.  An error if terminal growth is not below the discount rate.
     """
-    if terminal_growth >= wacc:
+    if not isinstance(terminal_growth, Column) and not isinstance(wacc, Column) and terminal_growth >= wacc:
         raise ValueError("terminal growth must be below the discount rate")
+    terminal, rate = (x if isinstance(x, Column) else F.lit(x) for x in (terminal_growth, wacc))
+    spread = F.when(terminal < rate, rate - terminal).otherwise(F.raise_error(F.lit("terminal growth must be below the discount rate")).cast("double"))
+
     def flow(y: Column) -> Column:
         return F.col("fcf") * F.pow(F.lit(1 + growth[0]), F.least(y, F.lit(5))) * F.pow(F.lit(1 + growth[1]), F.greatest(y - 5, F.lit(0)))
 
     years = F.sequence(F.lit(1), F.lit(10))
-    present = F.aggregate(F.transform(years, lambda y: flow(y) / F.pow(F.lit(1 + wacc), y)), F.lit(0.0), lambda s, x: s + x)
-    last = flow(F.lit(10)) * (1 + terminal_growth) / (wacc - terminal_growth) / (1 + wacc) ** 10
+    present = F.aggregate(F.transform(years, lambda y: flow(y) / F.pow(1 + rate, y)), F.lit(0.0), lambda s, x: s + x)
+    last = flow(F.lit(10)) * (1 + terminal) / spread / F.pow(1 + rate, F.lit(10))
     out = rows.withColumns({"pv_fcf": present, "pv_terminal": last}).withColumn("intrinsic", F.col("pv_fcf") + F.col("pv_terminal"))
     for m in margins:
         out = out.withColumn(f"price_mos{round(m * 100)}", X.ratio(F.col("intrinsic") * (1 - m), F.col("shares")))

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filigrane.functions import finance as X
 from filigrane.functions import text as T
 from filigrane.operators import bm25, chunking, fusion, report, sections, statements, vector
-from filigrane.sources import dictionary, statements as payloads
+from filigrane.api import Engine
+from filigrane.sources import dictionary, endpoints, filings, sinks, statements as payloads
+from filigrane.session import shared_path
 from filigrane.sources.tables import table
 from filigrane.streaming import ingest
 
@@ -91,9 +91,8 @@ INDEX_QUERIES = [(0, "the of"), (1, "der und die der"), (2, "zzzz")]
     )
 )
 def bm25_index_search(spark, sf):
-    docs = table(spark, sf, "documents")
     asked = spark.createDataFrame(INDEX_QUERIES, "query_id long, query string")
-    found = bm25.search_index(bm25.postings(docs, "doc_id", "text"), bm25.term_stats(docs, "doc_id", "text"), bm25.corpus_stats(docs, "doc_id", "text"), asked, "doc_id", 5)
+    found = bm25.search_many(table(spark, sf, "documents"), "doc_id", "text", asked, 5)
     return found.select("query_id", "doc_id", r6("score").alias("score"), "rank")
 
 
@@ -126,17 +125,16 @@ def chunk_children(spark, sf):
 @query(f"SELECT source, parent_idx, parent_id, content FROM ({PARENTS_SQL})")
 def stream_chunk_ingest(spark, sf):
     schema = table(spark, sf, "documents").schema
-    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/filigrane-streams').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = shared_path(spark, "stream")
     stream = ingest.landing_stream(spark, f"{sf}/documents.parque[t]", schema)
     ingest.chunk_stream(stream, "doc_id", "text", f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("source", "parent_idx", "parent_id", "content")
 
 
-@query(f"SELECT child_id, c.content, p.content AS parent_content FROM ({CHILDREN_SQL}) c JOIN ({PARENTS_SQL}) p USING (parent_id) WHERE c.content LIKE '%|%'")
+@query(f"SELECT child_id, c.content, p.content AS parent_content FROM ({CHILDREN_SQL}) c JOIN ({PARENTS_SQL}) p USING (parent_id)")
 def child_to_parent(spark, sf):
     parents = _parents(spark, sf)
-    kept = chunking.children(parents).filter(F.col("content").contains("|"))
-    return kept.join(parents.select("parent_id", F.col("content").alias("parent_content")), "parent_id").select("child_id", "content", "parent_content")
+    return chunking.children(parents).join(parents.select("parent_id", F.col("content").alias("parent_content")), "parent_id").select("child_id", "content", "parent_content")
 
 
 @query(f"SELECT doc_id, substr(text, 1, 1200) AS shown, substr(text, 1, 2048) AS embedded FROM documents WHERE NOT regexp_full_match(text, '\\s*')")
@@ -164,8 +162,14 @@ def vector_cosine_topk(spark, sf):
 
 
 BUCKET = "CAST(('0x' || substr(md5(word), 1, 8))::UBIGINT % 128 AS INTEGER)"
-HASHED = f"""SELECT doc_id, bucket, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS value FROM (
-  SELECT doc_id, {BUCKET} AS bucket, sum(1.0::DOUBLE / i) AS v FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM ({TOKENIZED})) GROUP BY ALL)"""
+
+
+def hashed(source: str = TOKENIZED, key: str = "doc_id") -> str:
+    return f"""SELECT {key}, bucket, v / sqrt(sum(v * v) OVER (PARTITION BY {key})) AS value FROM (
+  SELECT {key}, {BUCKET} AS bucket, sum(1.0::DOUBLE / i) AS v FROM (SELECT {key}, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM ({source})) GROUP BY ALL)"""
+
+
+HASHED = hashed()
 
 
 @query(f"SELECT doc_id, bucket, round(value, 6) AS value FROM ({HASHED})")
@@ -173,12 +177,12 @@ def hash_embedding(spark, sf):
     return vector.hash_embedding(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "bucket", r6("value").alias("value"))
 
 
-def hashed_sql(words: str, k: int, boosted: bool) -> str:
+def hashed_sql(words: str, k: int, boosted: bool, source: str = TOKENIZED, key: str = "doc_id", where: str = "true") -> str:
     wanted = " UNION ALL ".join(f"SELECT {b} AS bucket, {v!r}::DOUBLE AS q" for b, v in vector.query_embedding(words).items())
     boost = "CASE WHEN contains(text, '|') THEN 0.05::DOUBLE ELSE 0 END" if boosted else "0"
-    return f"""SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM (
-      SELECT d.doc_id, round(coalesce(s.score, 0) + {boost}, 9) AS score FROM documents d LEFT JOIN (SELECT doc_id, sum(value * q) AS score FROM ({HASHED}) JOIN ({wanted}) USING (bucket) GROUP BY doc_id) s USING (doc_id))
-      ORDER BY score DESC, doc_id LIMIT {k}"""
+    return f"""SELECT {key}, score, CAST(row_number() OVER (ORDER BY score DESC, {key}) AS INTEGER) AS rank FROM (
+      SELECT d.{key}, round(coalesce(s.score, 0) + {boost}, 9) AS score FROM ({source}) d LEFT JOIN (SELECT {key}, sum(value * q) AS score FROM ({hashed(source, key)}) JOIN ({wanted}) USING (bucket) GROUP BY {key}) s USING ({key}) WHERE {where})
+      ORDER BY score DESC, {key} LIMIT {k}"""
 
 
 @query(f"SELECT doc_id, round(score, 6) AS score, rank FROM ({hashed_sql(SEARCHED, 10, True)})")
@@ -186,6 +190,14 @@ def vector_topk_boosted(spark, sf):
     return vector.search_text(table(spark, sf, "documents"), "doc_id", "text", SEARCHED, 10, boosted=True).select("doc_id", r6("score").alias("score"), "rank")
 
 
+@query(f"SELECT doc_id, round(score, 6) AS score, rank FROM ({hashed_sql(SEARCHED, 10, True)})")
+def vector_index_search(spark, sf):
+    path = shared_path(spark, "vectors")
+    vector.write_index(table(spark, sf, "documents"), "doc_id", "text", path)
+    found = vector.search_index(vector.read_index(spark, path), "doc_id", [vector.query_vector(SEARCHED)], 10, boosted=True)
+    return found.select("doc_id", r6("score").alias("score"), "rank")
+
+
 # ---- fusion
 
 
@@ -217,16 +229,38 @@ def query_rewrite(spark, sf):
 )
 def confidence_gate(spark, sf):
     docs = table(spark, sf, "documents")
-    hits = [vector.search_text(docs, "doc_id", "text", q, 8, boosted=True) for q in (VAGUE, fusion.rewrite_text(VAGUE))]
-    return fusion.gated(*hits).select("doc_id", r6("score").alias("score"), "rank", "rewritten")
+    hits = vector.search_texts(docs, "doc_id", "text", [VAGUE, fusion.rewrite_text(VAGUE)], 8, boosted=True)
+    return fusion.gated(*(hits.filter(F.col("asked") == i).drop("asked") for i in (0, 1))).select("doc_id", r6("score").alias("score"), "rank", "rewritten")
 
 
-@query(None)
+PARTS = "SELECT {'a': source, 'b': parent_idx, 'c': child_idx} AS ord, section, content AS text, " + WORDS.format("content") + f" AS w FROM ({CHILDREN_SQL})"
+
+
+def hybrid_sql(words: str, section: str) -> str:
+    """Both searches of the original and of the rewritten query, and the pair of them that the gate lets pass."""
+    wide, kept = fusion.rewrite_text(words), f"section IN ('general', '{section}')"
+    lists = "".join(
+        f", near{i} AS MATERIALIZED ({hashed_sql(q, 8, True, 'SELECT * FROM parts', 'ord', w)}), words{i} AS MATERIALIZED ({bm25_sql(q, 8, w, 'SELECT * FROM parts', 'ord')})" for i, (q, w) in enumerate(((words, kept), (wide, "true")))
+    )
+    every = " UNION ALL ".join(f"SELECT ord, rank, {n} AS list, {w} AS wide FROM {name}{i}" for n, name in enumerate(("near", "words")) for i, w in ((0, "false"), (1, "true")))
+    return f"""WITH parts AS MATERIALIZED ({PARTS}){lists}, low AS (SELECT coalesce(max(score), 0) < 0.3 AS low FROM near0),
+      fused AS (SELECT content, sum(1.0::DOUBLE / (60 + rank)) AS score, min(list * 1000000 + rank) AS met FROM ({every}) h JOIN low ON h.wide = low.low
+        JOIN ({PARENTS_SQL}) p ON p.source = h.ord.a AND p.parent_idx = h.ord.b GROUP BY content)
+      SELECT CAST(row_number() OVER (ORDER BY score DESC, met) AS INTEGER) AS rank, round(score, 6) AS score, content FROM fused ORDER BY score DESC, met LIMIT 5"""
+
+
+@query(hybrid_sql(SEARCHED, "en"))
 def hybrid_search(spark, sf):
     found = fusion.hybrid(table(spark, sf, "documents"), "doc_id", "text", SEARCHED, 5, "en", "lang")
     return found.select("rank", r6("score").alias("score"), "content")
 
 
+@query(hybrid_sql(VAGUE, "en"))
+def hybrid_search_rewritten(spark, sf):
+    found = fusion.hybrid(table(spark, sf, "documents"), "doc_id", "text", VAGUE, 5, "en", "lang")
+    return found.select("rank", r6("score").alias("score"), "content")
+
+
 # ---- statements, derived from the trade tables
 
 
@@ -407,11 +441,9 @@ SCENARIOS = [(t, w) for t in (0.02, 0.03) for w in (0.115, 0.13, 0.145)]
 
 @query(" UNION ALL ".join(f"SELECT grp, {t}::DOUBLE AS terminal_growth, {w}::DOUBLE AS wacc, round(intrinsic, 2) AS intrinsic FROM ({dcf_sql(t, w, 0.06, 0.05)})" for t, w in SCENARIOS))
 def dcf_sensitivity(spark, sf):
-    rows, out = _dcf_rows(spark, sf), None
-    for t, w in SCENARIOS:
-        one = statements.dcf(rows, terminal_growth=t, wacc=w).select("grp", F.lit(t).alias("terminal_growth"), F.lit(w).alias("wacc"), F.round("intrinsic", 2).alias("intrinsic"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    scenarios = spark.createDataFrame(SCENARIOS, "terminal_growth double, wacc double")  # fixed, 6 rows
+    rows = _dcf_rows(spark, sf).crossJoin(F.broadcast(scenarios))
+    return statements.dcf(rows, F.col("terminal_growth"), wacc=F.col("wacc")).select("grp", "terminal_growth", "wacc", F.round("intrinsic", 2).alias("intrinsic"))
 
 
 # ---- text, JSON, HTML
@@ -419,13 +451,31 @@ def dcf_sensitivity(spark, sf):
 UNESCAPE = "replace(replace(replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&amp;', '&')"
 
 
+REFERENCES = (("&eacute;", "é"), ("&#x27;", "''"), ("&#37;", "%"), ("&ndash;", "–"), ("&notin;", "∉"), ("&Uuml", "Ü"))
+
+
+def with_references(html):
+    """Character references of several kinds, put before each of some common letters."""
+    for (said, _), letter in zip(REFERENCES, "aeinrt", strict=True):
+        html = F.replace(html, F.lit(f" {letter}"), F.lit(f" {said} {letter}"))
+    return html
+
+
+def references_sql(html: str) -> str:
+    """The same, decoded already."""
+    for (_, shown), letter in zip(REFERENCES, "aeinrt", strict=True):
+        html = f"replace({html}, ' {letter}', ' {shown} {letter}')"
+    return html
+
+
 @query(
     "SELECT page_id, list_filter(list_transform(regexp_extract_all(html, 'class=\"result__snippet[^>]*>(.*?)</a>', 1, 's')[1:3], lambda s: trim("
     + UNESCAPE.format("regexp_replace(s, '<[^>]+>', '', 'g')")
-    + ")), lambda s: s <> '') AS snippets FROM (SELECT page_id, replace(html, '<a href', '<a class=\"result__snippet\" href') AS html FROM pages)"
+    + f")), lambda s: s <> '') AS snippets FROM (SELECT page_id, {references_sql('h')} AS html FROM (SELECT page_id, replace(replace(html, '<a href', '<a class=\"result__snippet x\" href'), '</a>', ' tree </a>') AS h FROM pages))"
 )
 def html_snippets(spark, sf):
-    html = F.replace(F.col("html"), F.lit("<a href"), F.lit('<a class="result__snippet" href'))
+    html = F.replace(F.col("html"), F.lit("<a href"), F.lit('<a class="result__snippet x" href'))
+    html = with_references(F.replace(html, F.lit("</a>"), F.lit(" tree </a>")))
     return table(spark, sf, "pages").select("page_id", T.snippets(html).alias("snippets"))
 
 
@@ -434,9 +484,9 @@ def html_tag_strip(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.strip_tags(F.col("html")).alias("text"))
 
 
-@query(f"SELECT page_id, {UNESCAPE.format('html')} AS html FROM pages")
+@query(f"SELECT page_id, {UNESCAPE.format(references_sql('html'))} AS html FROM pages")
 def html_unescape(spark, sf):
-    return table(spark, sf, "pages").select("page_id", T.unescape(F.col("html")).alias("html"))
+    return table(spark, sf, "pages").select("page_id", T.unescape(with_references(F.col("html"))).alias("html"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -451,10 +501,24 @@ def json_field_extract(spark, sf):
 def comment_lines_distinct(spark, sf):
     rows = table(spark, sf, "events").select("event_id", "event_type", F.from_json("props", "k BIGINT")["k"].alias("k"))
     even = F.concat("event_type", (F.floor(F.col("k") / 2) * 2).cast("string"))
-    payload = F.format_string('{"x": 1, "_comments": {"a": "%s%s", "b": "fixed", "c": 5, "d": "%s", "e": {"f": "no"}}}', F.col("event_type"), F.col("k").cast("string"), even)
+    said = '[{"x": {"_comments": {"a": "%s%s", "c": 5}}, "y": [{"_comments" : {"b": "fixed", "e": {"f": {"g": "no"}}}}]}, {"_comments": {"d": "%s", "a": "fixed"}}]'
+    payload = F.format_string(said, F.col("event_type"), F.col("k").cast("string"), even)
     return rows.select("event_id", payloads.comment_lines(payload, 8).alias("lines"))
 
 
+@query(
+    "SELECT symbol, CAST(ordinal AS INTEGER) AS ordinal, displayPeriod, incTrev, qIncTrev FROM (SELECT 'c' || c_custkey AS symbol, unnest(range(0, 4)) AS ordinal, unnest(['P0', 'P1', NULL, 'P3']) AS displayPeriod,"
+    " unnest([c_acctbal, NULL, CAST(c_custkey AS DOUBLE), NULL]) AS incTrev, unnest([NULL, -1.5e3::DOUBLE, NULL, 0]) AS qIncTrev FROM customer)"
+)
+def payload_periods(spark, sf):
+    said = '[{"displayPeriod": "P0", "incTrev": %s, "qIncTrev": "12"}, {"displayPeriod": "P1", "incTrev": "%s", "qIncTrev": -1.5e3}, {"incTrev": %s, "qIncTrev": true}, {"displayPeriod": "P3", "incTrev": null, "qIncTrev": 0}, "no period"]'
+    text, key = F.col("c_acctbal").cast("string"), F.col("c_custkey").cast("string")
+    array = F.format_string(said, text, text, key)
+    payload = F.when(F.col("c_custkey") % 2 == 0, array).otherwise(F.concat(F.lit('{"success": true, "data": '), array, F.lit("}")))
+    rows = table(spark, sf, "customer").select(F.concat(F.lit("c"), key).alias("symbol"), payload.alias("payload"), F.lit("ok").alias("status"))
+    return payloads.periods(rows, "income").select("symbol", "ordinal", "displayPeriod", "incTrev", "qIncTrev")
+
+
 MONEY_TEXT = "CASE o_orderkey % 4 WHEN 0 THEN 'worth ₹ ' || CAST(o_orderkey AS VARCHAR) || ',000.5 Lakh Crore and $3 Cr' WHEN 1 THEN 'about $' || CAST(o_orderkey AS VARCHAR) || '.25 bILLION' WHEN 2 THEN 'none ₹ of Cr' ELSE '₹' || CAST(o_orderkey AS VARCHAR) || 'Cr' END"
 
 
@@ -463,11 +527,16 @@ def money_regex_extract(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", T.money(F.expr(MONEY_TEXT.replace("VARCHAR", "STRING"))).alias("money"))
 
 
-@query("SELECT doc_id, trim(substr('```markdown', 1, 0) || text, ' ' || chr(10)) AS answer FROM documents WHERE NOT contains(text, '`')")
+FENCED = "CASE doc_id % 4 WHEN 0 THEN '```markdown' || chr(10) || text || chr(10) || '```' || chr(10) WHEN 1 THEN chr(10) || ' ```' || text || '``` x' || chr(10) || '``` tail' WHEN 2 THEN chr(9) || text || chr(10) ELSE '```markdown' || text END"
+STRIPPED = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN starts_with(a, '```') THEN {STRIPPED.format("CASE WHEN contains(b, '```') THEN regexp_extract(b, '^(.*)```', 1, 's') ELSE b END")} ELSE a END AS answer FROM (
+      SELECT doc_id, a, CASE WHEN starts_with(a, '```markdown') THEN substr(a, 12) ELSE substr(a, 4) END AS b FROM (SELECT doc_id, {STRIPPED.format(FENCED)} AS a FROM documents))"""
+)
 def fence_strip(spark, sf):
-    docs = table(spark, sf, "documents")  # those with fences of their own, too, which the SQL leaves out
-    fenced = F.concat(F.lit("```markdown\n"), F.col("text"), F.lit("\n```\n"))
-    return docs.select("doc_id", T.strip_fences(fenced).alias("answer")).select("doc_id", F.btrim("answer", F.lit(" \n")).alias("answer"))
+    return table(spark, sf, "documents").select("doc_id", T.strip_fences(F.expr(FENCED)).alias("answer"))
 
 
 # ---- dictionary, routing, lists
@@ -528,14 +597,14 @@ def bundle_merge(spark, sf):
 
 # ---- reports
 
-SECTION_TEXT = "SELECT nation AS symbol, CAST(period AS INTEGER) AS ordinal, '### ' || CASE WHEN period % 3 = 0 THEN 'DuPont Return Decomposition' WHEN period % 3 = 1 THEN 'Financial Performance & Growth Metrics' ELSE 'Simple Summary for Investors' END || chr(10) || revenue AS markdown FROM (SELECT c_nationkey AS nation, c_custkey % 7 AS period, count(*) AS revenue FROM customer WHERE c_nationkey % 3 <> 0 OR c_custkey % 7 % 3 <> 2 GROUP BY ALL)"
+SECTION_TEXT = "SELECT nation AS symbol, CAST(period AS INTEGER) AS ordinal, '### ' || CASE WHEN period % 3 = 0 THEN 'DuPont Return Decomposition' WHEN period % 3 = 1 THEN 'Financial Performance & Growth Metrics' WHEN nation % 3 = 0 THEN 'Appendix' ELSE 'Simple Summary for Investors' END || chr(10) || revenue AS markdown FROM (SELECT c_nationkey AS nation, c_custkey % 7 AS period, count(*) AS revenue FROM customer GROUP BY ALL)"
 REPORT_SQL = f"SELECT symbol, '# Report: ' || symbol || chr(10) || chr(10) || string_agg(markdown, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY ordinal) || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '*end*' || chr(10) AS report FROM ({SECTION_TEXT}) GROUP BY symbol"
 
 
 def _reports(spark, sf):
-    rows = table(spark, sf, "customer").withColumn("period", F.col("c_custkey") % 7).filter("c_nationkey % 3 <> 0 or period % 3 <> 2")
+    rows = table(spark, sf, "customer").withColumn("period", F.col("c_custkey") % 7)
     counts = rows.groupBy(F.col("c_nationkey").alias("symbol"), F.col("period").cast("int").alias("ordinal")).agg(F.count("*").alias("n"))
-    head = F.when(F.col("ordinal") % 3 == 0, report.AUDIT_MARKERS[0]).when(F.col("ordinal") % 3 == 1, report.AUDIT_MARKERS[1]).otherwise(report.AUDIT_MARKERS[2])
+    head = F.when(F.col("ordinal") % 3 == 0, report.AUDIT_MARKERS[0]).when(F.col("ordinal") % 3 == 1, report.AUDIT_MARKERS[1]).when(F.col("symbol") % 3 == 0, "Appendix").otherwise(report.AUDIT_MARKERS[2])
     sections = counts.select("symbol", "ordinal", F.concat(F.lit("### "), head, F.lit("\n"), F.col("n").cast("string")).alias("markdown"))
     return report.assemble(sections, F.concat(F.lit("# Report: "), F.col("symbol").cast("string")), "*end*")
 
@@ -644,6 +713,117 @@ def section_overview(spark, sf):
     return sections.wide(stored(rows, "stock_summary", payload), web).select("symbol", sections.overview().alias("markdown"))
 
 
+def _engine(spark, rows: list[DataFrame], web: DataFrame | None = None) -> Engine:
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r)
+    return Engine(spark, None, every, web)
+
+
+def _periods_json(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """symbol, payload: a JSON array of a nation's periods, the oldest first."""
+    item = F.struct(F.col("period").alias("displayPeriod"), *(F.col(c).alias(n) for n, c in fields.items()))
+    return rows.groupBy(F.concat(F.lit("n"), F.col("nation").cast("string")).alias("symbol")).agg(F.to_json(F.sort_array(F.collect_list(item))).alias("payload"))
+
+
+def table_head(kind: str) -> str:
+    head = {
+        "quarterly": "#### Latest Quarterly Financial Results Table (in ₹ Cr)\n| Quarter Period | Total Sales / Revenue | Operating Profit | Net Profit (PAT) | EPS (₹) | Quarterly Sales Trend |\n",
+        "annual": "#### Latest Annual Financial Results Table (in ₹ Cr)\n| Fiscal Year | Total Sales / Revenue | Operating Profit | Net Profit (PAT) | EPS (₹) | Yearly Sales Growth |\n",
+        "balance": "#### Balance Sheet Capital Structure (in ₹ Cr)\n| Fiscal Period | Company Net Worth (Equity) | Total Loans (Debt) | Cash & Short-Term Investments | Debt-to-Equity | Financial Health |\n",
+    }[kind]
+    return head + "| :--- | :--- | :--- | :--- | :--- | :--- |\n"
+
+
+INCOME_ROW = f"string_agg('| ' || period || ' | ₹' || {MONEY.format('revenue')} || ' | ₹' || {MONEY.format('revenue - cost')} || ' | ₹' || {MONEY.format('revenue - cost - tax')} || ' | N/A | ' || trend || ' |', chr(10) ORDER BY period DESC)"
+
+
+def income_rows_sql(unit: str) -> str:
+    return f"SELECT nation, {INCOME_ROW} AS rows FROM (SELECT * FROM ({growth_sql(statement_sql(unit))}) QUALIFY row_number() OVER (PARTITION BY nation ORDER BY period DESC) <= 8) GROUP BY nation"
+
+
+@query(
+    f"""SELECT 'n' || q.nation AS symbol, '### Financial Performance & Growth Metrics\n\n{table_head('quarterly')}' || q.rows || '\n\n{table_head('annual')}'
+      || CASE WHEN q.nation % 2 = 0 THEN a.rows ELSE '| Data unavailable from live API | — | — | — | — | — |' END || '\n\n{report.READING}' AS markdown
+      FROM ({income_rows_sql('quarter')}) q JOIN ({income_rows_sql('year')}) a USING (nation)"""
+)
+def section_financial_results(spark, sf):
+    shown = {"ebit": F.col("revenue") - F.col("cost"), "pat": F.col("revenue") - F.col("cost") - F.col("tax")}
+    quarterly = _periods_json(statement(spark, sf, "quarter").withColumns(shown), {"qIncTrev": "revenue", "qIncEbi": "ebit", "qIncNinc": "pat"})
+    annual = _periods_json(statement(spark, sf, "year").withColumns(shown), {"incTrev": "revenue", "incEbi": "ebit", "incNinc": "pat"})
+    annual = annual.withColumn("payload", F.when(F.substring("symbol", 2, 9).cast("int") % 2 == 0, F.col("payload")).otherwise("[]"))
+    return _engine(spark, [stored(quarterly, "quarterly_income", F.col("payload")), stored(annual, "annual_income", F.col("payload"))]).section("financial_results")
+
+
+@query(
+    f"""SELECT 'n' || nation AS symbol, '### Capital Structure & Solvency Analysis\n\n{table_head('balance')}'
+      || string_agg('| ' || period || ' | ₹' || {MONEY.format('equity')} || ' | ₹' || {MONEY.format('debt')} || ' | N/A | ' || {PLAIN.format('debt / equity')} || 'x | ' || CASE WHEN debt / equity < 1 THEN 'Healthy Solvency' ELSE 'Elevated Leverage' END || ' |', chr(10) ORDER BY period DESC)
+      || '\n\n💡 **Computed Solvency Metrics (TTM)**:\n1. Debt of n' || nation || '\n2. b\n3. c\n4. d\n5. e\n6. f' AS markdown
+      FROM (SELECT * FROM ({YEARLY_SQL}) QUALIFY row_number() OVER (PARTITION BY nation ORDER BY period DESC) <= 8) GROUP BY nation"""
+)
+def section_balance_sheet(spark, sf):
+    rows = _periods_json(yearly(spark, sf), {"balTeq": "equity", "balTdeb": "debt"})
+    lines = F.concat(F.lit('{"solvency_ratios": {"_comments": {"a": "Debt of '), F.col("symbol"), F.lit('", "x": 1, "b": "b", "c": "c", "d": "d", "e": "e", "f": "f", "g": "g"}}}'))
+    return _engine(spark, [stored(rows, "balance_sheet", F.col("payload")), stored(rows, "solvency", lines)]).section("solvency_analysis")
+
+
+def _suppliers(spark, sf) -> DataFrame:
+    return table(spark, sf, "supplier").withColumn("symbol", F.concat(F.lit("s"), F.col("s_suppkey").cast("string")))
+
+
+@query(
+    """SELECT symbol, '### Core Business Segments & Revenue Engine\n\n#### Revenue Drivers & Operating Divisions\n' ||
+      CASE s_suppkey % 4 WHEN 0 THEN 'About ' || s_name || '\n\nweb ' || s_name WHEN 1 THEN 'About ' || s_name WHEN 2 THEN 'web ' || s_name ELSE 'No live business-segment data available for ' || upper(symbol) || '; see the filing passages below.' END AS markdown
+      FROM (SELECT *, 's' || s_suppkey AS symbol FROM supplier)"""
+)
+def section_operations(spark, sf):
+    rows, kind = _suppliers(spark, sf), F.col("s_suppkey") % 4
+    payload = F.to_json(F.struct(F.array(F.struct(F.when(kind < 2, F.concat(F.lit("About "), "s_name")).alias("description"))).alias("aboutAndPeers")))
+    web = rows.select("symbol", F.when(kind.isin(0, 2), F.concat(F.lit("web "), "s_name")).alias("web"))
+    return _engine(spark, [stored(rows, "stock_summary", payload)], web).section("core_business")
+
+
+@query(
+    """SELECT symbol, '### Strategic Expansion & Capital Allocation Pipeline\n\n#### Live Strategic Initiatives & Capex Pipeline\n' ||
+      CASE WHEN s_suppkey % 2 = 0 THEN 'web ' || s_name ELSE 'No live expansion headlines available for ' || upper(symbol) || '; see the filing passages below.' END
+      || CASE WHEN s_suppkey % 3 = 0 THEN '\n\n- **Computed Capital Allocation & Liquidity Metrics (TTM)**:\n  - ROIC of ' || s_name || '\n  - Current ratio' ELSE '' END AS markdown FROM (SELECT *, 's' || s_suppkey AS symbol FROM supplier)"""
+)
+def section_expansion(spark, sf):
+    rows, third = _suppliers(spark, sf), F.col("s_suppkey") % 3 == 0
+    lines = F.when(third, F.to_json(F.struct(F.struct(F.concat(F.lit("ROIC of "), "s_name").alias("r")).alias("_comments")))).otherwise("{}")
+    web = rows.select("symbol", F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("web "), "s_name")).alias("web"))
+    liquidity = F.when(third, '{"_comments": {"a": "Current ratio"}}')
+    return _engine(spark, [stored(rows, "capital_efficiency", lines), stored(rows, "liquidity", liquidity)], web).section("expansion_plans")
+
+
+@query("SELECT 's' || s_suppkey AS symbol, '### Section Financial Analysis\n\n' || CASE WHEN s_suppkey % 2 = 0 THEN '{\"k\":' || s_suppkey || '}' ELSE 'unavailable: timeout' END AS markdown FROM supplier")
+def section_unknown(spark, sf):
+    even = F.col("s_suppkey") % 2 == 0
+    payload = F.when(even, F.to_json(F.struct(F.col("s_suppkey").alias("k"))))
+    bundle = _suppliers(spark, sf).select("symbol", F.lit("full_financial_bundle").alias("endpoint"), payload.alias("payload"), F.when(even, "ok").otherwise("unavailable: timeout").alias("status"))
+    return _engine(spark, [bundle]).section("something_else")
+
+
+@query(
+    "SELECT n_name AS symbol, name AS endpoint, replace(path, '{s}', replace(n_name, ' ', '%20')) AS path FROM nation, (VALUES ('search_stock_ticker', '/api/v1/stocks/search?q={s}'), ('quarterly_income', '/api/v1/stocks/{s}/income/quarterly'),"
+    " ('annual_income', '/api/v1/stocks/{s}/income/annual'), ('quarterly_growth', '/api/v1/stocks/{s}/income/quarterly/growth'), ('annual_growth', '/api/v1/stocks/{s}/income/annual/growth'), ('balance_sheet', '/api/v1/stocks/{s}/balancesheet'),"
+    " ('balancesheet_growth', '/api/v1/stocks/{s}/balancesheet/growth'), ('cash_flow', '/api/v1/stocks/{s}/cashflow'), ('stock_summary', '/api/v1/stocks/{s}/summary'), ('stock_peers', '/api/v1/stocks/{s}/peers'), ('dupont', '/api/v1/stocks/{s}/dupont'),"
+    " ('solvency', '/api/v1/stocks/{s}/solvency'), ('liquidity', '/api/v1/stocks/{s}/liquidity'), ('capital_efficiency', '/api/v1/stocks/{s}/capital-efficiency'), ('cagr', '/api/v1/stocks/{s}/cagr'), ('full_financial_bundle', '/api/v1/stocks/{s}/financials')) e(name, path)"
+)
+def endpoint_requests(spark, sf):
+    return endpoints.requests(table(spark, sf, "nation").select(F.col("n_name").alias("symbol")))
+
+
+@query("SELECT n_name || '.txt' AS source, 'Filing of ' || n_name || chr(10) AS content, 'ok' AS status FROM nation WHERE n_nationkey % 5 <> 0")
+def folder_scan(spark, sf):
+    path = shared_path(spark, "filings")
+    text = F.when(F.col("n_nationkey") % 5 == 0, " \n").otherwise(F.concat(F.lit("Filing of "), "n_name", F.lit("\n")))  # some are blank
+    rows = table(spark, sf, "nation").select(F.concat("n_name", F.lit(".txt")), text).collect()  # a fixed table of 25 rows
+    for name, content in [*rows, ("report.md", "no filing")]:
+        sinks.save_upload(spark, path, "all", name, content.encode())
+    return filings.scan_folder(spark, f"{path}/all")
+
+
 def queries() -> dict:
     return {name: f for name, (f, _) in QUERIES.items()}
 

@@ -1,5 +1,8 @@
 """A session with the settings the engine relies on."""
 
+import re
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -16,3 +19,15 @@ def session(app: str = "filigrane", master: str | None = None, **conf: str) -> S
     for k, v in (settings | {_name(k): v for k, v in conf.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in spark.checkpoint.dir, removed when the JVM ends; a folder of this machine only if all runs on it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"{spark.sparkContext._jvm.java.lang.System.getProperty('java.io.tmpdir')}/filigrane"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}")
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return where.toString()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # fixed values: endpoint paths by their operator
@@ -29,6 +31,15 @@ ENDPOINTS = {
 WHOLE = frozenset(("dupont", "solvency", "liquidity", "capital_efficiency", "cagr"))
 
 
+def requests(symbols: DataFrame) -> DataFrame:
+    """symbol, endpoint, path: what would be asked for every symbol, percent-encoded as UTF-8 (a slash stays, as in a path)."""
+    paths = F.create_map(*(F.lit(x) for pair in ENDPOINTS.items() for x in pair))
+    quoted = F.regexp_replace(F.regexp_replace(F.url_encode("symbol"), r"\+", "%20"), r"\*", "%2A")
+    quoted = F.replace(F.replace(quoted, F.lit("%2F"), F.lit("/")), F.lit("%7E"), F.lit("~"))
+    rows = symbols.select("symbol", quoted.alias("__q"), F.explode(paths).alias("endpoint", "path"))
+    return rows.select("symbol", "endpoint", F.replace("path", F.lit("{symbol}"), "__q").alias("path"))
+
+
 class Pair(InputPartition):
     def __init__(self, symbol: str, endpoint: str):
         self.symbol, self.endpoint = symbol, endpoint

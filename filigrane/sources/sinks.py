@@ -28,13 +28,64 @@ def register_symbol(spark: SparkSession, path: str, ticker: str | None) -> None:
     spark.createDataFrame([(ticker.strip().lower(),)], "symbol string").write.mode("append").parquet(path)
 
 
+def download(spark: SparkSession, url: str, path: str, symbol: str, name: str, headers: dict[str, str] | None = None, timeout: float = 30) -> int:
+    """Store what a URL returns in the landing folder of a symbol, piece by piece; the count of bytes.
+
+    ValueError if it is empty (nothing is left then); what the request or the file system raises goes through.
+    """
+    from urllib.request import Request, urlopen
+
+    target, fs = _target(spark, path, symbol, name)
+    size = 0
+    with urlopen(Request(url, headers=headers or {}), timeout=timeout) as answer:
+        out = fs.create(target, True)
+        try:
+            while piece := answer.read(1 << 20):
+                out.write(bytearray(piece))
+                size += len(piece)
+        finally:
+            out.close()
+    if not size:
+        fs.delete(target, False)
+        raise ValueError("the download is empty")
+    return size
+
+
+def ingest(spark: SparkSession, path: str, symbol: str, uploads: dict[str, bytes], urls: dict[str, str], regenerate=None, required: tuple[str, ...] = ("annual_report.pdf",)) -> list[str]:
+    """Save uploads (name: bytes) and downloads (name: URL), then call regenerate(symbol) if anything was saved; the names saved.
+
+    A download that fails is an error if its name is required, else it is left out; so is a failed regeneration.
+    """
+    saved = []
+    for name, url in urls.items():
+        try:
+            download(spark, url, path, symbol, name)
+            saved.append(name)
+        except (OSError, ValueError):
+            if name in required:
+                raise
+    for name, content in uploads.items():
+        save_upload(spark, path, symbol, name, content)
+        saved.append(name)
+    if saved and regenerate is not None:
+        try:
+            regenerate(symbol)
+        except Exception:  # the files are saved; the report can be made again later
+            return saved
+    return saved
+
+
+def _target(spark: SparkSession, path: str, symbol: str, name: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{symbol.strip().lower()}/{name}")
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def save_upload(spark: SparkSession, path: str, symbol: str, name: str, content: bytes) -> str:
     """Store an upload in the landing folder of a symbol, by any file system Spark knows. ValueError if it is empty."""
     if not content:
         raise ValueError("the upload is empty")
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(f"{path}/{symbol.lower()}/{name}")
-    out = target.getFileSystem(conf).create(target, True)
+    target, fs = _target(spark, path, symbol, name)
+    out = fs.create(target, True)
     try:
         out.write(bytearray(content))
     finally:

@@ -17,18 +17,22 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("status", F.coalesce("status", F.when(F.col("payload").isNull(), "unavailable").otherwise("ok")))
 
 
+def number(value: Column) -> Column:
+    """A variant's value if it is a JSON number; text and booleans are null."""
+    return F.when(F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(value, "$", "double"))
+
+
 def periods(payloads: DataFrame, kind: str) -> DataFrame:
     """symbol, ordinal (0 is the oldest) and the typed fields of every period of an array payload.
 
-    A payload may be the array itself or an envelope with it under `data`; text where a number is due is null.
+    A payload may be the array itself or an envelope with it under `data`; what is no object is no period, and
+    text where a number is due is null.
     """
     names = [x.split()[0] for x in SCHEMAS[kind].split(", ")]
-    array = f"ARRAY<STRUCT<{', '.join(f'{n}: STRING' for n in names)}>>"
-    direct = F.from_json("payload", array)
-    wrapped = F.from_json("payload", f"STRUCT<data: {array}>")["data"]
-    is_array = F.ltrim(F.col("payload")).startswith("[")
-    rows = payloads.filter("status = 'ok'").select("symbol", F.posexplode(F.when(is_array, direct).otherwise(wrapped)).alias("ordinal", "p"))
-    return rows.select("symbol", "ordinal", F.col("p.displayPeriod").alias("displayPeriod"), *(F.expr(f"try_cast(p.{n} AS DOUBLE)").alias(n) for n in names[1:]))
+    said = F.try_parse_json("payload")
+    every = F.coalesce(F.try_variant_get(said, "$", "array<variant>"), F.try_variant_get(said, "$.data", "array<variant>"))
+    rows = payloads.filter("status = 'ok'").select("symbol", F.posexplode(every).alias("ordinal", "p")).filter(F.schema_of_variant("p").startswith("OBJECT"))
+    return rows.select("symbol", "ordinal", F.try_variant_get("p", "$.displayPeriod", "string").alias("displayPeriod"), *(number(F.try_variant_get("p", f"$.{n}", "variant")).alias(n) for n in names[1:]))
 
 
 def either(*names: str) -> Column:
@@ -36,9 +40,19 @@ def either(*names: str) -> Column:
     return F.coalesce(*names)
 
 
+def _braced(depth: int) -> str:
+    inner = "" if depth == 0 else f"|{_braced(depth - 1)}"
+    return rf"\{{(?:[^{{}}]++{inner})*+\}}"
+
+
+#: Objects under `_comments`, wherever they stand; in them, objects lie at most so deep.
+COMMENT_DEPTH = 6
+_COMMENTS = rf'"_comments"\s*+:\s*+({_braced(COMMENT_DEPTH)})'
+
+
 def comment_lines(payload: Column, most: int) -> Column:
-    """The string values under `_comments` of an object payload, each once in first-seen order, at most so many."""
-    parsed = F.from_json(payload, "STRUCT<_comments: STRING>")["_comments"]
-    pairs = F.map_values(F.from_json(parsed, "MAP<STRING, VARIANT>"))
-    texts = F.transform(F.filter(pairs, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.variant_get(v, "$", "string"))
-    return F.slice(F.array_distinct(F.coalesce(texts, F.array().cast("array<string>"))), 1, most)
+    """The string values of all `_comments` objects of a payload at any depth, each once in first-seen order, at most so many."""
+    objects = F.regexp_extract_all(F.coalesce(payload, F.lit("")), F.lit(_COMMENTS), F.lit(1))
+    values = F.flatten(F.transform(objects, lambda o: F.coalesce(F.map_values(F.from_json(o, "MAP<STRING, VARIANT>")), F.array().cast("array<variant>"))))
+    texts = F.transform(F.filter(values, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.variant_get(v, "$", "string"))
+    return F.slice(F.array_distinct(texts), 1, most)

@@ -196,7 +196,7 @@ def test_text(spark):
     page = "".join(f'<a class="result__snippet x" href="#">{x}</a>' for x in ("one <b>&amp;\nmore</b>", " ", "&quot;q&quot;", "fourth"))
     assert one(T.snippets(F.lit(page))) == ["one &\nmore", '"q"']
     assert [one(T.strip_fences(F.lit(x))) for x in ("```markdown\na\n```", "```\nb\n``` tail", "c", "```d ``` e\n```")] == ["a", "b", "c", "d ``` e"]
-    assert one(T.unescape_all(F.lit("&eacute;&lt;&#x41;"))) == "é<A"
+    assert one(T.unescape(F.lit("&eacute;&lt;&#x41;"))) == "é<A"
     assert one(T.numbered(F.array(F.lit("a"), F.lit("b")))) == "1. a\n2. b"
 
 

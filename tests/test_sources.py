@@ -39,6 +39,11 @@ def test_payloads(spark, tmp_path):
     assert statements.periods(rows.filter("endpoint = 'annual_income'"), "income").count() == 2
     lines = rows.filter("endpoint = 'solvency'").select(statements.comment_lines(F.col("payload"), 12).alias("x")).first().x
     assert lines == ["line [one]", "two"]
+    odd = [("s", '[{"displayPeriod": "A", "incTrev": "123", "incEbi": 1e3, "incEps": true}, 5, null, {"displayPeriod": null, "incNinc": -2}]', "ok"), ("t", "not json", "ok"), ("u", None, "ok"), ("v", '{"data": {}}', "ok")]
+    typed = statements.periods(spark.createDataFrame(odd, "symbol string, payload string, status string"), "income").orderBy("ordinal").collect()
+    assert [(r.displayPeriod, r.incTrev, r.incEbi, r.incEps, r.incNinc) for r in typed] == [("A", None, 1000.0, None, None), (None, None, None, None, -2.0)]
+    nested = '{"x": {"_comments": {"a": "1", "b": {"c": "no"}, "d": 2}}, "y": [{"_comments" :{"e": "2", "f": "1"}}], "_comments": "text"}'
+    assert spark.range(1).select(statements.comment_lines(F.lit(nested), 9).alias("x"), statements.comment_lines(F.lit(None).cast("string"), 9).alias("y")).first()[:] == (["1", "2"], [])
 
 
 def test_facade(spark, tmp_path):
@@ -60,6 +65,12 @@ def test_facade(spark, tmp_path):
     peers = web.section("clients_market").filter("symbol = 'ab'").first().markdown
     assert peers.endswith("  - Other\n  - Third") and "worth" in peers
     assert "full" in web.section("unknown").first().markdown
+    results = engine.section("financial_performance").filter("symbol = 'ab'").first().markdown
+    assert results.startswith(report.HEADINGS["financial_results"] + "\n\n#### Latest Quarterly") and results.count("| :--- | :--- | :--- | :--- | :--- | :--- |") == 2 and "| FY2 |" in results
+    assert report.MISSING_ROW in engine.section("financial_results").filter("symbol = 'cd'").first().markdown
+    assert engine.section("balance_sheet").filter("symbol = 'ab'").first().markdown.endswith(":\n1. line [one]\n2. two")
+    valued = engine.dcf_report(spark.createDataFrame([("ab", 100.0, 10.0, 50.0)], "grp string, fcf double, shares double, price double"), 0.03).first()
+    assert valued.symbol == "ab" and "| Intrinsic value | ₹1,225" in valued.report and "| Upside to the price | " in valued.report
     done = engine.report().collect()
     own = next(r for r in done if r.symbol == "ab")
     assert not own.is_accurate and report.HEADINGS["financial_results"] in own.report and own.report.endswith("*end of report*\n")
@@ -72,6 +83,24 @@ def test_folder_scan(spark, tmp_path):
     assert rows == {"a.txt": ("hello", "ok"), "b.md": ("é\n", "ok"), "c.pdf": (None, "unreadable")}
 
 
+def test_ingest_and_providers(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF" * 10)
+    (tmp_path / "empty.pdf").write_bytes(b"")
+    land, asked = str(tmp_path / "land"), []
+    url = lambda name: (tmp_path / name).as_uri()
+    assert sinks.download(spark, url("a.pdf"), land, "AB", "x.pdf") == 40
+    saved = sinks.ingest(spark, land, "AB", {"presentation.pdf": b"p"}, {"annual_report.pdf": url("a.pdf"), "other.pdf": url("none.pdf")}, asked.append)
+    assert saved == ["annual_report.pdf", "presentation.pdf"] and asked == ["AB"] and (tmp_path / "land/ab/annual_report.pdf").read_bytes() == b"%PDF" * 10
+    with pytest.raises(ValueError):
+        sinks.ingest(spark, land, "AB", {}, {"annual_report.pdf": url("empty.pdf")}, asked.append)
+    assert sinks.ingest(spark, land, "AB", {}, {}, asked.append) == [] and asked == ["AB"]
+    slow = lambda c, p: __import__("time").sleep(1) or "late"
+    assert report.chain((slow, 0.05), (lambda c, p: " ", 1), (lambda c, p: f" {c}{p} ", 1))("a", "b") == "ab"
+    with pytest.raises(RuntimeError):
+        report.chain((slow, 0.05))("a", "b")
+    assert report.missing_settings("Gemini", {}) == ["GEMINI_API_KEY"] and report.missing_settings("gemini", {"GEMINI_API_KEY": "x"}) == report.missing_settings("local", {}) == []
+
+
 def test_endpoints(spark):
     spark.dataSource.register(EndpointSource)
     rows = spark.read.format("endpoints").options(base="http://127.0.0.1:9", symbols="a,b", endpoints="solvency,cagr", timeout="1").load().collect()
