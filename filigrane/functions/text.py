@@ -15,7 +15,7 @@ MONEY = r"(?i)(?:₹|\$)\s*[\d\.,]+\s*(?:Trillion|Billion|Lakh\s*Crore|Crore|Cr)
 
 def tokens(text: Column) -> Column:
     """Lower case, split at white space in the Unicode sense, no empty tokens."""
-    return F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(text), r"(?U)\s+"), "")
 
 
 def windows(text: Column, size: int, overlap: int) -> Column:

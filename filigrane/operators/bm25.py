@@ -25,10 +25,6 @@ def term_score(weight: Column, tf: Column, length: Column, avgdl: Column, k1: fl
     return weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.greatest(F.lit(1.0), avgdl)))
 
 
-def is_term(term: str):
-    return lambda x: x == term
-
-
 def tokenized(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
     return docs.select(F.col(key), *more, T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens")).withColumn("len", F.size("tokens"))
 
@@ -72,7 +68,7 @@ def search(docs: DataFrame, key: str, text: str, query: str, k: int, section: st
     chosen = rows.filter(section_kept(F.col(section_column) if section_column else F.lit("general"), section)) if section is not None else rows
     score = F.lit(0.0)
     for term, times in terms.items():
-        tf = F.size(F.filter("tokens", is_term(term))).cast("double")
+        tf = (F.col("len") - F.size(F.array_remove("tokens", term))).cast("double")
         score = score + F.when(tf > 0, term_score(F.lit(float(times)) * idf(F.col("n"), F.col(names[term])), tf, F.col("len"), F.col("avgdl"))).otherwise(0.0)
     scored = chosen.crossJoin(F.broadcast(stats)).select(F.col(key), score.alias("score"))  # stats is one row
     if drop_zero:
