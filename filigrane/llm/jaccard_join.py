@@ -229,12 +229,19 @@ def link_forest(groups: list[tuple[list[int], list[np.ndarray], list[bool] | Non
     return out
 
 
-def similar_components(docs: DataFrame, similar: int = SIMILAR, heavy: int = HEAVY, most_heavy: int = MOST_HEAVY, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def set_ids(texts) -> list[int]:
+    """set_id of each text of an Arrow array; equal sets have equal ids."""
+    flat, sizes = shingle_sets(texts)
+    return [set_id(s) for s in np.split(flat, np.cumsum(sizes)[:-1])] if len(texts) else []
+
+
+def similar_components(docs: DataFrame, similar: int = SIMILAR, heavy: int = HEAVY, most_heavy: int = MOST_HEAVY, block_shingles: int = BLOCK_SHINGLES, labelled_sets: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach from a document, itself included.
 
     docs: doc_id, text; other columns are ignored.  A null or empty text has no shingle and no link.  Rows
     that repeat a doc_id are documents of their own. A row with a null doc_id takes no part: its component_id
-    is null.  It runs jobs, and stages what they find.
+    is null.  It runs jobs, and stages what they find.  labelled_sets: also set_id, the id of the row's set, and
+    label, which is the same in all rows of a component and in no others (null for the empty set).
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -347,11 +354,14 @@ def similar_components(docs: DataFrame, similar: int = SIMILAR, heavy: int = HEA
 
     known = source.filter("doc_id is not null")
     lists = known.mapInArrow(postings, "key long, node long, n long, place long, load long")
-    salt = F.when(F.col("load") == 0, F.lit(0)).otherwise(F.pmod(F.col("node"), F.lit(_SALTS)))
+    salts = _SALTS << max(0, bits - 26)  # a list grows with the input, what a task holds of it does not
+    salt = F.when(F.col("load") == 0, F.lit(0)).otherwise(F.pmod(F.col("node"), F.lit(salts)))
     inside = Window.partitionBy("key", "salt")
-    lists = lists.select("key", "node", F.col("n").cast("int").alias("n"), F.col("place").cast("int").alias("place"), F.col("load").cast("byte").alias("load"), salt.cast("byte").alias("salt"))
-    met = lists.repartition("key", "salt").withColumns({"low": F.min("node").over(inside), "high": F.max("node").over(inside)})
-    met = staged(spark, met.filter("load <> 0 or low <> high").drop("high"), "lists")
+    lists = lists.select("key", "node", F.col("n").cast("int").alias("n"), F.col("place").cast("int").alias("place"), F.col("load").cast("byte").alias("load"), salt.cast("int").alias("salt"))
+    met = lists.repartition("key", "salt").withColumns({"low": F.min("node").over(inside), "high": F.max("node").over(inside), "size": F.count("*").over(inside)})
+    # lists that are long all the same, beyond the most_heavy, join nobody pair by pair either
+    load = F.when((F.col("load") == _LIGHT) & (F.col("size") > heavy), F.lit(_HEAVY)).otherwise(F.col("load"))
+    met = staged(spark, met.filter("load <> 0 or low <> high").withColumn("load", load.cast("byte")).drop("high", "size"), "lists")
 
     stars = met.filter(F.col("load").isin(_SUBSET, _HEAVY))
     heads = staged(spark, stars.groupBy("key").agg(F.min("low").alias("head"), F.max("low").alias("last")).filter("head <> last").drop("last"), "heads")
@@ -423,10 +433,11 @@ def similar_components(docs: DataFrame, similar: int = SIMILAR, heavy: int = HEA
     links = sets.groupBy("cell").applyInPandas(compare, "u long, v long")
     joined = components(spark, links)
 
-    labelled = rows.join(joined, "node", "left").select("row", "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
+    labelled = rows.join(joined, "node", "left").select("row", "doc_id", "n", "node", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
     least = staged(spark, labelled.filter("label is not null and doc_id is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
     out = labelled.join(least, "label", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    more = [F.col("node").alias("set_id"), "label"] if labelled_sets else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), *more)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

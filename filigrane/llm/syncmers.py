@@ -71,7 +71,7 @@ def anchors(docs: DataFrame) -> DataFrame:
 def _next_firsts(groups: DataFrame, level: int) -> DataFrame:
     """groups: b, f, a row a group with its smallest id. Returns b, nxt: the next group's f, the first's after the last.
 
-    Each level orders at most 2**_STEP groups in one task, the top at most 2**8.
+    Each level orders at most 2**_STEP groups in one task; the level below the top 2**(_STEP - 4), the top 2**12.
     """
     if level == _LEVELS:
         order = Window.orderBy("b")

@@ -20,8 +20,8 @@ from filigrane.llm.shared import prepare, scratch, staged, table
 CRLF = "\r\n"
 #: Payloads of fewer bytes are never written as revisits.
 MIN_REVISIT_BYTES = 0
-#: Records a file; it bounds what a reader's task holds.
-FILE_RECORDS = 9_000
+#: Captures a file by the size of their payloads, up to so many bytes: no file holds more than some 200 MB or one capture.
+FILE_CAPTURES = ((1 << 16, 3000), (1 << 21, 96), (1 << 62, 1))
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -78,7 +78,14 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVI
         ),
         _record(F.lit("metadata"), own(), [target, with_capture], "application/warc-fields", fields),
     )
-    rows.select(F.explode(records).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    most, least = base.agg(F.max("bytes"), F.min("bytes")).first()
+    above = -1
+    for k, (upto, captures_a_file) in enumerate(FILE_CAPTURES):
+        if k == 0 or (most or 0) > above:  # the first also for a table without rows
+            own = rows if (least or 0) > above and (most or 0) <= upto else rows.filter((F.col("bytes") > above) & (F.col("bytes") <= upto))
+            out = own.select(F.explode(records).alias("value")).write.mode("append").option("lineSep", CRLF * 2).option("compression", "gzip")
+            out.option("maxRecordsPerFile", 3 * captures_a_file).text(path)
+        above = upto
 
 
 RECORD = "kind string, record_id string, concurrent_to string, refers_to string, target_uri string, payload_digest string, payload_bytes long, page_id long"

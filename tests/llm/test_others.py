@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from filigrane.llm import html_text, language_id, metric_tree, quality, syncmers, warc
 from filigrane.llm.shared import prepare, scratch
@@ -47,6 +48,41 @@ def test_fingerprints(spark):
     assert syncmers.edited_fingerprints(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_fingerprints_equal_brute_force(spark):
+    import xxhash
+
+    hash64 = lambda b, seed: (x := xxhash.xxh64_intdigest(b, seed % 2**64)) - (x >> 63 << 64)
+    of_longs = lambda *v: __import__("functools").reduce(lambda seed, x: hash64(int(x).to_bytes(8, "little", signed=True), seed), v, 42)
+
+    def fingerprint(text):
+        words = [w for w in __import__("re").split("[ \t-\r]+", text) if w]
+        hashes = [hash64(w.encode(), 42) for w in words]
+        pairs = [of_longs(a, b) for a, b in zip(hashes, hashes[1:])]
+        found = {of_longs(*pairs[i : i + 1], pairs[i + 2], pairs[i + 3]) & 0xFFFFFFFF for i in range(len(pairs) - 3) if min(pairs[i], pairs[i + 3]) <= min(pairs[i + 1], pairs[i + 2])}
+        if not found and words:
+            seed = 42
+            for w in words:
+                seed = hash64(w.encode(), seed)
+            found = {seed & 0xFFFFFFFF}
+        return sorted(found)[: syncmers.SKETCH]
+
+    def likeness(a, b):
+        union = sorted({*a, *b})[: syncmers.SKETCH]
+        return 1.0 if not a and not b else len({*union} & {*a} & {*b}) / max(1, len(union))
+
+    rng = random.Random(8)
+    words = [f"v{i}" for i in range(200)]
+    rows = [(i, " ".join(rng.choices(words, k=n))) for i, n in enumerate((0, 1, 4, 5, 6, 9, 30, 31, 300, 700, 40))] + [(11, None), (12, "x y\tz"), (13, "x y\tz"), (14, "é " * 9)]
+    got = {r.doc_id: r for r in syncmers.edited_fingerprints(docs_of(spark, rows)).collect()}
+    shown = lambda f: "".join(f"{h:08x}" for h in f)
+    for (d, t), (_, u) in zip(rows, rows[1:] + rows[:1]):
+        t, u = t or "", u or ""
+        edit = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
+        own, other, changed = fingerprint(t), fingerprint(u), fingerprint(edit)
+        assert (got[d].fingerprint, got[d].edited_fingerprint) == (shown(own), shown(changed))
+        assert (got[d].near_edited, got[d].near_next) == (likeness(own, changed), likeness(own, other))
+
+
 def test_anchors_do_not_depend_on_context(spark):
     rng = random.Random(2)
     passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(80))
@@ -211,6 +247,12 @@ def test_warc(spark):
             else:
                 first = next(x for x in got if x.response.record_id == r.response.refers_to)
                 assert first.response.payload_digest == r.response.payload_digest and first.record_type == "response"
+    sizes = spark.createDataFrame([(i, "u", "x" * n) for i, n in enumerate((0, 10, 70_000, 70_001, 3_000_000, 3_000_001))], "page_id long, url string, html string")
+    for some in (sizes, sizes.filter("page_id > 3"), sizes.filter("page_id between 2 and 3")):
+        path = scratch(spark, "warc")
+        warc.write_archive(some, path)
+        found = warc.captures(warc.read_records(spark, path)).select("metadata.page_id", "response.payload_bytes").collect()
+        assert sorted((r.page_id, r.payload_bytes) for r in found) == sorted((r.page_id, len(r.html)) for r in some.collect())
     plain = b"WARC/1.0\r\nWARC-Type: metadata\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\nWARC-Type: x\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
     assert [b for _, b in warc.parse(plain)] == [b"abc", b""]
     assert warc.captures(warc.read_records(spark, path).limit(0)).count() == 0
@@ -382,5 +424,13 @@ def test_pipeline_stages_against_plain_versions(spark, sf):
     left = [r.doc_id for r in P.keep_one_of_similar(spark, some, sf).collect()]
     rows = [(r.doc_id, r.text) for r in docs.limit(90).collect()]
     assert sorted(x for x in left if x is not None) == sorted({c for *_, c in brute(rows)}) and left.count(None) == 1
+    clash = spark.createDataFrame([(5, "a b c d e f g", 1), (5, "a b c d e f g", 2), (5, "quite another text", 3), (6, "a b c d e f g", 4), (7, None, 5), (7, "", 6), (8, "", 7)], "doc_id long, text string, label long")
+    clash = clash.withColumns({"m": F.create_map(F.lit("k"), "label"), "component_id": F.lit(0), "lang": F.lit("en"), "n": F.lit("x")})
+    left = P.keep_one_of_similar(spark, clash, sf)
+    assert left.columns == clash.columns and sorted((r.doc_id, r.text or "") for r in left.collect()) == [(5, "a b c d e f g"), (5, "quite another text"), (7, ""), (7, ""), (8, "")]
+    for stage in (P.keep_quality, P.keep_language, P.keep_one_of_similar, P.pack):
+        assert stage(spark, clash.limit(0), sf).count() == 0
+    assert P.keep_quality(spark, clash, sf).columns == clash.columns and P.keep_language(spark, clash, sf).columns == clash.columns
+    assert sorted(r.doc_id for r in P.pack(spark, clash, sf).collect()) == [5, 5, 5, 6, 7, 7, 8]
     packed = P.run(spark, sf)
     assert packed.columns[0] == "doc_id" and 0 < packed.select("doc_id").distinct().count() < docs.count()

@@ -47,8 +47,9 @@ def edited(rng, words, n):
     return words
 
 
-@pytest.mark.parametrize("heavy,block", [(3, 400)])  # so that few copies already make heavy shingles and blocks
-def test_components_equal_brute_force(spark, heavy, block):
+# so that few copies already make heavy shingles and blocks; and, with none of them told in advance, long light lists
+@pytest.mark.parametrize("heavy,block,most_heavy", [(3, 400, J.MOST_HEAVY), (4, 10_000, 0)])
+def test_components_equal_brute_force(spark, heavy, block, most_heavy):
     prepare(spark)
     rng = random.Random(heavy)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -64,7 +65,7 @@ def test_components_equal_brute_force(spark, heavy, block):
     rng.shuffle(rows)
     ids = [(None if i % 41 == 40 else i // 2 if i % 29 == 28 else i, t) for i, t in enumerate(rows)]
     docs = spark.createDataFrame([(d, t, 1, "a", 5) for d, t in ids], "doc_id long, text string, node long, label string, n long").repartition(5)
-    got = J.similar_components(docs, heavy=heavy, block_shingles=block).collect()
+    got = J.similar_components(docs, heavy=heavy, block_shingles=block, most_heavy=most_heavy).collect()
     assert sorted(((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in got), key=repr) == brute(ids)
 
 
