@@ -16,7 +16,7 @@ _shipped: set[str] = set()
 
 #: Rows of one Arrow batch; with the byte bound it keeps a batch of long texts small.
 ARROW_ROWS = 1000
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 2 << 20
 #: Allocations of so many bytes go back to the system as soon as a worker frees them.
 MAPPED_BYTES = 1 << 20
 
@@ -126,7 +126,7 @@ def column(table, name: str):
     return c.chunk(0) if c.num_chunks == 1 else pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type)
 
 
-def annotated(docs: DataFrame, make, added: str, keep: list[str] | None = None, least_bytes: int = 8_000_000) -> DataFrame:
+def annotated(docs: DataFrame, make, added: str, keep: list[str] | None = None, least_bytes: int = 4_000_000) -> DataFrame:
     """docs with columns that make(texts) returns for each Arrow array of texts.
 
     added: their DDL, "name type, ..."; a column of docs that has such a name gives way.  keep: the columns of
@@ -147,7 +147,7 @@ def annotated(docs: DataFrame, make, added: str, keep: list[str] | None = None,
             work = work or make()
             texts = part.column(text_at)
             texts = texts.chunk(0) if texts.num_chunks == 1 else pa.concat_arrays(texts.chunks)
-            yield from pa.table([*(part.column(i) for i in range(text_at)), *work(texts)], names=[*carried, *new.names]).to_batches(max_chunksize=10_000)
+            yield from pa.table([*(part.column(i) for i in range(text_at)), *work(texts)], names=[*carried, *new.names]).to_batches(max_chunksize=ARROW_ROWS)
 
     schema = StructType([docs.schema[c] for c in carried] + list(new.fields))
     source = docs.select(*(F.col(f"`{c}`") for c in carried), F.col("text").cast("string").alias("__text"))
