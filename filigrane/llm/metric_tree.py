@@ -3,8 +3,8 @@
 One more coordinate, sqrt(M - |x|^2), puts all vectors on a sphere, where a larger inner product is a smaller
 distance.  The candidates are dealt into shards of bounded size, each an M-tree of paged nodes: a routing
 vector, the radius that covers the node, and its distance to the parent's routing vector.  A query walks a
-shard's nodes by their largest possible score; the distance to the parent and the stored one bound a
-node's distance before that is computed.  Queries come in blocks, each block to every shard, and the shards'
+shard's nodes by their largest possible score; the distance to the parent and the stored one bound the
+distance of a node, and of each vector of a leaf, before that is computed.  Queries come in blocks, each block to every shard, and the shards'
 results are merged.
 """
 
@@ -25,17 +25,17 @@ EVERY = 50
 SHARD_ROWS = 16_384
 PAGE_ROWS = 1024
 FAN_OUT = 16
-#: Queries that a task answers on a shard.
-BLOCK_ROWS = 2048
+#: Queries that a task answers on a shard: with as many as a shard has rows, the copies of both sides are fewest.
+BLOCK_ROWS = 16_384
 
 
 class Node:
     """A page. An inner one: its children, and as arrays their routing vectors, covering radii and distances to its own.
 
-    A leaf: rows in order of their ids, and their vectors.
+    A leaf: rows in order of their ids, their vectors and their distances to its routing vector.
     """
 
-    __slots__ = ("centre", "centres", "children", "least_id", "radii", "radius", "rows", "to_parent", "vectors")
+    __slots__ = ("away", "centre", "centres", "children", "least_id", "radii", "radius", "rows", "to_parent", "vectors")
 
 
 class MTree:
@@ -58,7 +58,8 @@ class MTree:
         node.radius, node.least_id = float(away.max()), int(self.ids[rows].min())
         node.children = None
         if len(rows) <= PAGE_ROWS or node.radius == 0.0:
-            node.rows = rows[np.argsort(self.ids[rows], kind="stable")]
+            order = np.argsort(self.ids[rows], kind="stable")
+            node.rows, node.away = rows[order], away[order]
             node.vectors = self.x[node.rows[:1]] if node.radius == 0.0 else self.x[node.rows]
             return node
         picks = [int(away.argmax())]  # routing vectors far from each other
@@ -78,10 +79,10 @@ class MTree:
         node.to_parent = np.sqrt(((node.centres - centre) ** 2).sum(1))
         return node
 
-    def search(self, q: np.ndarray, own: int | None, k: int) -> tuple[list[tuple], int]:
-        """The k best (score, id), ties to the smaller id, without rows of id own; and how many pages were read."""
+    def search(self, q: np.ndarray, own: int | None, k: int) -> tuple[list[tuple], int, int]:
+        """The k best (score, id), ties to the smaller id, without rows of id own; how many pages were read, and products made."""
         if self.root is None:
-            return [], 0
+            return [], 0, 0
         query = np.append(q.astype(np.float64), 0.0)
         base = float((query**2).sum()) + self.most
         slack = 1e-6 * (base + 1.0)
@@ -92,6 +93,7 @@ class MTree:
         best: list[tuple] = []  # heap of (score, -id)
         first = float(np.sqrt(((query - self.root.centre) ** 2).sum()))
         queue, tie, pages = [(-float(upper(first - self.root.radius)), 0, first, self.root)], 0, 0
+        products = 0
         while queue:
             bound, _, distance, node = heapq.heappop(queue)
             full = len(best) == k
@@ -107,24 +109,32 @@ class MTree:
                         tie += 1
                         heapq.heappush(queue, (-b, tie, at, node.children[i]))
                 continue
-            scores = node.vectors @ q
+            rows, vectors = node.rows, node.vectors
+            if full and node.radius > 0.0:  # the same for its vectors; a few less are not worth a copy
+                near = upper(np.abs(distance - node.away)) >= best[0][0]
+                if 2 * np.count_nonzero(near) < len(rows):
+                    rows, vectors = rows[near], vectors[near]
+            if not len(rows):
+                continue
+            products += len(vectors)
+            scores = vectors @ q
             if full and (most := scores.max()) <= best[0][0] and (most < best[0][0] or node.least_id >= -best[0][1]):
                 pages += node.radius > 0.0
                 continue
             pages += 1
             if node.radius == 0.0:  # equal vectors share one score
-                scores = scores.repeat(len(node.rows))
-            top = np.flatnonzero(scores >= best[0][0]) if full else np.arange(len(node.rows))
+                scores = scores.repeat(len(rows))
+            top = np.flatnonzero(scores >= best[0][0]) if full else np.arange(len(rows))
             if own is not None:  # before the cut, as an id may have any number of rows
-                top = top[self.ids[node.rows[top]] != own]
+                top = top[self.ids[rows[top]] != own]
             top = top[np.argsort(-scores[top], kind="stable")][:k]  # rows are in order of their ids
             for i in top.tolist():
-                vec, score = int(self.ids[node.rows[i]]), int(scores[i])
+                vec, score = int(self.ids[rows[i]]), int(scores[i])
                 if len(best) < k:
                     heapq.heappush(best, (score, -vec))
                 elif (score, -vec) > best[0]:
                     heapq.heapreplace(best, (score, -vec))
-        return [(s, -v) for s, v in sorted(best, reverse=True)], pages
+        return [(s, -v) for s, v in sorted(best, reverse=True)], pages, products
 
 
 def exact_matrix(vectors: list[np.ndarray], scale: int = SCALE) -> np.ndarray:

@@ -214,9 +214,25 @@ def test_metric_tree_prunes():
     centres = rng.normal(size=(40, 4)) * 5
     x = metric_tree.exact_matrix(list(np.repeat(centres, 250, 0) + rng.normal(size=(10_000, 4)) * 0.01))
     tree = metric_tree.MTree(np.arange(len(x)), x)
-    best, pages = tree.search(x[0], 0, 5)
+    best, pages, products = tree.search(x[0], 0, 5)
     scores = x @ x[0]
-    assert [i for _, i in best] == sorted(range(1, len(x)), key=lambda i: (-scores[i], i))[:5] and pages < 20
+    assert [i for _, i in best] == sorted(range(1, len(x)), key=lambda i: (-scores[i], i))[:5] and pages < 20 and products < 10_000
+
+
+def test_metric_tree_skips_vectors_of_leaves(monkeypatch):
+    monkeypatch.setattr(metric_tree, "PAGE_ROWS", 32)
+    rng = np.random.default_rng(6)
+    for width, ties in ((2, 1), (3, 40), (16, 1)):
+        x = np.round(rng.normal(size=(3000, width)) * 200 / ties) * ties
+        x[500:600] = x[7]
+        ids = rng.permutation(3000)
+        tree, made = metric_tree.MTree(ids, x), 0
+        for q in range(0, 3000, 100):
+            best, pages, products = tree.search(x[q], int(ids[q]), 5)
+            scores = x @ x[q]
+            assert [i for _, i in best] == [int(ids[r]) for r in np.lexsort((ids, -scores)) if r != q][:5]
+            made += products
+        assert width > 3 or made < 30 * 3000 / 4  # in 16 dimensions few bounds hold
 
 
 def test_warc(spark):
