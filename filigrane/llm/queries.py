@@ -14,12 +14,13 @@ from filigrane.llm.simhash import op11_simhash_near_dedup
 from filigrane.llm.syncmers import op2_syncmer_fingerprints
 from filigrane.llm.token_counts import op1_token_counts
 from filigrane.llm.warc import OP6_SQL, op6_warc
+from filigrane.llm.whitening import op12_embedding_whitening
 
 
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_token_counts, op2_syncmer_fingerprints, op3_best_fit_packing, op4_language_id, op5_metric_tree_top_k,
-        op6_warc, op7_jaccard_join, op8_bpe, op9_html_text, op10_quality, op11_simhash_near_dedup, op13_merkle_manifest,
+        op6_warc, op7_jaccard_join, op8_bpe, op9_html_text, op10_quality, op11_simhash_near_dedup, op12_embedding_whitening, op13_merkle_manifest,
     )}
 
 
