@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigrane.functions import text as T
-from filigrane.operators import fusion, report, sections, statements
+from filigrane.operators import fusion, report, retrieval, sections, statements
 from filigrane.operators.prompts import prompt
 from filigrane.sources import filings, statements as payloads
 
 
 class Engine:
-    """Over listings (name, ticker), payload rows (symbol, endpoint, payload, status), search text (symbol, web) and filings."""
+    """Over listings (name, ticker), payload rows (symbol, endpoint, payload, status), search text (symbol, web) and filings.
 
-    def __init__(self, spark: SparkSession, listings: DataFrame | None = None, stored: DataFrame | None = None, web: DataFrame | None = None):
-        self.spark, self.listings, self.stored, self.web = spark, listings, stored, web
+    filed: filings of companies (symbol, source, section, content), whose passages sections and reports then hold.
+    """
+
+    def __init__(self, spark: SparkSession, listings: DataFrame | None = None, stored: DataFrame | None = None, web: DataFrame | None = None, filed: DataFrame | None = None):
+        self.spark, self.listings, self.stored, self.web, self.filed = spark, listings, stored, web, filed
 
     def search(self, query: str) -> DataFrame:
         return report.ticker_search(self.listings, "name", query)
@@ -72,12 +75,25 @@ class Engine:
         body = rows.groupBy("symbol").agg(report.ordered_text("ordinal", "__t", "\n\n").alias("body"))
         return body.select("symbol", F.concat(F.lit(head + "\n\n"), "body").alias("markdown"))
 
+    def section_context(self, *names: str) -> DataFrame:
+        """symbol, section, markdown of sections, each with the company's passages; an unknown section is searched by its name."""
+        names = [report.ALIASES.get(n, n) for n in names]
+        every = None
+        for name in dict.fromkeys(names):
+            one = self.section(name).select("symbol", F.lit(name).alias("section"), "markdown")
+            every = one if every is None else every.unionByName(one)
+        if self.filed is None:
+            return every
+        queries = {n: retrieval.FILING_QUERIES.get(n, n) for n in names}
+        return retrieval.with_passages(every, retrieval.section_passages(self.filed, queries))
+
     def report(self, complete=None) -> DataFrame:
         """symbol, report, is_accurate for all symbols at once: sections are rows, so they run in parallel."""
-        every = None
+        ordinal, asked = F.lit(None).cast("int"), F.lit(None).cast("string")
         for i, name in enumerate(report.SECTIONS):
-            one = self.section(name).withColumns({"ordinal": F.lit(i), "prompt": F.lit(f"{report.TASK_MARKER}\n{prompt(name)}")})
-            every = one if every is None else every.unionByName(one)
+            ordinal = F.when(F.col("section") == name, i).otherwise(ordinal)
+            asked = F.when(F.col("section") == name, f"{report.TASK_MARKER}\n{prompt(name)}").otherwise(asked)
+        every = self.section_context(*report.SECTIONS).withColumns({"ordinal": ordinal, "prompt": asked})
         answers = report.completed(every.withColumnRenamed("markdown", "context"), complete)
         done = answers.select("symbol", "ordinal", T.strip_fences(F.col("answer")).alias("markdown"))
         return report.audited(report.assemble(done, F.concat(F.lit("# Financial Analyst Report: "), F.col("symbol")), "*end of report*"))

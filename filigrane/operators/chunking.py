@@ -15,20 +15,20 @@ EMBEDDED_CHARS = 2048
 SHOWN_CHARS = 1200
 
 
-def parents(docs: DataFrame, source: Column, content: Column, section: Column | None = None, size: int = PARENT, overlap: int = OVERLAP, split=None) -> DataFrame:
-    """source, section, parent_idx, parent_id, content; blank texts have none.
+def parents(docs: DataFrame, source: Column, content: Column, section: Column | None = None, size: int = PARENT, overlap: int = OVERLAP, split=None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """source, section, parent_idx, parent_id, content, and columns to keep; blank texts have none.
 
     split: text column -> array of strings, instead of fixed windows (see recursive_split).
     """
     section = F.lit("general") if section is None else section
     pieces = split(content) if split else T.windows(content, size, overlap)
-    rows = docs.filter(~is_blank(content)).select(source.cast("string").alias("source"), section.alias("section"), F.posexplode(pieces).alias("parent_idx", "content"))
-    return rows.select("source", "section", "parent_idx", F.concat("source", F.lit("_p"), F.col("parent_idx").cast("string")).alias("parent_id"), "content")
+    rows = docs.filter(~is_blank(content)).select(source.cast("string").alias("source"), section.alias("section"), F.posexplode(pieces).alias("parent_idx", "content"), *keep)
+    return rows.select("source", "section", "parent_idx", F.concat("source", F.lit("_p"), F.col("parent_idx").cast("string")).alias("parent_id"), "content", *keep)
 
 
-def children(parents: DataFrame, size: int = CHILD, overlap: int = OVERLAP) -> DataFrame:
+def children(parents: DataFrame, size: int = CHILD, overlap: int = OVERLAP, keep: tuple[str, ...] = ()) -> DataFrame:
     """A parent's windows. The parent's text is not copied: join it by parent_id after ranking."""
-    rows = parents.select("source", "section", "parent_idx", "parent_id", F.posexplode(T.windows(F.col("content"), size, overlap)).alias("child_idx", "content"))
+    rows = parents.select("source", "section", "parent_idx", "parent_id", F.posexplode(T.windows(F.col("content"), size, overlap)).alias("child_idx", "content"), *keep)
     return rows.withColumn("child_id", F.concat("parent_id", F.lit("_c"), F.col("child_idx").cast("string")))
 
 

@@ -824,9 +824,15 @@ def folder_scan(spark, sf):
     return filings.scan_folder(spark, f"{path}/all")
 
 
+def _every() -> dict[str, tuple]:
+    from filigrane.plans import passages  # noqa: F401  it registers its queries here
+
+    return QUERIES
+
+
 def queries() -> dict:
-    return {name: f for name, (f, _) in QUERIES.items()}
+    return {name: f for name, (f, _) in _every().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
+    return {name: sql for name, (_, sql) in _every().items() if sql}

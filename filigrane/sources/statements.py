@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filigrane.functions.spans import keyed_objects
+
 INCOME = "displayPeriod STRING, qIncTrev DOUBLE, incTrev DOUBLE, qIncEbi DOUBLE, qIncEbit DOUBLE, incEbi DOUBLE, incEbit DOUBLE, qIncNinc DOUBLE, incNinc DOUBLE, qIncEps DOUBLE, incEps DOUBLE"
 BALANCE = "displayPeriod STRING, balTeq DOUBLE, balTdeb DOUBLE, balCsti DOUBLE, balTota DOUBLE, balTca DOUBLE, balTcl DOUBLE, balTinv DOUBLE, balTrec DOUBLE, balNppe DOUBLE"
 CASHFLOW = "displayPeriod STRING, cafCfoa DOUBLE, cafCexp DOUBLE, cafFcf DOUBLE"
@@ -40,19 +42,12 @@ def either(*names: str) -> Column:
     return F.coalesce(*names)
 
 
-def _braced(depth: int) -> str:
-    inner = "" if depth == 0 else f"|{_braced(depth - 1)}"
-    return rf"\{{(?:[^{{}}]++{inner})*+\}}"
-
-
-#: Objects under `_comments`, wherever they stand; in them, objects lie at most so deep.
-COMMENT_DEPTH = 6
-_COMMENTS = rf'"_comments"\s*+:\s*+({_braced(COMMENT_DEPTH)})'
-
-
 def comment_lines(payload: Column, most: int) -> Column:
-    """The string values of all `_comments` objects of a payload at any depth, each once in first-seen order, at most so many."""
-    objects = F.regexp_extract_all(F.coalesce(payload, F.lit("")), F.lit(_COMMENTS), F.lit(1))
+    """The string values of all `_comments` objects of a payload at any depth, each once in first-seen order, at most so many.
+
+    Brackets, quotes and the key itself inside strings count as text; an object that is not JSON gives nothing.
+    """
+    objects = F.transform(keyed_objects(F.coalesce(payload, F.lit(""))), lambda o: F.when(F.json_object_keys(o).isNotNull(), o))
     values = F.flatten(F.transform(objects, lambda o: F.coalesce(F.map_values(F.from_json(o, "MAP<STRING, VARIANT>")), F.array().cast("array<variant>"))))
     texts = F.transform(F.filter(values, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.variant_get(v, "$", "string"))
     return F.slice(F.array_distinct(texts), 1, most)

@@ -140,3 +140,38 @@ def test_sinks(spark, tmp_path):
         with pytest.raises(ValueError):
             call()
     assert "SECTION" in prompt("critique", section="SECTION", context="c") and "Answer" in prompt("critique")
+
+
+def test_json_spans_of_any_depth(spark):
+    from filigrane.functions import spans
+
+    deep = '{"a":' * 50 + '{"_comments": {"k": "deep } [ \\" x"}}' + "}" * 50
+    lines = {
+        '{"_comments": {"a": "one } two", "b": "z"}}': ["one } two", "z"],
+        deep: ['deep } [ " x'],
+        '{"x": "say \\"_comments\\": {\\"q\\": \\"no\\"} ", "_comments" : {"a":"yes","_comments":{"n":"nested"},"z":"after"}}': ["yes", "after", "nested"],
+        'prose } "open\n ]] {"_comments"\n:\n {"a":"ok"}} and "x': ["ok"],
+        '{"_comments": {"a": bad}, "b": {"_comments": {"q":"fine"}}}': ["fine"],
+        '{"_comments": {"o": {"p": {"q": {"r": {"s": {"t": {"u": {"v": "w"}}}}}}}, "c": "seven"}}': ["seven"],
+        '{"_comments": {"a": "never closed"}': ["never closed"],
+        '{"_comments": {"a": "never closed"': [],
+        '{"_comments": [{"a": "no object"}], "_comments_": {"a": "another key"}}': [],
+        "": [],
+    }
+    rows = spark.createDataFrame([(k,) for k in lines], "t string").select("t", statements.comment_lines(F.col("t"), 9).alias("x")).collect()
+    assert {r.t: r.x for r in rows} == lines
+    many = '{"a": [' + ",".join('{"_comments": {"k": "v%d \\" }"}}' % i for i in range(3000)) + "]}"
+    assert spark.createDataFrame([(many,)], "t string").select(F.size(statements.comment_lines(F.col("t"), 10**6)).alias("n")).first().n == 3000
+    after = {
+        '## A\n[1, {"x": "] [ \\"", "y": [2, "}"]}] tail ## B [3]': (["1", '{"x":"] [ \\"","y":[2,"}"]}'], {}),
+        "## A unavailable": ([], {}),
+        "## A [1, 2": ([], {}),
+        "## A [1, oops]": ([], {}),
+        '## B {"k": {"z": "}"}} ## A [7]': (["7"], {"k": '{"z":"}"}'}),
+        "## A [] ## B {} ## A [1]": ([], {}),
+        "no header [1] {}": ([], {}),
+    }
+    shown = [F.transform(spans.array_after(F.col("t"), "## A"), lambda v: F.to_json(v)).alias("a"), F.transform_values(spans.object_after(F.col("t"), "## B"), lambda _, v: F.to_json(v)).alias("o")]
+    assert {r.t: (r.a, r.o) for r in spark.createDataFrame([(k,) for k in after], "t string").select("t", *shown).collect()} == after
+    nothing = spark.range(1).select(spans.array_after(F.lit(None).cast("string"), "x").alias("a"), spans.object_after(F.lit(None).cast("string"), "x").alias("o")).first()
+    assert (nothing.a, nothing.o) == ([], {})
