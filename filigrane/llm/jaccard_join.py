@@ -39,6 +39,8 @@ SUBSET_COST = 5
 BLOCK_SHINGLES = 250_000
 #: Sets to compare up to which their numbers are broadcast to the texts (about 100 bytes each); beyond, both are shuffled.
 BROADCAST_ROWS = 200_000
+#: Cells that they name in all, some 24 bytes each: a set of a large component names one for each of its blocks.
+BROADCAST_CELLS = 1_000_000
 #: Bytes of the texts whose sets are made together, and shingles that a task counts before it passes the counts on.
 BATCH_BYTES = 5_000_000
 COUNTED = 2_000_000
@@ -235,6 +237,16 @@ def set_ids(texts) -> list[int]:
     return [set_id(s) for s in np.split(flat, np.cumsum(sizes)[:-1])] if len(texts) else []
 
 
+def sketch_size(table_bytes: int) -> tuple[int, int]:
+    """Bits of a bucket of shingles, and ranges of buckets that a task counts each, for a table of so many bytes.
+
+    Counts take about a byte a shingle, so that a range holds some 100 MB of them in a table of any size up to 100 TB,
+    and there a bucket some 60 shingles.
+    """
+    size = table_bytes.bit_length()
+    return min(38, max(16, size)), 1 << max(4, min(11, size - 23), min(18, size - 29))
+
+
 def similar_components(docs: DataFrame, similar: int = SIMILAR, heavy: int = HEAVY, most_heavy: int = MOST_HEAVY, block_shingles: int = BLOCK_SHINGLES, labelled_sets: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach from a document, itself included.
 
@@ -245,8 +257,7 @@ def similar_components(docs: DataFrame, similar: int = SIMILAR, heavy: int = HEA
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bits = min(34, max(16, int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())).bit_length()))
-    n_ranges = 1 << max(4, min(12, bits - 23))
+    bits, n_ranges = sketch_size(int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
     per_range = (1 << bits) // n_ranges
 
     def describe(batches):
@@ -401,23 +412,32 @@ def similar_components(docs: DataFrame, similar: int = SIMILAR, heavy: int = HEA
 
     cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), cell)
     members = staged(spark, members.select("doc_id", "node", "group", "block", cells.alias("cells")), "cells")
-    if found_in["members"] <= BROADCAST_ROWS:
+    if found_in["members"] <= BROADCAST_ROWS and (members.agg(F.sum(F.size("cells"))).first()[0] or 0) <= BROADCAST_CELLS:
         members = F.broadcast(members)
 
     def sets_of(batches):
-        import pyarrow as pa
-
         for part in gathered(batches, BATCH_BYTES):
             flat, sizes = shingle_sets(column(part, "text"))
             out: list[list] = [[] for _ in range(7)]
+            held = 0
             rows = zip(*(column(part, c).to_pylist() for c in ("node", "group", "block", "cells")), np.split(flat, np.cumsum(sizes)[:-1]), strict=True)
             for node, group, block, own, s in rows:
                 if s.size and set_id(s) == node:
+                    raw = s.tobytes()
                     for c in own:
-                        for column_of, v in zip(out, (c["cell"], group, c["lo"], c["hi"], block == c["lo"], node, s.tobytes()), strict=True):
+                        for column_of, v in zip(out, (c["cell"], group, c["lo"], c["hi"], block == c["lo"], node, raw), strict=True):
                             column_of.append(v)
-            kinds = [pa.int64()] * 4 + [pa.bool_(), pa.int64(), pa.binary()]
-            yield from pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["cell", "group", "lo", "hi", "first", "node", "shingles"]).to_batches(max_chunksize=2000)
+                        held += len(raw)
+                        if held > BATCH_BYTES:  # a set goes to as many cells as its component has blocks
+                            yield from placed_sets(out)
+                            out, held = [[] for _ in range(7)], 0
+            yield from placed_sets(out)
+
+    def placed_sets(out):
+        import pyarrow as pa
+
+        kinds = [pa.int64()] * 4 + [pa.bool_(), pa.int64(), pa.binary()]
+        return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["cell", "group", "lo", "hi", "first", "node", "shingles"]).to_batches(max_chunksize=2000)
 
     sets = known.join(members, "doc_id").select("node", "group", "block", "cells", "text").mapInArrow(sets_of, "cell long, group long, lo long, hi long, first boolean, node long, shingles binary")
 

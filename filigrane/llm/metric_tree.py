@@ -4,8 +4,8 @@ One more coordinate, sqrt(M - |x|^2), puts all vectors on a sphere, where a larg
 distance.  The candidates are dealt into shards of bounded size, each an M-tree of paged nodes: a routing
 vector, the radius that covers the node, and its distance to the parent's routing vector.  A query walks a
 shard's nodes by their largest possible score; the distance to the parent and the stored one bound the
-distance of a node, and of each vector of a leaf, before that is computed.  Queries come in blocks, each block to every shard, and the shards'
-results are merged.
+distance of a node, and of each vector of a leaf, before that is computed.  Queries stream past every shard, whose
+tree is built once for them, and the shards' results are merged.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from filigrane.llm.shared import prepare, table
+from filigrane.llm.shared import lean, prepare, table
 
 SCALE = 256
 TOP = 5
@@ -25,8 +25,10 @@ EVERY = 50
 SHARD_ROWS = 16_384
 PAGE_ROWS = 1024
 FAN_OUT = 16
-#: Queries that a task answers on a shard: with as many as a shard has rows, the copies of both sides are fewest.
-BLOCK_ROWS = 16_384
+#: Queries that a task answers on a shard, a batch at a time: so many that building the shard's tree costs nothing beside them.
+BLOCK_ROWS = 262_144
+#: What components and scores are held to: numbers beyond count as these.
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
 class Node:
@@ -39,16 +41,25 @@ class Node:
 
 
 class MTree:
-    """Over integer vectors (rows of x, as float64 below 2**53 or as Python integers) with their ids."""
+    """Over integer vectors (rows of x, int64 or float64 below 2**53) with their ids. Scores are exact, held to 64 bits."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x = ids, x
         real = x.astype(np.float64)
+        self.largest = int(np.abs(real).max(initial=0.0))
+        self.ids, self.x = ids, real if self.largest < 2**53 else x
         norms = (real**2).sum(1)
         self.most = float(norms.max(initial=0.0))
         self.points = np.column_stack([real, np.sqrt(np.maximum(0.0, self.most - norms))])
         self.root = self._build(np.arange(len(ids))) if len(ids) else None
 
+    def products(self, vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Inner products with an integer vector, exact, then held to 64 bits."""
+        most = int(np.abs(q.astype(np.float64)).max(initial=0.0))
+        if max(1, most) * max(1, self.largest) * max(1, len(q)) < 2**53:
+            return vectors @ q.astype(np.float64)
+        whole = np.array([int(c) for c in q], object)
+        return np.array([min(max(int(s), LEAST), MOST) for s in np.array([[int(c) for c in v] for v in vectors], object).reshape(len(vectors), len(q)) @ whole], object)
+
     def _build(self, rows: np.ndarray) -> Node:
         points = self.points[rows]
         node = Node()
@@ -88,7 +99,7 @@ class MTree:
         slack = 1e-6 * (base + 1.0)
 
         def upper(distance):  # the largest inner product at so small a distance
-            return (base - np.maximum(0.0, distance) ** 2) / 2 + slack
+            return np.maximum((base - np.maximum(0.0, distance) ** 2) / 2 + slack, float(LEAST))
 
         best: list[tuple] = []  # heap of (score, -id)
         first = float(np.sqrt(((query - self.root.centre) ** 2).sum()))
@@ -117,7 +128,7 @@ class MTree:
             if not len(rows):
                 continue
             products += len(vectors)
-            scores = vectors @ q
+            scores = self.products(vectors, q)
             if full and (most := scores.max()) <= best[0][0] and (most < best[0][0] or node.least_id >= -best[0][1]):
                 pages += node.radius > 0.0
                 continue
@@ -137,14 +148,15 @@ class MTree:
         return [(s, -v) for s, v in sorted(best, reverse=True)], pages, products
 
 
-def exact_matrix(vectors: list[np.ndarray], scale: int = SCALE) -> np.ndarray:
-    """floor(scale * x) of float64 components, shorter vectors filled with zeros; Python integers if products could pass 2**53."""
-    width = max((len(v) for v in vectors), default=0)
-    out = np.zeros((len(vectors), width))
-    for row, v in zip(out, vectors, strict=True):
-        row[: len(v)] = np.floor(scale * np.asarray(v, np.float64))
-    if out.size and np.abs(out).max() ** 2 * width >= 2**53:
-        return np.array([[int(c) for c in row] for row in out], object)
+def exact_matrix(vectors: list[np.ndarray], scale: int = SCALE, width: int | None = None) -> np.ndarray:
+    """floor(scale * x) of float64 components as int64, held to 64 bits; rows are cut or filled with zeros to the width, else to the longest."""
+    width = max((len(v) for v in vectors), default=0) if width is None else width
+    out = np.zeros((len(vectors), width), np.int64)
+    with np.errstate(over="ignore"):
+        for row, v in zip(out, vectors, strict=True):
+            real = np.floor(scale * np.asarray(v[:width], np.float64))
+            inside = np.abs(real) < 2.0**63
+            row[: len(real)] = np.where(inside, np.where(inside, real, 0.0).astype(np.int64), np.where(real > 0, MOST, LEAST))
     return out
 
 
@@ -154,7 +166,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = TOP, scale: int = S
     Both tables have vec_id and embedding.  Rows whose vec_id or embedding is null, or whose embedding holds a
     null or a component that isn't finite, take no part; missing components of shorter vectors count as 0.
     A query's own rows are all those of its vec_id; rows repeated under other ids are candidates like any, and
-    a vec_id that is repeated can come up once a row.  Ties go to the smaller vec_id.  One job counts both tables.
+    a vec_id that is repeated can come up once a row.  Ties go to the smaller vec_id.  Scaled components outside 64 bits
+    count as the nearest number inside, and so do scores, which then tie.  Vectors of any length are read; other
+    columns, whatever their names, are ignored.  Without queries or candidates there are no rows.  One job counts
+    both tables.
     """
 
     def usable(df: DataFrame) -> DataFrame:
@@ -165,23 +180,36 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = TOP, scale: int = S
     candidates, asked = usable(vectors), usable(queries).dropDuplicates(["vec_id", "embedding"])
     n, m = candidates.count(), asked.count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block_rows))
-    spread = lambda df, own, n_own, other, n_other: df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(n_own))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))))
-    left = spread(candidates, "shard", shards, "block", blocks)
-    right = spread(asked, "block", blocks, "shard", shards)
-
-    def search(key, rows, questions):
-        import pandas as pd
-
-        found: list[tuple] = []
-        if len(questions) and len(rows):
-            both = exact_matrix([*rows["embedding"], *questions["embedding"]], scale)
-            tree = MTree(rows["vec_id"].to_numpy(np.int64), both[: len(rows)])
-            for query, q in zip(questions["vec_id"].tolist(), both[len(rows) :], strict=True):
-                found += [(query, vec, score) for score, vec in tree.search(q, query, k)[0]]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    by = ["shard", "block"]
-    some = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, "query_id long, vec_id long, score long")
+    # rows of one vec_id are dealt apart too: a repeated one is no shard of its own
+    deal = lambda n_own: F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n_own))
+    copied = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = candidates.withColumn("shard", deal(shards)).withColumn("block", copied(blocks)).withColumn("asks", F.lit(False))
+    right = asked.withColumn("block", deal(blocks)).withColumn("shard", copied(shards)).withColumn("asks", F.lit(True))
+
+    def search(batches):
+        import pyarrow as pa
+
+        key, ids, vectors, tree = None, [], [], None
+        for batch in batches:
+            found: list[tuple] = []
+            for shard, block, asks, vec, v in zip(*(batch.column(c).to_pylist() for c in ("shard", "block", "asks", "vec_id", "embedding")), strict=True):
+                if (shard, block) != key:
+                    key, ids, vectors, tree = (shard, block), [], [], None
+                if not asks:
+                    ids.append(vec)
+                    vectors.append(np.array(v, np.float64))
+                elif ids:
+                    if tree is None:  # a shard's candidates come before its questions
+                        tree = MTree(np.array(ids, np.int64), exact_matrix(vectors, scale))
+                        vectors = []
+                    q = exact_matrix([np.array(v, np.float64)], scale, tree.x.shape[1])[0]
+                    found += [(vec, other, score) for score, other in tree.search(q, vec, k)[0]]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
+        lean()
+
+    rows = left.unionByName(right).repartition("shard", "block").sortWithinPartitions("shard", "block", "asks")
+    some = rows.select("shard", "block", "asks", "vec_id", "embedding").mapInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return some.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -7,6 +7,7 @@ its greedy word pieces, and no piece is ever built.
 
 from __future__ import annotations
 
+import re
 from collections import deque
 
 import numpy as np
@@ -95,9 +96,9 @@ def automaton(vocabulary: str) -> LongestMatch:
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_words, n_tokens, n_unknown of every whole text.
 
-    A word is a pretoken of the vocabulary file; one that pieces can't cover counts as one unknown token.
-    A null or empty text has zeros. Repeated rows and null doc_ids stay as rows of their own; other columns
-    are ignored.
+    A word is a pretoken of the vocabulary file, or one of its special strings, which is one token; a word that
+    pieces can't cover counts as one unknown token.  A null or empty text has zeros. Texts of any length are read as a
+    whole. Repeated rows and null doc_ids stay as rows of their own; other columns are ignored; an empty table has no rows.
     """
     tables = char_tables(vocabulary)
 
@@ -106,9 +107,10 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         import pyarrow.compute as pc
 
         enc, match = encoder(vocabulary, tables), automaton(vocabulary)
-        for part in gathered(batches, BATCH_BYTES):
-            texts = pc.fill_null(column(part, "text"), "")
-            split = pc.utf8_split_whitespace(texts)
+        odd_text = "[\x1c-\x1f]|" + "|".join(map(re.escape, enc.special))
+
+        def counted(split):
+            """Words, tokens and unknown ones of each list of an Arrow array of lists of chunks."""
             chunks = split.flatten().dictionary_encode()
             data, sizes, per_chunk = enc.pretokens(chunks.dictionary)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
@@ -128,8 +130,20 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 total = np.concatenate([[0], np.cumsum(per_chunk_value[rows])]) if len(rows) else np.zeros(1, np.int64)
                 return total[bounds[1:]] - total[bounds[:-1]]
 
-            n_words, n_unknown = by_text(per_chunk), by_text(over((found == 0).astype(np.int64), per_chunk))
-            n_tokens = by_text(over(np.maximum(found, 1), per_chunk))
+            return by_text(per_chunk), by_text(over(np.maximum(found, 1), per_chunk)), by_text(over((found == 0).astype(np.int64), per_chunk))
+
+        for part in gathered(batches, BATCH_BYTES):
+            texts = pc.fill_null(column(part, "text"), "")
+            odd = pc.match_substring_regex(texts, odd_text)  # these are cut as the vocabulary's own library does
+            numbers = counted(pc.utf8_split_whitespace(pc.if_else(odd, "", texts)))
+            at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+            own = texts.take(pa.array(at)).to_pylist()
+            cut = [[c for piece in enc.special_at.split(t) for c in enc.space.split(piece) if c] for t in own]
+            if own:
+                special = np.array([sum(1 for _ in enc.special_at.finditer(t)) for t in own])
+                for number, more, extra in zip(numbers, counted(pa.array(cut, pa.list_(pa.string()))), (special, special, 0), strict=True):
+                    number[at] = more + extra
+            n_words, n_tokens, n_unknown = numbers
             yield pa.RecordBatch.from_arrays([column(part, "doc_id"), *(pa.array(x, pa.int64()) for x in (n_words, n_tokens, n_unknown))], names=["doc_id", "n_words", "n_tokens", "n_unknown"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

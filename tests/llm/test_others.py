@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import timeit
 import zlib
@@ -189,7 +190,30 @@ def test_metric_tree(spark):
     few = table.filter("vec_id in (0, 1)")
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in metric_tree.nearest(few, few).collect()) == [(0, 1, 1), (1, 1, 0)]
     big = metric_tree.MTree(np.arange(2), metric_tree.exact_matrix([np.array([1e15, 1.0]), np.array([1e15, 2.0])]))
-    assert big.search(big.x[0], 0, 1)[0] == [(int(256e15) ** 2 + 256 * 512, 1)]
+    assert big.search(big.x[0], 0, 1)[0] == [(2**63 - 1, 1)]
+    big = metric_tree.MTree(np.arange(2), metric_tree.exact_matrix([np.array([1e6, 1.0]), np.array([1e6, 2.0])]))
+    assert big.search(big.x[0], 0, 1)[0] == [(int(256e6) ** 2 + 256 * 512, 1)]
+
+
+def test_metric_tree_holds_scores_to_64_bits(spark):
+    prepare(spark)
+    rng = np.random.default_rng(12)
+    rows = [(i, [s * 2e6] * 64) for i, s in enumerate((1, 1, -1))] + [(10 + i, rng.normal(size=64).tolist()) for i in range(20)]
+    rows += [(50, [1e306, -1e306]), (51, [8e305, 1.0]), (52, [-1.7e308] + [1.0] * 63), (100, [3e7] * 3)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+
+    def whole(v):
+        scaled = [256 * c for c in v] + [0.0] * (64 - len(v))
+        return [(2**63 - 1 if c > 0 else -(2**63)) if abs(c) >= 2**63 else math.floor(c) for c in scaled]
+
+    held = {i: whole(v) for i, v in rows}
+    for shard_rows in (5, 1000):
+        got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in metric_tree.nearest(table, table.filter("vec_id % 50 = 0 or vec_id = 2"), shard_rows=shard_rows).collect())
+        want = []
+        for q in (0, 2, 50, 100):
+            scores = {i: min(max(sum(a * b for a, b in zip(held[q], held[i])), -(2**63)), 2**63 - 1) for i in held if i != q}
+            want += [(q, n, i, scores[i]) for n, i in enumerate(sorted(scores, key=lambda i: (-scores[i], i))[:5], 1)]
+        assert got == want
 
 
 def test_metric_tree_leaves_out_all_own_rows(spark):

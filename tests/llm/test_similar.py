@@ -104,3 +104,11 @@ def test_components_of_a_path(spark):
     edges = [(name[i], name[i + 1]) for i in range(49)] + [(name[50], name[i]) for i in range(51, 60)]
     got = {r.node: r.label for r in J.components(spark, spark.createDataFrame(edges, "u long, v long")).collect()}
     assert len({got[x] for x in name[:50]}) == 1 == len({got[x] for x in name[50:]}) and got[name[0]] != got[name[55]]
+
+
+def test_sketches_of_tables_of_any_size():
+    for power in range(10, 48):
+        bits, ranges = J.sketch_size(1 << power)
+        shingles = (1 << power) / 6
+        assert shingles / ranges <= 1.5e8 and (1 << bits) // ranges * 8 <= 1 << 28
+        assert shingles / (1 << bits) <= 100 or power > 46

@@ -1,6 +1,7 @@
 """BPE, token counts and packing against plain versions."""
 
 import hashlib
+import re
 import zlib
 from collections import defaultdict
 
@@ -94,7 +95,11 @@ def test_automaton_counts_like_greedy_matching():
             assert match.count(word) == greedy(word, pieces | ends, (9,))
 
 
-def test_token_counts(spark, odd):
+def library_words(library, text):
+    return [w for w, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))]
+
+
+def test_token_counts(spark, odd, library):
     got = {(r.doc_id, r.n_words): r for r in token_counts.count_tokens(odd).collect()}
     assert len(token_counts.count_tokens(odd).collect()) == odd.count()
     enc = bpe.encoder(bpe.VOCABULARY)
@@ -103,6 +108,16 @@ def test_token_counts(spark, odd):
     for i in (2, 3, 6, 8):
         words = [w for c in ODD[i].split() for w in enc.words_in(bpe.unicodedata.normalize("NFC", "".join(x.lower() for x in c)))]
         assert got[i, len(words)].n_tokens == sum(greedy([*w.encode(), 256], pieces, (256,)) for w in words)
+    special = sorted(enc.special)[0]
+    texts = ["a\x1cb c", f"{special} x", f"the{special}{special}\x1fof", f" {special} ", "a\x1c\x1d", "the of the", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    told = {r.doc_id: r for r in token_counts.count_tokens(rows).collect()}
+    for i, text in enumerate(texts):  # the library's own pretokens of what lies between special strings
+        between = re.split(re.escape(special), text or "")
+        words = [w for b in between for w in library_words(library, b)]
+        n = (text or "").count(special)
+        assert told[i].n_words == len(words) + n and told[i].n_unknown == 0
+        assert told[i].n_tokens == n + sum(greedy([*(byte_of[c] for c in w), 256], pieces, (256,)) for w in words)
     assert got[0, 0].n_tokens == 0 and all(r.n_unknown == 0 for r in got.values())
     assert token_counts.count_tokens(odd.limit(0)).count() == 0
 
