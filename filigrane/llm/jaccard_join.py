@@ -244,7 +244,8 @@ def sketch_size(table_bytes: int) -> tuple[int, int]:
     and there a bucket some 60 shingles.
     """
     size = table_bytes.bit_length()
-    return min(38, max(16, size)), 1 << max(4, min(11, size - 23), min(18, size - 29))
+    bits = min(38, max(16, size))
+    return bits, 1 << max(4, bits - 23, min(18, size - 29))
 
 
 def similar_components(docs: DataFrame, similar: int = SIMILAR, heavy: int = HEAVY, most_heavy: int = MOST_HEAVY, block_shingles: int = BLOCK_SHINGLES, labelled_sets: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ import timeit
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +153,33 @@ def test_language_id(spark, sf):
     assert {(r.doc_id, r.lang_pred, r.score) for r in again} == {(r.doc_id, r.lang_pred, r.score) for r, _ in held}
 
 
+def test_languages_equal_plain_parses(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.fit(docs)
+
+    def coded(text):  # letters a sample holds, one sign for all other letters, one for the rest
+        return "".join(c if c in model.letters else "?" if c.isalpha() else " " for c in text.lower())
+
+    def phrases(text, sample):
+        n = at = 0
+        while at < len(text):
+            k = 1
+            while at + k < len(text) and text[at : at + k + 1] in sample:
+                k += 1
+            n, at = n + 1, at + k
+        return n
+
+    samples = {k: coded(t) for k, t in model.texts.items()}
+    texts = [r.text[:400] for r in docs.orderBy("doc_id").limit(25).collect() if r.text] + ["Ωμέγα", "a", "der the la", "x9 y8 " * 30]
+    names, scores = model.predict(texts) if hasattr(model, "tables") else model.prepared().predict(texts)
+    for text, name, score in zip(texts, names, scores.tolist(), strict=True):
+        low = coded(text)
+        bits = {k: phrases(low, s) * np.log2(max(2, len(s))) / len(low) for k, s in samples.items()}
+        best = min(sorted(bits), key=bits.get)
+        assert abs(bits[name] - bits[best]) < 1e-12
+        assert abs(score - 1 / sum(2.0 ** (-language_id.SHARPNESS * (b - bits[best])) for b in bits.values())) < 1e-9
+
+
 def test_languages_of_many_scripts():
     rng = random.Random(12)
     scripts = {"ru": (0x430, 32), "uk": (0x430, 32), "el": (0x3B1, 24), "hi": (0x905, 45), "mr": (0x905, 45), "ka": (0x10D0, 33), "en": (0x61, 26), "ko": (0xAC00, 900), "zh": (0x4E00, 900), "ja": (0x4E00, 900)}
@@ -428,8 +456,18 @@ def test_quality(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     trees = quality.fit(docs, labels)
-    found = quality.scored(docs, trees, keep=["doc_id"]).join(labels, "doc_id").collect()
-    assert np.mean([(r.score >= 0.5) == r.quality for r in found]) > 0.95
+    every = quality.scored(docs, trees).collect()
+    truth = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}  # rows that were not learned
+    found = [(r.score >= 0.5) == truth[r.doc_id] for r in every if r.doc_id in truth]
+    assert len(found) > 15 and np.mean(found) > 0.9
+    for r in every:  # the same, node by node
+        row, total = quality.statistics(pa.array([r.text or ""]))[0], trees.start
+        for f, t, leaf in zip(trees.feature, trees.threshold, trees.leaf, strict=True):
+            node = 0
+            while node < len(f):
+                node = 2 * node + (2 if row[f[node]] > t[node] else 1)
+            total += leaf[node - len(f)]
+        assert abs(r.score - 1 / (1 + np.exp(-total))) < 1e-9
     odd = docs_of(spark, [(1, None), (1, None), (2, ""), (None, "A b. " * 30000), (3, "\x00")])
     got = quality.scored(odd, trees).collect()
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got) and got[0].fp == "x"
@@ -437,8 +475,6 @@ def test_quality(spark, sf):
 
 
 def test_statistics():
-    import pyarrow as pa
-
     texts = ["Ab ab ab\ncd. 12", None, "", "é|é #"]
     got = {k: v for k, v in zip(quality.STATISTICS, quality.statistics(pa.array(texts)).T.tolist())}
     assert got["distinct_words"] == [4 / 5, 0, 0, 1] and got["doubled_words"][0] == 1 / 5 and got["top_word"][0] == 2 / 5
