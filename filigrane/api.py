@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigrane.functions import text as T
-from filigrane.operators import fusion, report, retrieval, sections, statements
+from filigrane.operators import fusion, report, retrieval, sections, statements, valuation
 from filigrane.operators.prompts import prompt
 from filigrane.sources import filings, statements as payloads
 
@@ -102,6 +102,11 @@ class Engine:
         """symbol, report: the valuation of each row of dcf() as text. rows: grp (the symbol), fcf, shares, price."""
         return statements.dcf(rows, terminal_growth).select(F.col("grp").alias("symbol"), report.dcf_text(F.col("grp").cast("string"), terminal_growth).alias("report"))
 
+    def stored_dcf(self, prices: DataFrame, terminal_growth: float) -> DataFrame:
+        """dcf() of every symbol with a stored cash flow and a price. prices: symbol, shares, price."""
+        flows = valuation.free_cash_flow(payloads.periods(self.stored.filter("endpoint = 'cash_flow'"), "cashflow"))
+        return statements.dcf(flows.join(prices.select("symbol", "shares", "price"), "symbol").withColumnRenamed("symbol", "grp"), terminal_growth)
+
     def filings(self, path: str, query: str, k: int = 2) -> DataFrame:
         """The best parent chunks of a folder of filings for a query."""
         return fusion.hybrid(filings.scan_folder(self.spark, path).filter("status = 'ok'"), "source", "content", query, k)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from filigrane.functions import finance as X
 from filigrane.functions import text as T
-from filigrane.operators import bm25, chunking, fusion, report, sections, statements, vector
+from filigrane.operators import blockmax, bm25, chunking, fusion, report, sections, statements, store, vector
 from filigrane.api import Engine
 from filigrane.sources import dictionary, endpoints, filings, sinks, statements as payloads
 from filigrane.session import shared_path
@@ -31,6 +31,25 @@ def r6(c):
     return F.round(c, 6)
 
 
+_kept: dict[tuple, str] = {}
+
+
+def kept(spark: SparkSession, sf: str, name: str, write) -> str:
+    """The path of an index over a folder of tables, written by the first query of a session that searches it."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _kept:
+        where = shared_path(spark, name)
+        write(where)
+        _kept[key] = where
+    return _kept[key]
+
+
+def stored_index(spark: SparkSession, sf: str) -> store.Store:
+    """The documents as filings whose section is their language."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("source"), F.col("lang").alias("section"), F.col("text").alias("content"))
+    return store.Store(spark, kept(spark, sf, "store", lambda where: store.Store(spark, where).add(docs, 0)))
+
+
 WORDS = r"list_filter(string_split_regex(lower({}), '\s+'), lambda x: x <> '')"
 TOKENIZED = f"SELECT doc_id, lang, text, {WORDS.format('text')} AS w FROM documents"
 
@@ -91,8 +110,9 @@ INDEX_QUERIES = [(0, "the of"), (1, "der und die der"), (2, "zzzz")]
     )
 )
 def bm25_index_search(spark, sf):
+    path = kept(spark, sf, "blocks", lambda where: blockmax.write_blocks(table(spark, sf, "documents"), "doc_id", "text", where))
     asked = spark.createDataFrame(INDEX_QUERIES, "query_id long, query string")
-    found = bm25.search_many(table(spark, sf, "documents"), "doc_id", "text", asked, 5)
+    found, _ = blockmax.search_blocks(spark, path, asked, 5, "doc_id")
     return found.select("query_id", "doc_id", r6("score").alias("score"), "rank")
 
 
@@ -251,13 +271,13 @@ def hybrid_sql(words: str, section: str) -> str:
 
 @query(hybrid_sql(SEARCHED, "en"))
 def hybrid_search(spark, sf):
-    found = fusion.hybrid(table(spark, sf, "documents"), "doc_id", "text", SEARCHED, 5, "en", "lang")
+    found = stored_index(spark, sf).hybrid(SEARCHED, 5, "en")
     return found.select("rank", r6("score").alias("score"), "content")
 
 
 @query(hybrid_sql(VAGUE, "en"))
 def hybrid_search_rewritten(spark, sf):
-    found = fusion.hybrid(table(spark, sf, "documents"), "doc_id", "text", VAGUE, 5, "en", "lang")
+    found = stored_index(spark, sf).hybrid(VAGUE, 5, "en")
     return found.select("rank", r6("score").alias("score"), "content")
 
 
@@ -825,7 +845,7 @@ def folder_scan(spark, sf):
 
 
 def _every() -> dict[str, tuple]:
-    from filigrane.plans import passages  # noqa: F401  it registers its queries here
+    from filigrane.plans import passages, valuation  # noqa: F401  they register their queries here
 
     return QUERIES
 

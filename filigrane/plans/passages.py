@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from filigrane.api import Engine
 from filigrane.functions import spans
-from filigrane.operators import fusion, report, retrieval, vector
+from filigrane.operators import fusion, report, retrieval, store, vector
 from filigrane.plans.catalogue import BUCKET, WORDS, query, r6, stored
 from filigrane.sources.statements import comment_lines
+from filigrane.session import shared_path
 from filigrane.sources.tables import table
+from filigrane.streaming import index
 
 # ---- JSON in free text
 
@@ -113,3 +115,31 @@ def _bundles(spark, sf):
 )
 def section_context(spark, sf):
     return Engine(spark, stored=_bundles(spark, sf), filed=filings(spark, sf)).section_context("market_footprint")
+
+
+# ---- an index that follows a landing folder
+
+REPLACED = "doc_id % 10 = 3"
+
+
+@query(
+    f"""SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM (
+      SELECT doc_id, p, c, term, count(*) AS tf FROM (SELECT doc_id, p, c, unnest({WORDS.format('content')}) AS term FROM (
+        SELECT doc_id, p, j AS c, substr(content, j * 250 + 1, 300) AS content FROM (SELECT *, unnest(range(0, CAST(ceil(length(content) / 250.0) AS BIGINT))) AS j FROM (
+          SELECT doc_id, i AS p, substr(text, i * 974 + 1, 1024) AS content FROM (SELECT *, unnest(range(0, CAST(ceil(length(text) / 974.0) AS BIGINT))) AS i FROM (
+            SELECT doc_id, CASE WHEN {REPLACED} THEN 'new text ' || doc_id ELSE text END AS text FROM documents) WHERE trim(text) <> ''))))
+      ) GROUP BY ALL) GROUP BY term"""
+)
+def stream_index_terms(spark, sf):
+    """Documents arrive in several batches; a tenth of them come again with a new text."""
+    base = shared_path(spark, "landing")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source"), F.col("lang").alias("section"), F.col("text").alias("content"), "doc_id")
+    docs.drop("doc_id").repartition(3).write.parquet(f"{base}/files")
+    again = docs.filter(REPLACED).withColumn("content", F.concat(F.lit("new text "), "source")).drop("doc_id")
+    own = store.Store(spark, f"{base}/index")
+    stream = spark.readStream.schema(again.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/files")
+    index.index_stream(stream, own, f"{base}/checkpoint").awaitTermination()
+    again.coalesce(1).write.mode("append").parquet(f"{base}/files")
+    index.index_stream(stream, own, f"{base}/checkpoint").awaitTermination()
+    own.compact()
+    return own.read("postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))

@@ -92,3 +92,11 @@ def rows() -> list[tuple[str, int, str, str]]:
 def metric_dictionary(spark: SparkSession) -> DataFrame:
     """statement, ordinal, code, label: 70 rows, so any join to it may broadcast it."""
     return spark.createDataFrame(rows(), "statement string, ordinal int, code string, label string")
+
+
+def labels() -> dict[str, str]:
+    """The label of each code; a code of several statements has that of the first."""
+    out: dict[str, str] = {}
+    for _, _, code, label in rows():
+        out.setdefault(code, label)
+    return out
