@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigrane.functions import text as T
 from filigrane.operators import fusion, report, retrieval, sections, statements, valuation
-from filigrane.operators.prompts import prompt
-from filigrane.sources import filings, statements as payloads
+from filigrane.operators.prompts import PROMPTS, prompt
+from filigrane.sources import filings, report_store, statements as payloads
 
 
 class Engine:
@@ -98,6 +100,21 @@ class Engine:
         done = answers.select("symbol", "ordinal", T.strip_fences(F.col("answer")).alias("markdown"))
         return report.audited(report.assemble(done, F.concat(F.lit("# Financial Analyst Report: "), F.col("symbol")), "*end of report*"))
 
+    def fingerprints(self) -> DataFrame:
+        """symbol, fingerprint of all that a symbol's report is made from, the prompts included."""
+        parts = {"stored": self.stored} | ({"web": self.web} if self.web is not None else {}) | ({"filed": self.filed.select("symbol", "source", "section", "content")} if self.filed is not None else {})
+        return report_store.fingerprints(parts, hashlib.sha256(repr(sorted(PROMPTS.items())).encode()).hexdigest())
+
+    def only(self, symbols: DataFrame) -> Engine:
+        """The engine over a table of symbols (symbol)."""
+        cut = lambda rows: rows if rows is None else rows.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
+        return Engine(self.spark, self.listings, cut(self.stored), cut(self.web), cut(self.filed))
+
+    def refresh_reports(self, store: report_store.ReportStore, complete=None) -> int:
+        """Make the reports whose input, or prompt, changed since they were stored; how many. Those of unchanged symbols aren't touched."""
+        known = self.stored.select("symbol").distinct()  # filings of symbols that nothing is stored of have no report
+        return store.refresh(self.fingerprints().join(known, "symbol", "left_semi"), lambda symbols: self.only(symbols).report(complete).select("symbol", "report"))
+
     def dcf_report(self, rows: DataFrame, terminal_growth: float) -> DataFrame:
         """symbol, report: the valuation of each row of dcf() as text. rows: grp (the symbol), fcf, shares, price."""
         return statements.dcf(rows, terminal_growth).select(F.col("grp").alias("symbol"), report.dcf_text(F.col("grp").cast("string"), terminal_growth).alias("report"))

@@ -8,6 +8,7 @@ from filigrane.api import Engine
 from filigrane.functions import spans
 from filigrane.operators import fusion, report, retrieval, store, vector
 from filigrane.plans.catalogue import BUCKET, WORDS, query, r6, stored
+from filigrane.sources.report_store import ReportStore
 from filigrane.sources.statements import comment_lines
 from filigrane.session import shared_path
 from filigrane.sources.tables import table
@@ -143,3 +144,20 @@ def stream_index_terms(spark, sf):
     index.index_stream(stream, own, f"{base}/checkpoint").awaitTermination()
     own.compact()
     return own.read("postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+# ---- reports that are made anew when their input changes
+
+
+@query(
+    "SELECT 's' || s_suppkey AS symbol, CAST(CASE WHEN s_suppkey % 7 = 0 THEN 2 ELSE 1 END AS BIGINT) AS generation, '### Section Financial Analysis' || chr(10) || chr(10) || '{\"name\": \"' || s_name || CASE WHEN s_suppkey % 7 = 0 THEN '!' ELSE '' END || '\"}' AS report FROM supplier"
+)
+def reports_refresh(spark, sf):
+    """Reports of all suppliers; then the payload of each seventh changes, rows come in another order, and all are asked for again."""
+    own = ReportStore(spark, shared_path(spark, "reports"))
+    first = _bundles(spark, sf)
+    changed = F.when(F.expr("cast(substr(symbol, 2) as long) % 7 = 0"), F.replace("payload", F.lit('"}'), F.lit('!"}'))).otherwise(F.col("payload"))
+    for rows in (first, first.withColumn("payload", changed).repartition(3), first.withColumn("payload", changed)):
+        engine = Engine(spark, stored=rows)
+        own.refresh(engine.fingerprints(), lambda symbols, engine=engine: engine.only(symbols).section("something_else").withColumnRenamed("markdown", "report"))
+    return own.latest().select("symbol", "generation", "report")

@@ -13,11 +13,11 @@ def write_reports(reports: DataFrame, path: str) -> None:
 
 
 def cached_report(spark: SparkSession, path: str, symbol: str) -> str | None:
-    """The stored report of a symbol, or None."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/symbol={symbol.lower()}")
+    """The stored report of a symbol, or None. Found by its partition, as a folder's name escapes what a symbol may hold."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
         return None
-    rows = spark.read.text(f"{path}/symbol={symbol.lower()}", wholetext=True).collect()  # one report
+    rows = spark.read.schema("value string, symbol string").text(path, wholetext=True).filter(F.col("symbol") == symbol.lower()).select("value").collect()  # one report
     return rows[0][0] if rows else None
 
 
