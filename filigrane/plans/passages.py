@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from filigrane.api import Engine
 from filigrane.functions import spans
-from filigrane.operators import fusion, report, retrieval, store, vector
-from filigrane.plans.catalogue import BUCKET, WORDS, query, r6, stored
+from filigrane.operators import fusion, ivf, report, retrieval, store, vector
+from filigrane.plans.catalogue import BUCKET, DOUBLES, WORDS, kept, query, r6, stored
 from filigrane.sources.report_store import ReportStore
 from filigrane.sources.statements import comment_lines
 from filigrane.session import shared_path
@@ -161,3 +161,18 @@ def reports_refresh(spark, sf):
         engine = Engine(spark, stored=rows)
         own.refresh(engine.fingerprints(), lambda symbols, engine=engine: engine.only(symbols).section("something_else").withColumnRenamed("markdown", "report"))
     return own.latest().select("symbol", "generation", "report")
+
+
+# ---- inverted lists of vectors
+
+
+@query(
+    f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+      SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity({DOUBLES.format("e.embedding")}, {DOUBLES.format("q.embedding")}), 12) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)) WHERE rank <= 10"""
+)
+def vector_lists_search(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    path = kept(spark, sf, "lists", lambda where: ivf.write_lists(vectors, "vec_id", "embedding", where))
+    queries = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = ivf.search_lists(spark, path, queries, 10, exact=True, key="vec_id")
+    return found.select("query_id", "rank", "vec_id", r6("score").alias("score"))
