@@ -42,8 +42,8 @@ BROADCAST_ROWS = 200_000
 #: Cells that they name in all, some 24 bytes each: a set of a large component names one for each of its blocks.
 BROADCAST_CELLS = 1_000_000
 #: Bytes of the texts whose sets are made together, and shingles that a task counts before it passes the counts on.
-BATCH_BYTES = 5_000_000
-COUNTED = 2_000_000
+BATCH_BYTES = 2_500_000
+COUNTED = 1_000_000
 _LOW = bytes([32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256)])
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SALTS = 64
