@@ -89,14 +89,14 @@ class Engine:
         queries = {n: retrieval.FILING_QUERIES.get(n, n) for n in names}
         return retrieval.with_passages(every, retrieval.section_passages(self.filed, queries))
 
-    def report(self, complete=None) -> DataFrame:
-        """symbol, report, is_accurate for all symbols at once: sections are rows, so they run in parallel."""
+    def report(self, complete=None, answers: str | None = None) -> DataFrame:
+        """symbol, report, is_accurate for all symbols at once: sections are rows, so they run in parallel. answers: where completions are kept."""
         ordinal, asked = F.lit(None).cast("int"), F.lit(None).cast("string")
         for i, name in enumerate(report.SECTIONS):
             ordinal = F.when(F.col("section") == name, i).otherwise(ordinal)
             asked = F.when(F.col("section") == name, f"{report.TASK_MARKER}\n{prompt(name)}").otherwise(asked)
         every = self.section_context(*report.SECTIONS).withColumns({"ordinal": ordinal, "prompt": asked})
-        answers = report.completed(every.withColumnRenamed("markdown", "context"), complete)
+        answers = report.completed(every.withColumnRenamed("markdown", "context"), complete, answers)
         done = answers.select("symbol", "ordinal", T.strip_fences(F.col("answer")).alias("markdown"))
         return report.audited(report.assemble(done, F.concat(F.lit("# Financial Analyst Report: "), F.col("symbol")), "*end of report*"))
 

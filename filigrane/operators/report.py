@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigrane.functions import text as T
+from filigrane.operators import asking
 
 # fixed values: which endpoints a section reads, in order, and the older names of sections
 ROUTES = {
@@ -91,23 +92,28 @@ def chain(*providers: tuple[Callable[[str, str], str], float]) -> Callable[[str,
     return complete
 
 
-def completed(rows: DataFrame, complete: Callable[[str, str], str] | None = None) -> DataFrame:
-    """rows (context, prompt, ...) with column answer. complete runs in Arrow batches; a failure passes the context through."""
+def completed(rows: DataFrame, complete: Callable[[str, str], str] | None = None, store: str | None = None, version: str = "") -> DataFrame:
+    """rows (context, prompt, ...) with column answer; a failure passes the context through.
+
+    complete runs in Arrow batches, a few calls at a time.  With a store, a path that all executors share, answers are
+    kept there under a hash of version, context and prompt, and what was answered once is never asked again, in this
+    run or another.
+    """
+    passed = pass_through(F.col("context"), F.col("prompt"))
     if complete is None:
-        return rows.withColumn("answer", pass_through(F.col("context"), F.col("prompt")))
+        return rows.withColumn("answer", passed)
+    if store is not None:
+        return asking.answered(rows, ["context", "prompt"], complete, store, version).withColumn("answer", F.coalesce("answer", passed))
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("string")
     def ask(context, prompt):
-        def one(c, p):
-            try:
-                return complete(c, p)
-            except Exception:  # the model is an outside service: its failure is expected
-                return None
+        import pandas as pd
 
-        return context.combine(prompt, one)
+        told = asking.ask_all([(str(i), q) for i, q in enumerate(zip(context, prompt, strict=True))], complete, None)
+        return pd.Series([told.get(str(i)) for i in range(len(context))], dtype=object)
 
-    return rows.withColumn("answer", F.coalesce(ask("context", "prompt"), pass_through(F.col("context"), F.col("prompt"))))
+    return rows.withColumn("answer", F.coalesce(ask("context", "prompt"), passed))
 
 
 # fixed values: headings of the sections
