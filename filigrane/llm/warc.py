@@ -47,7 +47,9 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVI
 
     Of pages with equal payloads of at least min_revisit_bytes, those with the smallest page_id get a response
     record, others a revisit; a null page_id comes after all others.  A null html is an empty payload, a
-    null url gives no target header (line breaks in a url become %0A, %0D).
+    null url gives no target header (line breaks in a url become %0A, %0D) and a request without a host.  Payloads of
+    any length are whole; extra columns, whatever their names, are ignored; a table without rows gives an archive
+    that holds its warcinfo record only, as every archive does in a file of its own.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumns(
@@ -66,7 +68,10 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVI
     )
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF * 2))
     with_capture = F.concat(F.lit("WARC-Concurrent-To: "), F.col("capture"))
-    get = F.concat(F.lit("GET / HTTP/1.1"), F.lit(CRLF * 2))
+    host = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@\s]*@)?([^/?#\s]*)", 1)
+    asked = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#\s]*([^#]*)", 1)
+    asked = F.regexp_replace(F.when(asked.startswith("/"), asked).otherwise(F.concat(F.lit("/"), asked)), r"[\s\p{Cntrl}]", "%20")
+    get = F.concat(F.lit("GET "), asked, F.lit(f" HTTP/1.1{CRLF}Host: "), host, F.lit(CRLF * 2))
     fields = F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF))
     digest = F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest"))
     refers = F.when(F.col("copy"), F.concat(F.lit("WARC-Refers-To: "), by_payload))
@@ -78,6 +83,10 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVI
         ),
         _record(F.lit("metadata"), own(), [target, with_capture], "application/warc-fields", fields),
     )
+    spark = pages.sparkSession
+    said = F.concat(F.lit("software: filigrane"), F.lit(CRLF), F.lit("format: WARC File Format 1.1"), F.lit(CRLF))
+    about = _record(F.lit("warcinfo"), own(), [], "application/warc-fields", said)
+    spark.range(1).coalesce(1).select(about.alias("value")).write.mode("append").option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
     most, least = base.agg(F.max("bytes"), F.min("bytes")).first()
     above = -1
     for k, (upto, captures_a_file) in enumerate(FILE_CAPTURES):
@@ -210,11 +219,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), path)
     found = staged(spark, captures(staged(spark, read_records(spark, path), "records")), "captures")
-    one = found.filter("record_type = 'response'").groupBy(F.col("response.record_id").alias("refers")).agg(F.min("metadata.page_id").alias("first"))
-    rows = found.withColumn("refers", F.col("response.refers_to")).join(staged(spark, one, "responses"), "refers", "left")
-    return rows.select(
-        F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), "record_type", F.when(F.col("record_type") == "revisit", F.col("first")).alias("refers_to")
-    )
+    shown = [F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), "record_type"]
+    revisits = found.filter("record_type = 'revisit'").withColumn("refers", F.col("response.refers_to"))
+    asked = staged(spark, revisits.select("refers").distinct(), "asked")
+    responses = found.filter("record_type = 'response'")
+    named = responses.select(F.col("response.record_id").alias("refers"), F.col("metadata.page_id").alias("first")).join(asked, "refers").groupBy("refers").agg(F.min("first").alias("refers_to"))
+    return responses.select(*shown, F.lit(None).cast("long").alias("refers_to")).unionByName(revisits.join(staged(spark, named, "named"), "refers", "left").select(*shown, "refers_to"))
 
 
 OP6_SQL = """

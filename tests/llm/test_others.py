@@ -324,6 +324,31 @@ def test_warc(spark):
     plain = b"WARC/1.0\r\nWARC-Type: metadata\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\nWARC-Type: x\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
     assert [b for _, b in warc.parse(plain)] == [b"abc", b""]
     assert warc.captures(warc.read_records(spark, path).limit(0)).count() == 0
+    path = scratch(spark, "warc")
+    warc.write_archive(pages.limit(0), path)
+    empty = warc.read_records(spark, path)
+    assert [r.kind for r in empty.collect()] == ["warcinfo"] and warc.captures(empty).count() == 0
+
+
+def test_warc_requests_are_whole(spark):
+    urls = {"http://a.b/x/y?q=1#f": ("/x/y?q=1", "a.b"), "https://u@h:8/": ("/", "h:8"), "http://h?q": ("/?q", "h"), "http://h": ("/", "h"), "no url": ("/", ""), "http://h/a b\r\nX: 1": ("/a%20b%20%20X:%201", "h"), None: ("/", "")}
+    path = scratch(spark, "warc")
+    warc.write_archive(spark.createDataFrame([(i, u, "p") for i, u in enumerate(urls)], "page_id long, url string, html string"), path)
+    blocks = [b for row in spark.read.format("binaryFile").load(path).collect() for h, b in warc.parse(bytes(row.content)) if h["warc-type"] == "request"]
+    want = [f"GET {asked} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode() for asked, host in urls.values()]
+    assert sorted(blocks) == sorted(want)
+
+
+def test_warc_query_names_the_first_of_many_copies(spark, tmp_path):
+    pages = [(i, f"http://h/{i}", "same" if i % 3 else f"own {i}") for i in range(1, 60)] + [(100, "u", None), (101, "u", "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.op6_warc(spark, str(tmp_path)).collect()}
+    assert got == {i: ("revisit", 1) if h == "same" and i > 1 else ("revisit", 100) if i == 101 else ("response", None) for i, _, h in pages}
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert {r[0]: (r[3], r[4]) for r in con.sql(warc.OP6_SQL).fetchall()} == got
 
 
 def test_html_text(spark):
