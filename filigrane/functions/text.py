@@ -1,11 +1,9 @@
-"""Text expressions. All are JVM-side but those that need the whole entity table of HTML."""
+"""Text expressions, all JVM-side."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
 
 # fixed values: patterns of the extraction operators
 SNIPPET = r'(?s)class="result__snippet[^"]*"[^>]*>(.*?)</a>'
@@ -41,25 +39,59 @@ def strip_tags(text: Column) -> Column:
     return F.regexp_replace(text, TAG, "")
 
 
-@pandas_udf(StringType())
-def unescape(text):
-    """Every character reference of HTML: the whole entity table, which no expression has."""
+def _references() -> tuple[Column, str, Column]:
+    """All named references of HTML by their first letter, as a map is searched from its begin; a pattern of those that need no semicolon, the longest first; and the odd numbers."""
     import html
+    from html.entities import html5
 
-    return text.map(lambda t: t if t is None or "&" not in t else html.unescape(t))
+    pairs = lambda rows: F.create_map(*(F.lit(x) for pair in rows for x in pair))
+    named = {n: c for n, c in html5.items() if n.endswith(";") or n + ";" not in html5 or html5[n + ";"] == c}
+    short = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+    odd = [(k, html.unescape(f"&#{k};")) for k in (0, 13, *range(128, 160))]
+    letters = {letter: pairs([(n, c) for n, c in named.items() if n[0] == letter]) for letter in sorted({n[0] for n in named})}
+    return F.create_map(*(x for letter, own in letters.items() for x in (F.lit(letter), own))), f"^(?:{'|'.join(short)})", pairs(odd)
 
 
-@pandas_udf(ArrayType(StringType()))
-def _unescaped(texts):
-    import html
+def unescape(text: Column) -> Column:
+    """Every character reference of HTML decoded, as a browser reads text: named ones, old ones also without their semicolon, and numbers.
+
+    The text is cut at what may be a reference, and each piece is looked up: no Python runs.
+    """
+    letters, short, odd = _references()
+    named = lambda name: F.try_element_at(F.try_element_at(letters, F.substring(name, 1, 1)), name)
+    cut = F.regexp_extract_all(text, F.lit(r"&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[^\t\n\f <&#;]{1,32};?)|&|[^&]++"), F.lit(0))
+
+    def character(code: Column) -> Column:
+        # what is no character is dropped, what is out of range becomes the replacement character
+        low = code.bitwiseAND(F.lit(0xFFFF))
+        dropped = code.between(1, 8) | (code == 11) | code.between(14, 31) | code.between(127, 159) | code.between(0xFDD0, 0xFDEF) | low.isin(0xFFFE, 0xFFFF)
+        utf = lambda *octets: F.decode(F.unhex(F.concat(*(F.lpad(F.hex(o), 2, "0") for o in octets))), "UTF-8")
+        six = lambda shift: (F.shiftright(code, shift).bitwiseAND(F.lit(63)) + 128)
+        shown = F.when(code < 128, utf(code)).when(code < 2048, utf(F.shiftright(code, 6) + 192, six(0))).when(code < 65536, utf(F.shiftright(code, 12) + 224, six(6), six(0))).otherwise(utf(F.shiftright(code, 18) + 240, six(12), six(6), six(0)))
+        return F.coalesce(F.try_element_at(odd, code), F.when(code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd").when(dropped, "").otherwise(shown))
+
+    def number(digits: Column, base: int) -> Column:
+        most = 12  # longer ones, without zeros in front, are out of range anyway
+        trimmed = F.regexp_replace(digits, "^0+(?=.)", "")
+        return F.when(F.length(trimmed) > most, F.lit(1 << 40)).otherwise(F.conv(trimmed, base, 10).cast("long"))
+
+    def old(name: Column) -> Column:
+        begin = F.regexp_extract(name, short, 0)
+        return F.when(begin != "", F.concat(named(begin), F.substring(name, F.length(begin) + 1, F.length(name)))).otherwise(F.concat(F.lit("&"), name))
+
+    def decoded(piece: Column) -> Column:
+        name = F.substring(piece, 2, 64)
+        number_of = lambda at, base: number(F.replace(F.substring(piece, at, 2**31 - 1), F.lit(";"), F.lit("")), base)
+        reference = F.when(piece.rlike("^&#[xX]"), character(number_of(4, 16))).when(piece.startswith("&#"), character(number_of(3, 10))).otherwise(F.coalesce(named(name), old(name)))
+        return F.when(piece.startswith("&") & (piece != "&"), reference).otherwise(piece)
 
-    return texts.map(lambda own: None if own is None else [html.unescape(t).strip() for t in own])
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(cut, decoded), "")).otherwise(text)
 
 
 def snippets(page: Column, most: int = 3) -> Column:
     """The first so many result snippets, cleaned; those that are then empty fall away after the cut."""
     raw = F.slice(F.regexp_extract_all(page, F.lit(SNIPPET), 1), 1, most)
-    return F.filter(_unescaped(F.transform(raw, strip_tags)), lambda s: s != "")
+    return F.filter(F.transform(raw, lambda r: stripped(unescape(strip_tags(r)))), lambda s: s != "")
 
 
 def money(text: Column) -> Column:

@@ -217,3 +217,16 @@ def test_report(spark):
     assert [r.name for r in report.peers(peers, "ME", "g", "i", "name").orderBy("ordinal").collect()] == list("abcdef")
     listings = spark.createDataFrame([("Alpha Beta",), ("gamma",)], "name string")
     assert report.ticker_search(listings, "name", " A b ").count() == 1 and report.ticker_search(listings, "name", "al").count() == 0
+
+
+def test_unescape_decodes_what_html_does(spark):
+    import html
+    import random
+    from html.entities import html5
+
+    rng, names = random.Random(1), sorted(html5)
+    odd = ["&", "&&", "&#", "&#x", "&;", "&#;", "&#xg;", "& amp;", "&amp", "&ampamp;", "&notit;", "&notin;", "&" + "a" * 40 + ";", "", "é &lt;b&gt; &", "&#10000000000000000000000;", "&#0065;", "&#xD800;"]
+    texts = odd + [f"&#{i};" for i in range(600)] + [f"&#x{rng.randrange(0x120000):x}" + rng.choice([";", "", "g"]) for _ in range(500)]
+    texts += ["&" + n for n in names] + [a + "&" + n.rstrip(";") + b for n in names for a, b in [(rng.choice(["x", " "]), rng.choice(["q", "", ";", " ", "=1"]))]]
+    got = [r.x for r in spark.createDataFrame([*enumerate(texts), (10**6, None)], "i int, t string").orderBy("i").select("i", T.unescape(F.col("t")).alias("x")).collect()]
+    assert got == [html.unescape(t) for t in texts] + [None]
