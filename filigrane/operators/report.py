@@ -46,9 +46,9 @@ def routing(spark: SparkSession) -> DataFrame:
 
 
 def routed(sections: DataFrame, routes: DataFrame) -> DataFrame:
-    """section, ordinal, endpoint for any sections; one that no route names reads the full bundle."""
+    """sections (section, ...) with ordinal, endpoint, web; one that no route names reads the full bundle."""
     hit = sections.join(F.broadcast(routes), "section", "left")
-    return hit.select("section", F.coalesce("ordinal", F.lit(0)).alias("ordinal"), F.coalesce("endpoint", F.lit(DEFAULT_ROUTE[0])).alias("endpoint"), F.col("section").isin(*WEB_SECTIONS).alias("web"))
+    return hit.select(*sections.columns, F.coalesce("ordinal", F.lit(0)).alias("ordinal"), F.coalesce("endpoint", F.lit(DEFAULT_ROUTE[0])).alias("endpoint"), F.col("section").isin(*WEB_SECTIONS).alias("web"))
 
 
 def pass_through(context: Column, prompt: Column) -> Column:

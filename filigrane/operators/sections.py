@@ -15,13 +15,30 @@ from filigrane.operators import report, statements
 from filigrane.sources.statements import comment_lines
 from filigrane.sources.statements import number as typed
 
+# fixed values: the headings inside the sections
+ABOUT = "#### Corporate Overview"
+SEGMENTS = "#### Revenue Drivers & Operating Divisions"
+INITIATIVES = "#### Live Strategic Initiatives & Capex Pipeline"
+CAPITAL = "- **Computed Capital Allocation & Liquidity Metrics (TTM)**:"
+FOOTPRINT = "#### Enterprise Footprint & Market Standing"
+PEERS = "- **Listed Peer Companies (Live)**:"
+STRENGTHS = "#### Quantitative Strengths"
+WATCH_POINTS = "#### Quantitative Watch-Points"
+EVIDENCE = "#### Supporting Computed Metrics (TTM)"
+
 ENDPOINTS = ("stock_summary", "stock_peers", "dupont", "solvency", "liquidity", "capital_efficiency")
 
 
 def wide(stored: DataFrame, web: DataFrame | None = None) -> DataFrame:
-    """symbol, a payload column for each of ENDPOINTS, and web: the search text by symbol (symbol, web)."""
-    ok = F.col("status") == "ok"
-    rows = stored.groupBy("symbol").agg(*(F.max(F.when(ok & (F.col("endpoint") == e), F.col("payload"))).alias(e) for e in ENDPOINTS))
+    """symbol, a payload column for each of ENDPOINTS, and web: the search text by symbol (symbol, web).
+
+    Of several payloads of an endpoint the newest counts, by the column at of stored; without one, or at one time, the
+    last in the order of texts.
+    """
+    ok = (F.col("status") == "ok") & F.col("payload").isNotNull()
+    age = F.struct("at", "payload") if "at" in stored.columns else F.struct("payload")
+    newest = lambda e: F.max(F.when(ok & (F.col("endpoint") == e), age))["payload"]
+    rows = stored.groupBy("symbol").agg(*(newest(e).alias(e) for e in ENDPOINTS))
     return rows.join(web, "symbol", "left") if web is not None else rows.withColumn("web", F.lit(None).cast("string"))
 
 
@@ -66,18 +83,18 @@ def overview() -> Column:
     value = F.coalesce(said("stock_summary", "$.marketCap"), T.money(F.col("web")), F.lit("N/A"))
     fields = (("Company Name", name), ("Symbol", F.upper("symbol")), ("Sector", F.coalesce(said("stock_summary", "$.sector"), F.lit("N/A"))), ("Industry", F.coalesce(said("stock_summary", "$.industry"), F.lit("N/A"))), ("Market Cap", value))
     table = [report.markdown_row(F.lit(label), v) for label, v in fields]
-    return _lines(report.HEADINGS["company_overview"], "", "#### Corporate Overview", about, "", "| Profile Field | Details |", "| :--- | :--- |", *table)
+    return _lines(report.HEADINGS["company_overview"], "", ABOUT, about, "", "| Profile Field | Details |", "| :--- | :--- |", *table)
 
 
 def operations() -> Column:
     text = F.concat_ws("\n\n", said("stock_summary", "$.aboutAndPeers[0].description"), F.nullif(F.col("web"), F.lit("")))
-    return _lines(report.HEADINGS["company_operations"], "", "#### Revenue Drivers & Operating Divisions", F.coalesce(F.nullif(text, F.lit("")), _absent("business-segment data")))
+    return _lines(report.HEADINGS["company_operations"], "", SEGMENTS, F.coalesce(F.nullif(text, F.lit("")), _absent("business-segment data")))
 
 
 def expansion() -> Column:
     lines = _comments("capital_efficiency", "liquidity", most=8)
-    text = _lines(report.HEADINGS["expansion_plans"], "", "#### Live Strategic Initiatives & Capex Pipeline", F.coalesce(F.nullif(F.col("web"), F.lit("")), _absent("expansion headlines")))
-    return F.concat(text, _block(lines, "- **Computed Capital Allocation & Liquidity Metrics (TTM)**:", T.bullets(lines, "  - ")))
+    text = _lines(report.HEADINGS["expansion_plans"], "", INITIATIVES, F.coalesce(F.nullif(F.col("web"), F.lit("")), _absent("expansion headlines")))
+    return F.concat(text, _block(lines, CAPITAL, T.bullets(lines, "  - ")))
 
 
 def clients() -> Column:
@@ -86,8 +103,8 @@ def clients() -> Column:
     listed = F.coalesce(F.when(F.ltrim("stock_peers").startswith("["), F.from_json("stock_peers", kind)), F.from_json("stock_peers", f"STRUCT<peers: {kind}>")["peers"], F.array().cast(kind.replace(": ", ":")))
     names = F.filter(F.transform(listed, lambda p: p["name"]), lambda n: (F.coalesce(n, F.lit("")) != "") & (F.upper(n) != F.upper("symbol")))
     names = F.slice(names, 1, 6)
-    text = _lines(report.HEADINGS["clients_market"], "", "#### Enterprise Footprint & Market Standing", F.coalesce(F.nullif(F.col("web"), F.lit("")), _absent("market-footprint headlines")))
-    return F.concat(text, _block(names, "- **Listed Peer Companies (Live)**:", T.bullets(names, "  - ")))
+    text = _lines(report.HEADINGS["clients_market"], "", FOOTPRINT, F.coalesce(F.nullif(F.col("web"), F.lit("")), _absent("market-footprint headlines")))
+    return F.concat(text, _block(names, PEERS, T.bullets(names, "  - ")))
 
 
 def dupont() -> Column:
@@ -121,10 +138,10 @@ def thesis() -> Column:
 
     good, bad, lines = side(True), side(False), _comments("capital_efficiency", "liquidity", "solvency", most=10)
     text = _lines(
-        report.HEADINGS["strengths_weaknesses"], "", "#### Quantitative Strengths", F.coalesce(F.nullif(T.numbered(good), F.lit("")), F.lit("No strength could be computed.")), "",
-        "#### Quantitative Watch-Points", F.coalesce(F.nullif(T.numbered(bad), F.lit("")), F.lit("No computed ratio raises a flag.")),
+        report.HEADINGS["strengths_weaknesses"], "", STRENGTHS, F.coalesce(F.nullif(T.numbered(good), F.lit("")), F.lit("No strength could be computed.")), "",
+        WATCH_POINTS, F.coalesce(F.nullif(T.numbered(bad), F.lit("")), F.lit("No computed ratio raises a flag.")),
     )
-    return F.concat(text, _block(lines, "#### Supporting Computed Metrics (TTM)", T.bullets(lines)))
+    return F.concat(text, _block(lines, EVIDENCE, T.bullets(lines)))
 
 
 SECTIONS = {"company_overview": overview, "company_operations": operations, "expansion_plans": expansion, "clients_market": clients, "dupont_analysis": dupont, "strengths_weaknesses": thesis}

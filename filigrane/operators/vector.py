@@ -16,8 +16,9 @@ BUCKETS = 128
 
 
 def search(items: DataFrame, key: str, vector: str, query: DataFrame, query_vector: str, k: int, boost: Column | None = None) -> DataFrame:
-    """key, score, rank of the k nearest by cosine; query is one row, checked, with its vector. Ties go to the smaller key."""
-    one = query.select(F.col(query_vector).alias("__q")).limit(1)
+    """key, score, rank of the k nearest by cosine; query is one row with its vector; a second row is an error, none finds nothing. Ties go to the smaller key."""
+    told = query.select(F.col(query_vector).alias("__q")).limit(2).agg(F.collect_list("__q").alias("all"))
+    one = told.filter(F.size("all") > 0).select(F.when(F.size("all") == 1, F.get("all", 0)).otherwise(F.raise_error(F.lit("more than one query vector")).cast("array<double>")).alias("__q"))
     score = V.cosine(F.col(vector), F.col("__q"))
     score = score + boost if boost is not None else score
     return ranked(items.crossJoin(F.broadcast(one)).select(F.col(key), score.alias("score")), key, k)

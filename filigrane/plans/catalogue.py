@@ -436,12 +436,12 @@ def dcf_sql(terminal: float, wacc: float, g1: float, g2: float) -> str:
     return f"""SELECT *, pv_fcf + pv_terminal AS intrinsic FROM (
       SELECT nation AS grp, shares, price, sum({flow} / pow({d(1 + wacc)}, y)) AS pv_fcf,
         max(CASE WHEN y = 10 THEN {flow} * {d(1 + terminal)} / {d(wacc - terminal)} / {d((1 + wacc) ** 10)} END) AS pv_terminal
-      FROM (SELECT nation, sum(fcf) AS fcf, 1000.0::DOUBLE + nation AS shares, 5000.0::DOUBLE AS price FROM ({YEARLY_SQL}) WHERE period >= '1998' GROUP BY nation), (SELECT CAST(unnest(range(1, 11)) AS DOUBLE) AS y)
+      FROM (SELECT nation, max_by(fcf, period) AS fcf, 1000.0::DOUBLE + nation AS shares, 5000.0::DOUBLE AS price FROM ({YEARLY_SQL}) GROUP BY nation), (SELECT CAST(unnest(range(1, 11)) AS DOUBLE) AS y)
       GROUP BY ALL)"""
 
 
 def _dcf_rows(spark, sf):
-    rows = yearly(spark, sf).filter("period >= '1998'").groupBy(F.col("nation").alias("grp")).agg(F.sum("fcf").alias("fcf"))
+    rows = yearly(spark, sf).groupBy(F.col("nation").alias("grp")).agg(F.max_by("fcf", "period").alias("fcf"))  # the newest year's
     return rows.withColumns({"shares": 1000.0 + F.col("grp"), "price": F.lit(5000.0)})
 
 
@@ -565,9 +565,11 @@ VALUES = ", ".join(f"('{s}', {i}, '{c}', '{label.replace(chr(39), chr(39) * 2)}'
 DICTIONARY_SQL = f"SELECT statement, CAST(ordinal AS INTEGER) AS ordinal, code, label FROM (VALUES {VALUES}) v(statement, ordinal, code, label)"
 
 
-@query(DICTIONARY_SQL)
+@query(f"SELECT d.*, coalesce(n, 0) AS n_parts FROM ({DICTIONARY_SQL}) d LEFT JOIN (SELECT p_size, count(*) AS n FROM part GROUP BY p_size) p ON p.p_size = d.ordinal")
 def metric_dictionary(spark, sf):
-    return dictionary.metric_dictionary(spark)
+    """Every metric, and how many parts have its place as their size."""
+    used = table(spark, sf, "part").groupBy(F.col("p_size").alias("ordinal")).agg(F.count("*").alias("n"))
+    return dictionary.metric_dictionary(spark).join(used, "ordinal", "left").select("statement", "ordinal", "code", "label", F.coalesce("n", F.lit(0)).alias("n_parts"))
 
 
 @query(f"SELECT p_partkey, statement, code, label FROM part LEFT JOIN ({DICTIONARY_SQL}) d ON d.ordinal = p_size AND d.statement = CASE WHEN p_partkey % 2 = 0 THEN 'annual' ELSE 'balancesheet' END")
@@ -584,11 +586,13 @@ ASKED_SECTIONS = [*report.SECTIONS, *report.ALIASES, "something_else"]
 
 
 @query(
-    f"SELECT s.section, coalesce(ordinal, 0) AS ordinal, coalesce(endpoint, 'full_financial_bundle') AS endpoint, s.section IN {report.WEB_SECTIONS} AS web"
-    f" FROM (VALUES {', '.join(f'({chr(39)}{s}{chr(39)})' for s in ASKED_SECTIONS)}) s(section) LEFT JOIN ({ROUTES_SQL}) r ON r.section = s.section"
+    f"SELECT s.c_custkey, s.section, coalesce(ordinal, 0) AS ordinal, coalesce(endpoint, 'full_financial_bundle') AS endpoint, s.section IN {report.WEB_SECTIONS} AS web"
+    f" FROM (SELECT c_custkey, {ASKED_SECTIONS}[c_custkey % {len(ASKED_SECTIONS)} + 1] AS section FROM customer) s LEFT JOIN ({ROUTES_SQL}) r ON r.section = s.section"
 )
 def section_routing(spark, sf):
-    return report.routed(spark.createDataFrame([(s,) for s in ASKED_SECTIONS], "section string"), report.routing(spark))
+    """What each customer's section reads."""
+    section = F.get(F.array(*map(F.lit, ASKED_SECTIONS)), (F.col("c_custkey") % len(ASKED_SECTIONS)).cast("int"))
+    return report.routed(table(spark, sf, "customer").select("c_custkey", section.alias("section")), report.routing(spark))
 
 
 @query(
@@ -836,11 +840,12 @@ def endpoint_requests(spark, sf):
 
 @query("SELECT n_name || '.txt' AS source, 'Filing of ' || n_name || chr(10) AS content, 'ok' AS status FROM nation WHERE n_nationkey % 5 <> 0")
 def folder_scan(spark, sf):
+    """Text files that executors write, one a nation, and scan again."""
     path = shared_path(spark, "filings")
-    text = F.when(F.col("n_nationkey") % 5 == 0, " \n").otherwise(F.concat(F.lit("Filing of "), "n_name", F.lit("\n")))  # some are blank
-    rows = table(spark, sf, "nation").select(F.concat("n_name", F.lit(".txt")), text).collect()  # a fixed table of 25 rows
-    for name, content in [*rows, ("report.md", "no filing")]:
-        sinks.save_upload(spark, path, "all", name, content.encode())
+    text = F.when(F.col("n_nationkey") % 5 == 0, " ").otherwise(F.concat(F.lit("Filing of "), "n_name"))  # some are blank
+    table(spark, sf, "nation").select("n_name", text.alias("value")).repartition("n_name").write.partitionBy("n_name").text(f"{path}/rows")
+    sinks.move_files(spark, f"{path}/rows", f"{path}/all", "n_name", "txt")
+    sinks.save_upload(spark, path, "all", "report.md", b"no filing")
     return filings.scan_folder(spark, f"{path}/all")
 
 

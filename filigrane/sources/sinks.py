@@ -80,6 +80,25 @@ def _target(spark: SparkSession, path: str, symbol: str, name: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def move_files(spark: SparkSession, path: str, out: str, by: str, kind: str) -> int:
+    """Give the files that executors wrote under path/by=value the names value.kind in out; how many. Only names pass the driver.
+
+    Of a folder with several files, all but the first are numbered.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(out)
+    fs = target.getFileSystem(conf)
+    fs.mkdirs(target)
+    moved = 0
+    for folder in fs.listStatus(jvm.org.apache.hadoop.fs.Path(path)):
+        if folder.isDirectory() and folder.getPath().getName().startswith(f"{by}="):
+            value = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(folder.getPath().getName().split("=", 1)[1])
+            files = [f.getPath() for f in fs.listStatus(folder.getPath()) if not f.getPath().getName().startswith(("_", "."))]
+            for k, own in enumerate(files):
+                moved += fs.rename(own, jvm.org.apache.hadoop.fs.Path(target, f"{value}{f'_{k}' if k else ''}.{kind}"))
+    return moved
+
+
 def save_upload(spark: SparkSession, path: str, symbol: str, name: str, content: bytes) -> str:
     """Store an upload in the landing folder of a symbol, by any file system Spark knows. ValueError if it is empty."""
     if not content:
