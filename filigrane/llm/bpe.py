@@ -483,7 +483,8 @@ def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, digests: bool = Fa
 
     docs: doc_id, text; other columns are ignored.  Returns doc_id, n_tokens and, per document, either
     ids array<int> and decoded string, or with digests=True ids_sha256 and decoded_sha256.  A null text is
-    empty: no ids, empty decoded text.  Repeated rows and null doc_ids are kept as rows of their own.
+    empty: no ids, empty decoded text.  Texts of any length are read as a whole.  Repeated rows and null doc_ids are
+    kept as rows of their own; an empty table has no rows.
     """
 
     tables = char_tables(vocabulary)

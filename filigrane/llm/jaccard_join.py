@@ -253,7 +253,8 @@ def similar_components(docs: DataFrame, similar: int = SIMILAR, heavy: int = HEA
 
     docs: doc_id, text; other columns are ignored.  A null or empty text has no shingle and no link.  Rows
     that repeat a doc_id are documents of their own. A row with a null doc_id takes no part: its component_id
-    is null.  It runs jobs, and stages what they find.  labelled_sets: also set_id, the id of the row's set, and
+    is null.  Texts of any length are read as a whole; an empty table gives no rows.  It runs jobs, and stages what
+    they find.  labelled_sets: also set_id, the id of the row's set, and
     label, which is the same in all rows of a component and in no others (null for the empty set).
     """
     spark = docs.sparkSession

@@ -252,7 +252,9 @@ def fit(docs: DataFrame) -> Model:
 def identified(docs: DataFrame, model: Model, columns: tuple[str, str] = ("lang_pred", "score"), keep: list[str] | None = None) -> DataFrame:
     """docs with the language and score of every whole text; a text that is null or without a letter is `und`, score 0.
 
-    Rows that repeat, or repeat a doc_id, are rows of their own; equal texts have equal scores.
+    Rows that repeat, or repeat a doc_id, are rows of their own; equal texts have equal scores, and of equal scores the
+    first name wins.  Texts of any length are parsed as a whole; columns of docs named like the new ones give way, all
+    others stay as they are; an empty table has no rows, and a model of nothing says `und` to all.
     """
     model.learned  # noqa: B018  the automata are built once, on the driver
 

@@ -184,7 +184,11 @@ def _as_array(values):
 
 
 def scored(docs: DataFrame, trees: Trees, column: str = "score", keep: list[str] | None = None) -> DataFrame:
-    """docs with a score from 0 to 1 for every whole text; an empty or null text is scored like any other."""
+    """docs with a score from 0 to 1 for every whole text; an empty or null text is scored like any other.
+
+    Texts of any length are read as a whole; equal texts have equal scores, so rows that repeat do; a column of docs
+    that has the score's name gives way, all others stay as they are; an empty table has no rows.
+    """
     return annotated(docs, lambda: lambda texts: [_as_array(trees.score(statistics(texts)))], f"{column} double", keep)
 
 

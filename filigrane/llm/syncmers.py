@@ -89,7 +89,9 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     The edited text has the last floor(n/2) code points replaced by the first as many of the next document's
     by ascending doc_id, the first's after the last.  Returns doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next.  A null text is empty.  Rows of one doc_id follow each other
-    by text.  A null doc_id has no place in the order: its edited text is its first half, near_next null.
+    by text, equal rows in any order; equal hashes in a text count once.  A null doc_id has no place in the order: its
+    edited text is its first half, near_next 0.  Other columns, whatever their names, are ignored; texts of any length
+    are read as a whole; an empty table gives no rows.
 
     Documents meet their successors in groups of 2**8 ids; the first document of the next group is copied into each.
     """
@@ -111,7 +113,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     rows = with_fingerprint(rows, "edited", "efp")
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text("fp").alias("fingerprint"), as_text("efp").alias("edited_fingerprint"),
-        likeness("fp", "efp").alias("near_edited"), F.when(F.col("next_fp").isNotNull(), likeness("fp", "next_fp")).alias("near_next"),
+        likeness("fp", "efp").alias("near_edited"), F.when(F.col("next_fp").isNotNull(), likeness("fp", "next_fp")).otherwise(0.0).alias("near_next"),
     )
 
 

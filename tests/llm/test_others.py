@@ -46,7 +46,7 @@ def test_fingerprints(spark):
         if edit == t:
             assert r.fingerprint == r.edited_fingerprint and r.near_edited == 1
     assert got[rows[5][0]].fingerprint == got[rows[3][0]].fingerprint
-    assert got[None].near_next is None and got[None].edited_sha256 == hashlib.sha256(b"left ").hexdigest()
+    assert got[None].near_next == 0.0 and got[None].edited_sha256 == hashlib.sha256(b"left ").hexdigest()
     assert syncmers.edited_fingerprints(docs_of(spark, rows).limit(0)).count() == 0
 
 
@@ -149,6 +149,7 @@ def test_language_id(spark, sf):
     assert np.mean([r.lang == r.lang_pred for r, out in held if out]) > 0.95 and all(0 <= r.score <= 1 for r, _ in held)
     nothing = language_id.fit(docs.limit(0))
     assert {r.lang_pred for r in language_id.identified(docs.limit(3), nothing).collect()} == {"und"}
+    assert language_id.identified(docs.limit(0), model).count() == 0
     again = language_id.identified(docs.repartition(9), model, keep=["doc_id"]).collect()
     assert {(r.doc_id, r.lang_pred, r.score) for r in again} == {(r.doc_id, r.lang_pred, r.score) for r, _ in held}
 

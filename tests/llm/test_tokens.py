@@ -40,6 +40,10 @@ def test_encode_and_decode_equal_the_library(spark, odd, sf, library):
     assert digests == {(i, hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()) for _, i, ids in want}
 
 
+def test_no_documents(spark, odd):
+    assert bpe.round_trip(odd.limit(0)).count() == 0 and bpe.round_trip(odd.limit(0), digests=True).count() == 0
+
+
 def test_every_code_point_equals_the_library(library):
     enc = bpe.encoder(bpe.VOCABULARY)
     marks = [0x301, 0x308, 0x338, 0x11099, 0x16D67, 0x1611F]
