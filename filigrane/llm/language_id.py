@@ -22,16 +22,20 @@ from filigrane.llm.shared import annotated, hash_below, prepare, remainder, tabl
 SAMPLE_CHARS = 50_000
 SAMPLE_DOCS = 300
 DOC_CHARS = 1_000
-#: Languages that are learned: the commonest. It bounds what the driver gathers.
-MOST_LANGUAGES = 200
+#: Characters that are learned in all, and languages: the commonest.  They bound what the driver gathers and ships: with more than
+#: 40 languages each has a smaller sample.
+SAMPLE_TOTAL = 2_000_000
+MOST_LANGUAGES = 1_000
+#: Numbers of tables that a worker keeps; with more, tables are made anew for each batch of texts.
+KEPT_CELLS = 60_000_000
 #: Characters that one lane walks, and rounds in which all lanes that don't agree yet walk in step.
 SEGMENT = 256
 ROUNDS = 4
 #: Characters of texts that are parsed at a time; a longer text goes alone.
 STEP_CHARS = 1_000_000
-#: Letters of a language that have a column of their own, and columns that its other letters share.
-LETTERS = 60
-SHARED = 64
+#: Letters of a language up to which each has a column of the table; with more, only so many, and the others' transitions are looked up.
+FEW_LETTERS = 124
+COLUMNS = 60
 #: Differences of bits a character become odds by this power.
 SHARPNESS = 4.0
 _SPACE, _FOREIGN = 0, 1
@@ -74,16 +78,45 @@ def transitions(text: list[int]) -> tuple[np.ndarray, int]:
     return np.array([(s, c, t) for s, moves in enumerate(nxt) for c, t in moves.items()], np.int32).reshape(-1, 3), len(nxt)
 
 
-def phrase_table(moves: np.ndarray, states: int, symbols: int) -> np.ndarray:
-    """Flat table: [state * symbols + symbol] = 4 * next state + phrases that ended on the way."""
-    # a phrase ends before a symbol that can't follow; a symbol that the sample lacks is a phrase of its own
-    restart = np.full(symbols, 2, np.int32)
-    first = moves[moves[:, 0] == 0]
-    restart[first[:, 1]] = 4 * first[:, 2] + 1
-    out = np.tile(restart, (states, 1))
-    out[0] -= 1
-    out[moves[:, 0], moves[:, 1]] = 4 * moves[:, 2]
-    return out.ravel()
+class PhraseTable:
+    """Calling it with states and symbols gives 4 * next state + phrases that ended on the way.
+
+    Symbols below width have a column in a flat table; the transitions by others, of which there are few, are sorted.
+    """
+
+    def __init__(self, moves: np.ndarray, states: int, symbols: int, width: int | None = None):
+        # a phrase ends before a symbol that can't follow; a symbol that the sample lacks is a phrase of its own
+        self.restart = np.full(symbols, 2, np.int32)
+        first = moves[moves[:, 0] == 0]
+        self.restart[first[:, 1]] = 4 * first[:, 2] + 1
+        self.symbols, self.width = symbols, width or symbols
+        dense = np.tile(self.restart[: self.width], (states, 1))
+        dense[0] -= 1
+        near = moves[:, 1] < self.width
+        dense[moves[near, 0], moves[near, 1]] = 4 * moves[near, 2]
+        self.dense = dense.ravel()
+        keys = moves[~near, 0].astype(np.int64) * symbols + moves[~near, 1]
+        order = np.argsort(keys)
+        self.keys, self.next = keys[order], 4 * moves[~near, 2][order]
+
+    def __call__(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        if not self.keys.size:
+            return self.dense[state * self.width + symbol]
+        out = self.dense[state * self.width + np.minimum(symbol, self.width - 1)]
+        far = np.flatnonzero(symbol >= self.width)
+        if far.size:
+            keys = state[far] * self.symbols + symbol[far]
+            at = np.minimum(np.searchsorted(self.keys, keys), self.keys.size - 1)
+            out[far] = np.where(self.keys[at] == keys, self.next[at], self.restart[symbol[far]] - (state[far] == 0))
+        return out
+
+    def walk(self, symbols: list[int]) -> tuple[int, int]:
+        """Phrases that ended in a text, and the state it ends in."""
+        n, s, flat, width = 0, 0, memoryview(self.dense), self.width
+        for c in symbols:
+            v = flat[s * width + c] if c < width else int(self(np.array([s]), np.array([c]))[0])
+            n, s = n + (v & 3), v >> 2
+        return n, s
 
 
 class Model:
@@ -91,7 +124,8 @@ class Model:
 
     def __init__(self, samples: dict[str, list[str]]):
         self.names: list[str] = sorted(samples)
-        self.texts = {k: " ".join(samples[k]).lower()[:SAMPLE_CHARS] for k in self.names}
+        most = min(SAMPLE_CHARS, SAMPLE_TOTAL // max(1, len(self.names)))
+        self.texts = {k: " ".join(samples[k]).lower()[:most] for k in self.names}
 
     @cached_property
     def learned(self) -> list[tuple[np.ndarray, np.ndarray, int, int, float]]:
@@ -117,10 +151,20 @@ class Model:
 
     def prepared(self) -> Model:
         """With the tables, which are far larger than what is learned; they are made where they are used."""
-        self.alphabets, self.symbols, self.bits = ([x[k] for x in self.learned] for k in (0, 3, 4))
-        self.tables = [phrase_table(moves, states, symbols) for _, moves, states, symbols, _ in self.learned]
+        self.alphabets, self.bits = ([x[k] for x in self.learned] for k in (0, 4))
+        self.kept: dict[int, PhraseTable] = {}
         return self
 
+    def table(self, k: int) -> PhraseTable:
+        """A language's table; as many are kept as there is room for."""
+        if k in self.kept:
+            return self.kept[k]
+        _, moves, states, symbols, _ = self.learned[k]
+        made = PhraseTable(moves, states, symbols, None if symbols <= 2 + FEW_LETTERS else 2 + COLUMNS)
+        if made.dense.size + sum(t.dense.size for t in self.kept.values()) <= KEPT_CELLS:
+            self.kept[k] = made
+        return made
+
     def __getstate__(self) -> dict:
         return {"names": self.names, "texts": {}, "letters": self.letters, "learned": self.learned}
 
@@ -129,11 +173,10 @@ class Model:
         counts = np.bincount(text, minlength=codes)
         counts[: _FOREIGN + 1] = 0
         ranked = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
-        place = np.arange(len(ranked))
         out = np.full(codes, _FOREIGN, np.int64)
         out[_SPACE] = _SPACE
-        out[ranked] = 2 + np.where(place < LETTERS, place, LETTERS + (place - LETTERS) % SHARED)
-        return out, 2 + min(len(ranked), LETTERS + SHARED)
+        out[ranked] = 2 + np.arange(len(ranked))
+        return out, 2 + len(ranked)
 
     def code(self, text: str) -> np.ndarray:
         return self.codes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
@@ -162,11 +205,12 @@ class Model:
         out = np.zeros((len(texts), len(self.names)))
         steps = [code[at[:m] + j] for j, m in enumerate(active.tolist()) if m]
         final = place[np.cumsum(lanes)[lanes > 0] - 1]
-        for k, (moves, alphabet, symbols) in enumerate(zip(self.tables, self.alphabets, self.symbols, strict=True)):
+        for k, alphabet in enumerate(self.alphabets):
+            move = self.table(k)
             state, ended, walked = np.zeros(total, np.int64), np.zeros(total, np.int64), []
             for symbol in steps:
                 m = symbol.size
-                v = moves[state[:m] * symbols + alphabet[symbol]]
+                v = move(state[:m], alphabet[symbol])
                 ended[:m] += v & 3
                 state[:m] = v >> 2
                 walked.append(v)
@@ -182,7 +226,7 @@ class Model:
                     if not here.all():
                         state[lane[~here]] = own[~here]
                         lane, own = lane[here], own[here]
-                    v = moves[own * symbols + alphabet[symbol[lane]]]
+                    v = move(own, alphabet[symbol[lane]])
                     was = old[lane]
                     ended[lane] += (v & 3) - (was & 3)
                     old[lane] = v
@@ -193,12 +237,8 @@ class Model:
                 state[lane] = own
             else:  # texts in which walks don't meet: one after the other, such lanes are few
                 late = np.unique(owner[np.flatnonzero(np.where(before >= 0, state[before], 0) != entry)])
-                flat = memoryview(moves)
                 for i in late.tolist():
-                    s = n = 0
-                    for c in alphabet[code[ends[i] - size[i] : ends[i]]].tolist():
-                        v = flat[s * symbols + c]
-                        n, s = n + (v & 3), v >> 2
+                    n, s = move.walk(alphabet[code[ends[i] - size[i] : ends[i]]].tolist())
                     own = np.flatnonzero(owner == i)
                     ended[own], state[own] = 0, 0
                     ended[own[0]], state[place[np.cumsum(lanes)[i] - 1]] = n, s
@@ -229,7 +269,8 @@ def fit(docs: DataFrame) -> Model:
     """Learn from text and lang of documents that aren't held out (crc32(doc_id) mod 5 = 0).
 
     Of each of the MOST_LANGUAGES commonest languages a bounded sample: about SAMPLE_DOCS documents by a hash of
-    doc_id and text (repeated rows count once), DOC_CHARS characters from the middle of each, SAMPLE_CHARS in all.
+    doc_id and text (repeated rows count once), DOC_CHARS characters from the middle of each, SAMPLE_CHARS in all,
+    and SAMPLE_TOTAL over all languages.
     """
     spark = docs.sparkSession
     learn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -237,11 +278,12 @@ def fit(docs: DataFrame) -> Model:
     counts = learn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return Model({})
-    most = F.broadcast(spark.createDataFrame([(r["lang"], hash_below(SAMPLE_DOCS, r["n"])) for r in counts], "lang string, most long"))  # MOST_LANGUAGES rows
+    docs_each = max(1, min(SAMPLE_DOCS, 6 * SAMPLE_TOTAL // DOC_CHARS // len(counts)))
+    most = F.broadcast(spark.createDataFrame([(r["lang"], hash_below(docs_each, r["n"])) for r in counts], "lang string, most long"))  # MOST_LANGUAGES rows
     start = F.greatest(F.lit(1), ((F.length("text") - DOC_CHARS) / 2).cast("int"))
     mark = F.xxhash64("doc_id", "text")
     found = learn.withColumn("mark", mark).join(most, "lang").filter("mark <= most").select("mark", "lang", "doc_id", F.substr("text", start, F.lit(DOC_CHARS)).alias("text"))
-    rows = found.distinct().orderBy("mark", "lang", "doc_id", "text").limit(2 * SAMPLE_DOCS * len(counts)).collect()
+    rows = found.distinct().orderBy("mark", "lang", "doc_id", "text").limit(2 * docs_each * len(counts)).collect()
     samples: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"] * 2654435761 % 2**32, r["text"])):
         if r["text"] not in samples.setdefault(r["lang"], []):

@@ -100,10 +100,8 @@ def test_phrase_table_parses_like_longest_matches():
     rng = np.random.default_rng(3)
     for _ in range(20):
         sample, text = rng.integers(2, 5, 60).tolist(), rng.integers(2, 6, 50).tolist()
-        moves, state, n = language_id.phrase_table(*language_id.transitions(sample), 6), 0, 0
-        for c in text:
-            v = int(moves[state * 6 + c])
-            n, state = n + (v & 3), v >> 2
+        n, state = language_id.PhraseTable(*language_id.transitions(sample), 6).walk(text)
+        assert language_id.PhraseTable(*language_id.transitions(sample), 6, 3).walk(text) == (n, state)  # letters without a column
         joined = "".join(map(str, sample))
         want, at = 0, 0
         while at < len(text):
@@ -121,13 +119,14 @@ def test_whole_texts_are_parsed_in_one_go(spark, sf, monkeypatch):
     monkeypatch.setattr(language_id, "SEGMENT", 64)
     monkeypatch.setattr(language_id, "ROUNDS", 2)
     got = model.phrases(texts)[0]
-    for k, (moves, alphabet, symbols) in enumerate(zip(model.tables, model.alphabets, model.symbols)):
+    for k, alphabet in enumerate(model.alphabets):
         for t, n in zip(texts, got[:, k].tolist()):
-            state = want = 0
-            for c in alphabet[model.code(t.lower())].tolist():
-                v = int(moves[state * symbols + c])
-                want, state = want + (v & 3), v >> 2
+            want, state = model.table(k).walk(alphabet[model.code(t.lower())].tolist())
             assert n == want + (state > 0)
+    monkeypatch.setattr(language_id, "FEW_LETTERS", 5)
+    monkeypatch.setattr(language_id, "COLUMNS", 5)
+    monkeypatch.setattr(language_id, "KEPT_CELLS", 0)  # tables made anew, most letters looked up
+    assert (language_id.Model({"x": [t[:900] for t in texts[:20]], "y": ["aaaa bbbb"], "z": ["zz"]}).prepared().phrases(texts)[0] == got).all()
 
 
 def test_samples_of_tables_of_any_size():
@@ -172,7 +171,7 @@ def test_languages_equal_plain_parses(spark, sf):
 
     samples = {k: coded(t) for k, t in model.texts.items()}
     texts = [r.text[:400] for r in docs.orderBy("doc_id").limit(25).collect() if r.text] + ["Ωμέγα", "a", "der the la", "x9 y8 " * 30]
-    names, scores = model.predict(texts) if hasattr(model, "tables") else model.prepared().predict(texts)
+    names, scores = model.prepared().predict(texts)
     for text, name, score in zip(texts, names, scores.tolist(), strict=True):
         low = coded(text)
         bits = {k: phrases(low, s) * np.log2(max(2, len(s))) / len(low) for k, s in samples.items()}
