@@ -198,6 +198,9 @@ def link_forest(groups: list[tuple[list[int], list[np.ndarray], list[bool] | Non
                 i = root[i]
             return i
 
+        def labels(lo: int, hi: int) -> np.ndarray:
+            return np.fromiter(map(find, range(lo, hi)), np.int64, hi - lo)
+
         step = 256
         for a in range(0, len(order), step):
             a2 = min(len(order), a + step)
@@ -212,13 +215,16 @@ def link_forest(groups: list[tuple[list[int], list[np.ndarray], list[bool] | Non
                 if sizes[b] > most:
                     break
                 b2 = min(len(order), b + step)
+                apart = labels(a, a2)[:, None] != labels(b, b2)[None, :]
+                if not apart.any():  # all are joined already
+                    continue
                 theirs = code[lanes[b] : lanes[b2]]
                 at = np.minimum(np.searchsorted(local, theirs), local.size - 1)
                 hit = local[at] == theirs
                 right = np.zeros((b2 - b, local.size), np.float32)
                 right[owner[lanes[b] : lanes[b2]][hit] - b, at[hit]] = 1
                 both = (left @ right.T).astype(np.int64)
-                linked = (100 + similar) * both >= similar * (sizes[a:a2, None] + sizes[None, b:b2])
+                linked = apart & ((100 + similar) * both >= similar * (sizes[a:a2, None] + sizes[None, b:b2]))
                 if a == b:
                     linked &= np.arange(a, a2)[:, None] < np.arange(b, b2)[None, :]
                 if side is not None:
