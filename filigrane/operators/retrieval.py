@@ -47,6 +47,13 @@ def web_query(symbol: Column, section: str) -> Column:
     return F.concat(symbol, F.lit(f" {words}")) if words else F.lit(None).cast("string")
 
 
+def web_requests(symbols: DataFrame) -> DataFrame:
+    """symbol, section, query: what is searched on the web for every symbol; sections that take nothing from there have no row."""
+    words = F.create_map(*(F.lit(x) for pair in WEB_QUERIES.items() for x in pair))
+    rows = symbols.select("symbol", F.explode(words).alias("section", "words"))
+    return rows.select("symbol", "section", F.concat_ws(" ", "symbol", "words").alias("query"))
+
+
 def searched(chunks: DataFrame, queries: list[str]) -> tuple[DataFrame, list[str]]:
     """chunks without their text: len, terms (term's place, times) of asked terms, near: the boosted cosine with each query; and the asked terms.
 

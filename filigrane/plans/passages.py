@@ -118,6 +118,11 @@ def section_context(spark, sf):
     return Engine(spark, stored=_bundles(spark, sf), filed=filings(spark, sf)).section_context("market_footprint")
 
 
+@query("SELECT 's' || s_suppkey AS symbol, section, 's' || s_suppkey || ' ' || words AS query FROM supplier, (VALUES " + ", ".join(f"('{s}', '{w}')" for s, w in retrieval.WEB_QUERIES.items()) + ") q(section, words)")
+def web_section_queries(spark, sf):
+    return retrieval.web_requests(table(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("symbol")))
+
+
 # ---- an index that follows a landing folder
 
 REPLACED = "doc_id % 10 = 3"
