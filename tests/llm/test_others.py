@@ -374,6 +374,50 @@ def test_html_text(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_open_pages_lose_what_any_two_pages_of_a_host_share(spark):
+    rng = random.Random(21)
+    phrase = lambda n: " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(400)) for _ in range(n))
+    shared = [phrase(rng.choice([5, 8, 9, 20, 40])) for _ in range(12)]
+    rows = []
+    for i in range(60):
+        blocks = []
+        for _ in range(rng.randrange(1, 7)):
+            own = [phrase(rng.choice([1, 6, 12, 30])) for _ in range(rng.randrange(0, 3))] + rng.sample(shared, rng.randrange(0, 3))
+            rng.shuffle(own)
+            if own:
+                blocks.append((rng.random() < 0.2, " ".join(own)))
+        blocks.append((False, phrase(60)))  # so that no page is a copy of another
+        rows.append((i, f"http://host{i % 3}/{i}", blocks))
+    run = html_text.RUN
+    streams = {i: [w for _, t in blocks for w in t.split()] for i, _, blocks in rows}
+    met = {}
+    for i, words in streams.items():
+        for k in range(len(words) - run + 1):
+            met.setdefault((i % 3, *words[k : k + run]), set()).add(i)
+
+    def covered(i, lo, hi, inside):
+        gone, words = [False] * (hi - lo), streams[i]
+        for k in range(len(words) - run + 1):
+            if len(met[(i % 3, *words[k : k + run])]) > 1 and (not inside or lo <= k and k + run <= hi):
+                for at in range(max(k, lo), min(k + run, hi)):
+                    gone[at - lo] = True
+        return gone
+
+    want = {}
+    for i, _, blocks in rows:
+        kept, at = [], 0
+        for aside, text in blocks:
+            words = text.split()
+            lo, at = at, at + len(words)
+            if not aside and not all(covered(i, lo, at, False)):
+                kept.append(" ".join(w for w, g in zip(words, covered(i, lo, at, True)) if not g))
+        want[i] = "\n".join(k for k in kept if k)
+    html = lambda blocks: "".join(f"<nav>{t}</nav>" if aside else f"<div>{t}</div>" for aside, t in blocks)
+    pages = spark.createDataFrame([(i, u, html(b)) for i, u, b in rows], "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
+    assert got == want and sum(len(w.split()) for w in want.values()) < 0.8 * sum(map(len, streams.values()))
+
+
 ARTICLE_HTML = "<article><p>text</p></article>"
 
 
