@@ -17,7 +17,8 @@ LEAST_QUALITY = 0.5
 #: A document goes if its language is unknown or its score is below this.
 LEAST_LANGUAGE = 0.3
 
-#: What SQL can't express here: the classifiers. tests/llm has brute-force versions of the stages.
+#: SQL can't express the classifiers. tests/llm holds quality against a walk node by node and rows that were not learned, languages
+#: against plain parses, near duplicates against all pairs, and packing against the tokenizers library.
 ORACLE_SQL = None
 
 
