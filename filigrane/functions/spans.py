@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: A string, a bracket, a run of other characters, a lone quote; possessive, so that no text makes it step back.
 PIECE = r'"(?:[^"\\\n]++|\\.)*+"|[\[\]{}]|[^"\[\]{}]++|"'
 COMMENTS = "_comments"
+#: Depth up to which one pattern finds an object; deeper ones, and those that hold the key again, are found by the fold.
+SHALLOW = 6
 
 
 def pieces(text: Column) -> Column:
@@ -57,11 +59,26 @@ def object_after(text: Column, header: str) -> Column:
     return F.coalesce(F.from_json(F.when(F.try_parse_json(found).isNotNull(), found), "MAP<STRING, VARIANT>"), F.create_map().cast("map<string, variant>"))
 
 
+def _object(depth: int) -> str:
+    """A pattern of balanced objects of so many levels, with strings; possessive, so linear."""
+    inner = f"|{_object(depth - 1)}" if depth else ""
+    return rf'\{{(?:[^{{}}"]++|"(?:[^"\\\n]++|\\.)*+"{inner})*+\}}'
+
+
 def keyed_objects(text: Column, key: str = COMMENTS) -> Column:
     """The texts of all objects under a key, at any depth and inside each other, in order of their beginning.
 
-    The key counts where it stands as a key, not inside a string.
+    The key counts where it stands as a key, not inside a string: there the quotes beside it are escaped.  Where one
+    pattern finds an object for every key, that is all; else the text is folded piece by piece.
     """
+    lead = rf'(?<!\\)"{key}"\s*+:\s*+'
+    shallow = F.regexp_extract_all(text, F.lit(f"{lead}({_object(SHALLOW)})"), F.lit(1))
+    folded = _folded_objects(text, key)
+    found = bound(shallow, lambda own: F.when(F.size(own) == F.regexp_count(text, F.lit(lead + r"\{")), own).otherwise(folded))
+    return F.when(F.contains(text, F.lit(f'"{key}"')), found).otherwise(F.array().cast("array<string>"))
+
+
+def _folded_objects(text: Column, key: str) -> Column:
     # said: 1 after the key, 2 after its colon.  open: start and depth of those not yet closed.  done: "start:stop " of
     # each, as text, since adding to an array copies its elements one by one
     fields = ("at", "depth", "said", "open", "done")
@@ -91,4 +108,4 @@ def keyed_objects(text: Column, key: str = COMMENTS) -> Column:
         found = F.array_sort(F.transform(ends, lambda o: F.struct(F.get(o, F.lit(0)).alias("start"), F.get(o, F.lit(1)).alias("stop"))))
         return F.transform(found, lambda o: F.array_join(F.slice(own, o["start"], o["stop"] - o["start"] + 1), ""))
 
-    return F.when(F.contains(text, F.lit(f'"{key}"')), bound(pieces(text), cut)).otherwise(F.array().cast("array<string>"))
+    return bound(pieces(text), cut)
