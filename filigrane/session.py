@@ -15,7 +15,7 @@ def session(app: str = "filigrane", master: str | None = None, **conf: str) -> S
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
+    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.python.filterPushdown.enabled": "true"}
     for k, v in (settings | {_name(k): v for k, v in conf.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()

@@ -122,15 +122,26 @@ class _Options:
 
 
 class EndpointReader(DataSourceReader, _Options):
-    """Batches of pairs. Equality and IN on symbol and endpoint are taken over, so that only what is read is asked for.
-
-    Without the option symbols, the symbols are those that the filters name.
-    """
+    """Batches of the pairs of the options."""
 
     def __init__(self, options):
         _Options.__init__(self, options)
         self.named = "symbols" in options
 
+    def partitions(self):
+        return [Pairs(b) for b in self.batches()]
+
+    def read(self, partition: Pairs | None):
+        for symbol, endpoint in partition.pairs if partition else ():  # None: there are no partitions
+            yield symbol, endpoint, *self.asker(symbol, endpoint)
+
+
+class PushedReader(EndpointReader):
+    """Equality and IN on symbol and endpoint are taken over, so that only what is read is asked for.
+
+    Without the option symbols, the symbols are those that the filters name.
+    """
+
     def pushFilters(self, filters):
         for f in filters:
             name = f.attribute[0] if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 else None
@@ -145,13 +156,6 @@ class EndpointReader(DataSourceReader, _Options):
             else:
                 self.symbols, self.named = list(dict.fromkeys(w for w in wanted if w is not None)), True
 
-    def partitions(self):
-        return [Pairs(b) for b in self.batches()]
-
-    def read(self, partition: Pairs | None):
-        for symbol, endpoint in partition.pairs if partition else ():  # None: there are no partitions
-            yield symbol, endpoint, *self.asker(symbol, endpoint)
-
 
 class EndpointStream(DataSourceStreamReader, _Options):
     """All pairs anew every so many seconds (option every). Offsets are rounds of the clock; answers of a round are kept (option answers), so that a round that is read again asks nothing twice."""
@@ -184,7 +188,8 @@ class EndpointStream(DataSourceStreamReader, _Options):
 class EndpointSource(DataSource):
     """spark.dataSource.register(EndpointSource), then format("endpoints") with base, symbols, endpoints, timeout, tries, wait, pause, pairsPerTask.
 
-    As a stream also every and answers.  Filters are taken over if spark.sql.python.filterPushdown.enabled is true.
+    As a stream also every and answers.  With the option pushdown=true filters are taken over, for which Spark wants
+    spark.sql.python.filterPushdown.enabled to be true, as in a session of filigrane.session.
     """
 
     @classmethod
@@ -195,7 +200,7 @@ class EndpointSource(DataSource):
         return "symbol string, endpoint string, payload string, status string"
 
     def reader(self, schema):
-        return EndpointReader(self.options)
+        return (PushedReader if self.options.get("pushdown", "").lower() == "true" else EndpointReader)(self.options)
 
     def streamReader(self, schema):
         return EndpointStream(self.options)

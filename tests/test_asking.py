@@ -90,8 +90,7 @@ def server():
 def test_filters_ask_only_for_what_is_read(spark, server):
     base, asked = server
     spark.dataSource.register(endpoints.EndpointSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    read = lambda **o: spark.read.format("endpoints").options(base=base, wait="0.05", **o).load()
+    read = lambda **o: spark.read.format("endpoints").options(base=base, wait="0.05", pushdown="true", **o).load()
     rows = read(symbols="A,B,LATE").filter("symbol in ('A', 'LATE') and endpoint = 'dupont'").collect()
     assert {(r.symbol, r.status) for r in rows} == {("A", "ok"), ("LATE", "ok")}
     assert Counter(asked) == {"/api/v1/stocks/A/dupont": 1, "/api/v1/stocks/LATE/dupont": 2}  # 429 is tried again
@@ -99,6 +98,12 @@ def test_filters_ask_only_for_what_is_read(spark, server):
     rows = read().filter(F.col("symbol").isin("NONE", "BAD")).filter("endpoint in ('stock_summary', 'cagr') and status <> 'ok'").collect()
     assert sorted((r.symbol, r.endpoint, r.status) for r in rows) == [("BAD", "stock_summary", "unavailable"), ("NONE", "cagr", "unavailable: HTTPError 404"), ("NONE", "stock_summary", "unavailable: HTTPError 404")]
     assert len(asked) == 4 and read().count() == 0  # no symbol is named
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    try:  # without pushdown all that the options name is asked
+        rows = spark.read.format("endpoints").options(base=base, symbols="A,B", endpoints="cagr").load().filter("symbol = 'A'").collect()
+        assert [(r.symbol, r.status) for r in rows] == [("A", "ok")] and len(asked) == 6
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def test_fetched_pairs_are_kept(spark, server, tmp_path):
