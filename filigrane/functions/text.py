@@ -16,6 +16,18 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"(?U)\s+"), "")
 
 
+def counts(tokens: Column) -> Column:
+    """array<struct<term, tf>> of a row's tokens, by term: sorted once, then cut where the token changes. No shuffle."""
+    bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  computed once
+
+    def cut(own: Column) -> Column:
+        starts = F.array_compact(F.transform(own, lambda x, i: F.when((i == 0) | (F.get(own, i - 1) != x), i)))
+        size = lambda at, j: (F.coalesce(F.get(at, j + 1), F.size(own)) - F.get(at, j)).cast("long")
+        return bound(starts, lambda at: F.transform(at, lambda p, j: F.struct(F.get(own, p).alias("term"), size(at, j).alias("tf"))))
+
+    return bound(F.sort_array(tokens), cut)
+
+
 def windows(text: Column, size: int, overlap: int) -> Column:
     """Fixed windows of size code points that begin every size - overlap; an empty or null text has none.
 

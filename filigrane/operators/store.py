@@ -7,19 +7,21 @@
 A batch is written under its number, so that writing it again changes nothing.  A file that comes again replaces
 what earlier batches hold of it: files names the last batch of each source, and older rows are dead.  compact()
 folds the live rows into a new base and only then names it, in a manifest that is made once.  Postings are laid
-out by a bucket of their term, which a search prunes by.
+out by a bucket of their term, which a search prunes by.  A chunk's terms are counted in its row, and each task writes
+a file a bucket, so that postings are not shuffled; nor are live rows, unless very many files came again.
 """
 
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filigrane.functions import text as T
 from filigrane.operators import bm25, chunking, fusion, vector
+from filigrane.session import repeats, shared_path, small, write_by
 
 TERM_BUCKETS = 32
 PLACE = ("source", "parent_idx", "child_idx")
@@ -36,16 +38,22 @@ def term_bucket(term: Column, buckets: int = TERM_BUCKETS) -> Column:
 
 
 def entries(docs: DataFrame) -> dict[str, DataFrame]:
-    """parents, chunks, postings and files of docs (source, section, content). A source is one text; a blank one has a file only."""
+    """parents, chunks, postings and files of docs (source, section, content). A source is one text; a blank one has a file only.
+
+    It runs a job: of sources that come twice, the postings of equal places are added up.
+    """
     docs = docs.filter("source is not null").select(F.col("source").cast("string").alias("source"), "section", "content")
     parents = chunking.parents(docs, F.col("source"), F.col("content"), F.col("section")).select("source", "section", "parent_idx", "content")
     of_parent = parents.withColumn("parent_id", F.lit(""))
     pieces = chunking.children(of_parent).select(F.struct(*PLACE).alias("at"), "section", "content")
-    tokens = T.tokens(F.col("content"))
+    tokens = T.tokens(F.coalesce(F.col("content"), F.lit("")))
     vectors = vector.embedded(pieces.withColumns({"of": F.struct("at", "section", F.size(tokens).alias("len"))}), "of", "content")
     chunks = vectors.select("of.at.*", "of.section", "of.len", "embedding", "boost")
-    words = pieces.select("at.*", "section", F.size(tokens).alias("len"), F.explode(tokens).alias("term"))
-    postings = words.groupBy(*PLACE, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"), F.first("section").alias("section")).withColumn("bucket", term_bucket(F.col("term")))
+    words = pieces.select("at", "section", tokens.alias("tokens")).select("at.*", F.explode(T.counts(F.col("tokens"))).alias("t"), F.size("tokens").alias("len"), "section")
+    postings = words.select(*PLACE, "t.term", "t.tf", "len", "section")
+    if repeats(docs, "source"):
+        postings = postings.groupBy(*PLACE, "term").agg(F.sum("tf").alias("tf"), F.first("len").alias("len"), F.first("section").alias("section"))
+    postings = postings.withColumn("bucket", term_bucket(F.col("term")))
     return {"parents": parents, "chunks": chunks, "postings": postings, "files": docs.select("source").distinct()}
 
 
@@ -55,6 +63,7 @@ class Store:
 
     spark: SparkSession
     path: str
+    dead: tuple = field(default=(), compare=False, repr=False)
 
     def _fs(self, path: str):
         hpath = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -79,8 +88,10 @@ class Store:
             self._write(rows, f"delta/batch={batch}", kind)
 
     def _write(self, rows: DataFrame, folder: str, kind: str) -> None:
-        out = rows.repartition("bucket").sortWithinPartitions("term") if kind == "postings" else rows
-        (out.write.partitionBy("bucket") if kind == "postings" else out.write).mode("overwrite").parquet(f"{self.path}/{folder}/{kind}")
+        if kind == "postings":
+            write_by(rows, "bucket", TERM_BUCKETS, f"{self.path}/{folder}/{kind}")
+        else:
+            rows.write.mode("overwrite").parquet(f"{self.path}/{folder}/{kind}")
 
     def _batches(self) -> list[tuple[int, str]]:
         base, upto = self.current()
@@ -102,8 +113,18 @@ class Store:
             raise ValueError(f"no batch has been added under {self.path}")
         if len(self._batches()) == 1:
             return rows.drop("batch")
-        last = self._all("files").groupBy("source").agg(F.max("batch").alias("batch"))
-        return rows.join(last, ["source", "batch"]).drop("batch")
+        return rows.join(self._dead(), ["source", "batch"], "left_anti").drop("batch")
+
+    def _dead(self) -> DataFrame:
+        """source, batch of files that a later batch replaces; kept until another batch comes."""
+        batches = self._batches()
+        if not self.dead or self.dead[0] != batches:
+            files = self._all("files")
+            last = files.groupBy("source").agg(F.max("batch").alias("last"), F.min("batch").alias("first")).filter("first < last").select("source", "last")
+            where = shared_path(self.spark, "dead")
+            files.join(last, "source").filter("batch < last").select("source", "batch").write.parquet(where)
+            self.dead = (batches, small(self.spark.read.schema("source string, batch long").parquet(where)))
+        return self.dead[1]
 
     def compact(self) -> None:
         """Fold all batches into a new base. What is no longer needed stays until clean(), as a reader may be at it."""

@@ -125,6 +125,8 @@ def web_section_queries(spark, sf):
 
 # ---- an index that follows a landing folder
 
+#: About so many bytes a landed file, so that a batch has work for all tasks.
+LANDED_BYTES = 16 << 20
 REPLACED = "doc_id % 10 = 3"
 
 
@@ -140,12 +142,13 @@ def stream_index_terms(spark, sf):
     """Documents arrive in several batches; a tenth of them come again with a new text."""
     base = shared_path(spark, "landing")
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source"), F.col("lang").alias("section"), F.col("text").alias("content"), "doc_id")
-    docs.drop("doc_id").repartition(3).write.parquet(f"{base}/files")
+    files = max(3, -(-int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // LANDED_BYTES))
+    docs.drop("doc_id").repartition(files).write.parquet(f"{base}/files")
     again = docs.filter(REPLACED).withColumn("content", F.concat(F.lit("new text "), "source")).drop("doc_id")
     own = store.Store(spark, f"{base}/index")
-    stream = spark.readStream.schema(again.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/files")
+    stream = spark.readStream.schema(again.schema).option("maxFilesPerTrigger", -(-2 * files // 3)).parquet(f"{base}/files")
     index.index_stream(stream, own, f"{base}/checkpoint").awaitTermination()
-    again.coalesce(1).write.mode("append").parquet(f"{base}/files")
+    again.repartition(max(1, files // 10)).write.mode("append").parquet(f"{base}/files")
     index.index_stream(stream, own, f"{base}/checkpoint").awaitTermination()
     own.compact()
     return own.read("postings").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
