@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filigrane.functions import text as T
+from filigrane.session import repeats
 
 K1, B = 1.5, 0.75
 
@@ -30,10 +31,14 @@ def tokenized(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
 
 
 def postings(docs: DataFrame, key: str, text: str, terms: DataFrame | None = None) -> DataFrame:
-    """key, term, tf, len, of all terms or of those in terms (term). A document's terms are counted before the shuffle."""
-    rows = tokenized(docs, key, text).select(key, "len", F.explode("tokens").alias("term"))
-    rows = rows if terms is None else rows.join(terms.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
+    """key, term, tf, len, of all terms or of those in terms (term).
+
+    A document's terms are counted in its row; only if keys repeat, which a job over the keys tells, are equal terms of a key
+    brought together by a shuffle.
+    """
+    rows = tokenized(docs, key, text).select(key, "len", F.explode(T.counts(F.col("tokens"))).alias("t")).select(key, "t.term", "t.tf", "len")
+    rows = rows if terms is None else rows.join(terms.select("term").distinct(), "term", "left_semi").select(key, "term", "tf", "len")
+    return rows.groupBy(key, "term").agg(F.sum("tf").alias("tf"), F.max("len").alias("len")) if repeats(docs, key) else rows
 
 
 def corpus_stats(docs: DataFrame, key: str, text: str) -> DataFrame:
