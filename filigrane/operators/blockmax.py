@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from filigrane.functions import text as T
 from filigrane.operators import bm25
 from filigrane.operators.store import TERM_BUCKETS, term_bucket
-from filigrane.session import shared_path
+from filigrane.session import bounded, shared_path, write_by
 
 SEGMENT_DOCS = 512
 #: Segments that are scored before there is a floor, a query.
@@ -26,22 +26,60 @@ NAMED = 10_000
 
 
 def write_blocks(docs: DataFrame, key: str, text: str, path: str, segment_docs: int = SEGMENT_DOCS) -> None:
-    """path/blocks (by a bucket of the term) and path/stats. Null texts count as empty ones; rows that share a key are one document each."""
-    rows = bm25.tokenized(docs, key, text).select(F.col(key).alias("key"), "tokens", "len")
-    placed = rows.repartitionByRange("len", "key").sortWithinPartitions("len", "key").withColumn("row", F.monotonically_increasing_id())
-    placed = placed.withColumn("segment", F.floor(F.col("row") / segment_docs))  # rows of a partition count on, so segments are as long
-    where = shared_path(docs.sparkSession, "placed")
-    placed.write.parquet(where)
-    placed = docs.sparkSession.read.schema(placed.schema).parquet(where)
-    stats = placed.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+    """path/blocks (by a bucket of the term) and path/stats. Null texts count as empty ones; rows that share a key are one document each.
+
+    One shuffle, of the texts, brings a segment's documents into one task, which makes the segment's blocks and writes
+    a file a bucket.
+    """
+    spark = docs.sparkSession
+    bounded(spark)
+    stats = bm25.corpus_stats(docs, key, text)
     stats.write.mode("overwrite").parquet(f"{path}/stats")
-    postings = placed.select("segment", "row", "key", "len", F.explode("tokens").alias("term")).groupBy("term", "segment", "row").agg(F.count("*").alias("tf"), F.first("key").alias("key"), F.first("len").alias("len"))
-    part = bm25.term_score(F.lit(1.0), F.col("tf").cast("double"), F.col("len"), F.col("avgdl"))
-    blocks = postings.crossJoin(F.broadcast(stats.select("avgdl"))).groupBy("term", "segment").agg(
-        F.max(part).alias("top"), F.count("*").alias("n"), F.collect_list(F.struct("row", "key", "tf", "len")).alias("docs")
-    )
-    blocks = blocks.withColumn("bucket", term_bucket(F.col("term"))).repartition("bucket").sortWithinPartitions("term", "segment")
-    blocks.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+    stats = spark.read.schema(stats.schema).parquet(f"{path}/stats")
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("said")).withColumn("len", F.size(T.tokens(F.col("said"))))
+    placed = rows.repartitionByRange("len", "key").sortWithinPartitions("len", "key").withColumn("row", F.monotonically_increasing_id())
+    placed = placed.select("row", "key", "len", F.floor(F.col("row") / segment_docs).alias("segment"), T.tokens(F.col("said")).alias("tokens"))  # rows of a partition count on, so segments are as long
+    kind = placed.schema["key"].dataType.simpleString()
+    blocks = placed.mapInArrow(segment_blocks, f"term string, segment long, n long, docs array<struct<row:long,key:{kind},tf:long,len:int>>")
+    part = lambda d: bm25.term_score(F.lit(1.0), d["tf"].cast("double"), d["len"], F.col("avgdl"))
+    blocks = blocks.crossJoin(F.broadcast(stats.select("avgdl"))).select("term", "segment", F.array_max(F.transform("docs", part)).alias("top"), "n", "docs", term_bucket(F.col("term")).alias("bucket"))
+    write_by(blocks, "bucket", TERM_BUCKETS, f"{path}/blocks")
+
+
+def segment_blocks(batches):
+    """A row for each term of each segment, from documents (row, key, len, segment, tokens) in order of their segments."""
+    import numpy as np
+    import pyarrow as pa
+
+    def made(held):
+        part = pa.Table.from_batches(held).combine_chunks()
+        one = lambda c: part.column(c).chunk(0)
+        tokens = one("tokens")
+        words = tokens.flatten().dictionary_encode()
+        if not len(words):
+            return
+        doc = np.repeat(np.arange(len(part)), tokens.value_lengths().to_numpy())
+        met, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(part) + doc, return_counts=True)
+        code, at = np.divmod(met, len(part))
+        own = pa.array(at)
+        docs = pa.StructArray.from_arrays([one("row").take(own), one("key").take(own), pa.array(tf.astype(np.int64)), one("len").take(own)], ["row", "key", "tf", "len"])
+        sizes = np.bincount(code, minlength=len(words.dictionary))
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        segment = pa.array(np.full(len(sizes), one("segment")[0].as_py()))
+        yield from pa.table([words.dictionary, segment, pa.array(sizes.astype(np.int64)), pa.ListArray.from_arrays(ends, docs)], ["term", "segment", "n", "docs"]).to_batches(max_chunksize=1000)
+
+    held: list = []
+    for batch in batches:
+        segment = batch.column("segment").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(segment)) + 1).tolist(), len(batch)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a < b:
+                if held and held[-1].column("segment")[0].as_py() != segment[a]:
+                    yield from made(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield from made(held)
 
 
 def _blocks(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
