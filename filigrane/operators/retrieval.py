@@ -20,6 +20,9 @@ from filigrane.operators.fusion import LOW_CONFIDENCE, RRF_K, SIDE_K, rewrite_te
 from filigrane.session import shared_path
 
 PASSAGES = 5
+#: Companies up to which their statistics (some 500 bytes each) are broadcast; chunks from which a company's are all the same.
+SMALL_SIDE = 20_000
+LARGE_COMPANY = 50_000
 
 # fixed values: what is searched for each section in the filings, and (with the symbol before it) on the web
 FILING_QUERIES = {
@@ -100,6 +103,19 @@ def statistics(rows: DataFrame, asked: list[str]) -> DataFrame:
     return whole.join(known, "symbol", "left").select("symbol", "n", "avgdl", F.when(F.col("known").isNotNull(), df).alias("df"))
 
 
+def joined(rows: DataFrame, side: DataFrame) -> DataFrame:
+    """rows with the one row that side has of their symbol (n: its chunks), however many rows a symbol has.
+
+    A small side is broadcast; of a larger one the symbols with many chunks, of which there can be few, so that no task
+    gets a whole large company.
+    """
+    side = _stored(rows.sparkSession, side, "side")
+    if side.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE:
+        return rows.join(F.broadcast(side), "symbol")
+    large = F.broadcast(side.filter(F.col("n") > LARGE_COMPANY))
+    return rows.join(large, "symbol").unionByName(rows.join(large.select("symbol"), "symbol", "left_anti").join(side, "symbol"))
+
+
 def hits(rows: DataFrame, stats: DataFrame, asked: list[str], queries: list[tuple[str, str, int]], wanted: DataFrame | None = None, k: int = SIDE_K) -> DataFrame:
     """symbol, section, list (0 vectors, 1 words), source, parent_idx, score, rank: the k best chunks of each list.
 
@@ -107,8 +123,7 @@ def hits(rows: DataFrame, stats: DataFrame, asked: list[str], queries: list[tupl
     (symbol, sections) only those sections of those companies are searched, among all chunks.  Scores count to nine
     places; ties go to the smaller place in the filings.
     """
-    rows = rows.withColumnRenamed("section", "own").join(stats, "symbol")
-    rows = rows if wanted is None else rows.join(wanted, "symbol")
+    rows = joined(rows.withColumnRenamed("section", "own"), stats if wanted is None else stats.join(wanted, "symbol"))
     part = lambda t: term_score(idf(F.col("n"), F.get("df", t["term"])), t["times"].cast("double"), F.col("len"), F.col("avgdl"))
     parts = F.transform("terms", lambda t: F.struct(t["term"].alias("term"), part(t).alias("score")))
     place = {t: i for i, t in enumerate(asked)}
@@ -153,7 +168,7 @@ def section_passages(filings: DataFrame, queries: dict[str, str] | None = None,
     parents = chunking.parents(docs, F.col("source"), F.col("content"), F.col("section"), keep=("symbol",))
     rows, asked = searched(chunking.children(parents, keep=("symbol",)), [q for _, q, _ in texts + again])
     rows = _stored(spark, rows, "searched")
-    stats = statistics(rows, asked)
+    stats = _stored(spark, statistics(rows, asked), "statistics")
     first = _stored(spark, hits(rows, stats, asked, texts), "hits")
     sections = spark.createDataFrame([(s,) for s in queries], "section string")  # as many as there are sections
     sure = first.filter((F.col("list") == 0) & (F.col("rank") == 1) & (F.col("score") >= LOW_CONFIDENCE)).select("symbol", "section")
