@@ -11,8 +11,11 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from filigrane.functions import text as T
 from filigrane.functions import vectors as V
 from filigrane.operators.bm25 import ranked
+from filigrane.session import bounded
 
 BUCKETS = 128
+#: Words whose buckets a task keeps; beyond, they are asked anew.
+KNOWN_WORDS = 200_000
 
 
 def search(items: DataFrame, key: str, vector: str, query: DataFrame, query_vector: str, k: int, boost: Column | None = None) -> DataFrame:
@@ -38,6 +41,8 @@ def hash_vectors(tokens, buckets: int, known: dict[str, int]):
     n = len(tokens)
     words = tokens.flatten().dictionary_encode()
     own = words.dictionary.to_pylist()
+    if len(known) > KNOWN_WORDS:  # a vocabulary grows with the texts
+        known.clear()
     for w in own:
         if w not in known:
             known[w] = bucket_of(w, buckets)
@@ -59,6 +64,7 @@ def embedded(docs: DataFrame, key: str, text: str, buckets: int = BUCKETS, embed
     def run(batches):
         import pyarrow as pa
 
+        pa.set_memory_pool(pa.system_memory_pool())  # the default pool keeps what it frees
         known: dict[str, int] = {}
         for batch in batches:
             if embed is None:
@@ -68,6 +74,7 @@ def embedded(docs: DataFrame, key: str, text: str, buckets: int = BUCKETS, embed
                 vectors = pa.array(embed([t or "" for t in batch.column(2).to_pylist()]), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), vectors, batch.column(1)], names=[key, "embedding", "boost"])
 
+    bounded(docs.sparkSession)
     said = F.coalesce(F.col(text), F.lit(""))
     source = docs.select(F.col(key), V.table_boost(said).alias("boost"), (T.tokens(said) if embed is None else said).alias("words"))
     return source.mapInArrow(run, StructType([source.schema[0], StructField("embedding", ArrayType(DoubleType())), StructField("boost", DoubleType())]))
