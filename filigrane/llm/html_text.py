@@ -2,15 +2,19 @@
 
 A page's markup gives blocks of text and where they stand: in an article, in the main part, in the open, or
 in furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments).  Furniture and open blocks
-are token streams.  All pages of a host are concatenated, the suffixes sorted, and tokens in substrings of
-RUN tokens or more that repeat on distinct pages are covered.  A page's text is its article; without one, its
+are token streams.  The suffixes of all pages of a host are sorted into one suffix array, and tokens in substrings
+of RUN tokens or more that repeat on distinct pages are covered.  A page's text is its article; without one, its
 main part; without either, its open blocks without those that are covered as a whole, and of the others the
-runs that no repeat inside the block covers.  What stands in an article is never removed for being repeated.
+runs that no repeat inside the block covers.
 
-A batch of pages is sorted in one task, by tokens that include the host.  Each repeated or single neighbourhood
-of suffixes then goes on as one row, with its smallest and largest page, so that repeats across batches are
-found by one aggregation, however many pages a host has.  Pages whose open text is the same or nearly so (the
-Jaccard join's components) are copies of one page: what only copies share is no boilerplate and stays in each.
+Blocks of an article or main part have suffixes in the array too, each from where it begins.  Such a block is a
+notice, and goes, only if it stands as a whole on PAGES pages of its host at least and on most of all of them;
+else what stands in an article is never removed for being repeated.
+
+A batch of pages is sorted in one task.  Suffixes that are equal as deep as they are sorted go on as one row, and
+Spark's sort by host and tokens merges the batches' arrays, however many pages a host has.  Neighbours that share
+RUN tokens are a repeat.  Pages whose text is the same or nearly so (the Jaccard join's components) are copies of
+one page: what only copies share is no boilerplate and stays in each.
 """
 
 from __future__ import annotations
@@ -24,10 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigrane.llm.jaccard_join import similar_components
-from filigrane.llm.shared import gathered, prepare, staged, table
+from filigrane.llm.shared import column, gathered, prepare, staged, table
 
 #: Tokens that a repeated substring has at least.
 RUN = 8
+#: Pages, copies counted once, on which a block of an article stands at least when it is a notice.
+PAGES = 8
+#: Bytes of a host and of a token in the array's keys.
+_HOST_BYTES, _TOKEN_BYTES = 4, 6
 OPEN, MAIN, ARTICLE = range(3)
 #: Other places while a page is read: furniture, a form, an article in furniture, what is never shown.
 _ASIDE, _FORM, _AGAIN, _UNSHOWN = -1, -2, -3, -4
@@ -255,23 +263,11 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def token_numbers(host: str, words: list[str]) -> np.ndarray:
-    """64-bit numbers of a host's words; equal words of different hosts differ."""
+def token_numbers(host: int, words: list[str]) -> np.ndarray:
+    """64-bit numbers of a host's words; equal words of different hosts differ. host: its number."""
     import xxhash
 
-    seed = xxhash.xxh3_64_intdigest(host)
-    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))
-
-
-def window_keys(stream: np.ndarray, run: int = RUN) -> np.ndarray:
-    """A 64-bit number of the run tokens from each position; there are fewer positions than tokens by run - 1."""
-    n = len(stream) - run + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = stream[:n].copy()
-    for k in range(1, run):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + stream[k : k + n]
-    return out
+    return np.fromiter((xxhash.xxh3_64_intdigest(w, host) for w in words), np.uint64, len(words))
 
 
 def suffix_groups(streams: list[np.ndarray], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
@@ -299,12 +295,150 @@ def suffix_groups(streams: list[np.ndarray], run: int = RUN) -> tuple[np.ndarray
     return order, rank[order]
 
 
+def suffix_keys(hosts: np.ndarray, flat: np.ndarray, at: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Sort keys, one row of bytes each: a host's number, then those of the run tokens of flat from a place."""
+    number = lambda x, n: x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :n]
+    tokens = number(flat, _TOKEN_BYTES)
+    return np.hstack([number(hosts, _HOST_BYTES), *(tokens[at + k] for k in range(run))])
+
+
+def _binary(keys: np.ndarray):
+    """Rows of bytes as an Arrow array."""
+    import pyarrow as pa
+
+    n, width = keys.shape
+    return pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(keys))])
+
+
+_SUFFIXES = "key binary, low long, high long, least long, most long, starts int, rows array<long>, places array<int>"
+_NONE = (2**63 - 1, -(2**63))  # smallest and largest of no pages
+
+
+def page_suffixes(pages: DataFrame, run: int = RUN) -> DataFrame:
+    """The suffixes of run tokens or more of pages' furniture and open text, those of a batch that share run tokens as one row.
+
+    pages: row, page, family, host (all long), words (array<string>), open (boolean).  key: host and run tokens;
+    low to most: smallest and largest page and family; starts: 0; rows, places: where the suffixes of open pages begin.
+    """
+
+    def sort(batches):
+        import pyarrow as pa
+
+        for part in gathered(batches, 4_000_000):
+            hosts = column(part, "host").to_numpy().view(np.uint64)
+            words = column(part, "words")
+            sizes = words.value_lengths().to_numpy()
+            streams = [token_numbers(h, w) for h, w in zip(hosts.tolist(), words.to_pylist(), strict=True)]
+            order, group = suffix_groups(streams, run)
+            if not len(order):
+                continue
+            begin = np.cumsum(sizes) - sizes
+            owner = np.repeat(np.arange(len(streams)), sizes)[order]
+            first = np.flatnonzero(np.diff(group, prepend=-1))
+            kept = np.array(column(part, "open"))[owner]
+            offsets = np.append(np.concatenate([[0], np.cumsum(kept)])[first], kept.sum()).astype(np.int32)
+            rows, places = column(part, "row").to_numpy()[owner[kept]], (order - begin[owner])[kept].astype(np.int32)
+            ends = [f.reduceat(column(part, c).to_numpy()[owner], first) for c in ("page", "family") for f in (np.minimum, np.maximum)]
+            arrays = [
+                _binary(suffix_keys(hosts[owner[first]], np.concatenate(streams), order[first], run)), *map(pa.array, ends), pa.array(np.zeros(len(first), np.int32)),
+                pa.ListArray.from_arrays(offsets, pa.array(rows)), pa.ListArray.from_arrays(offsets, pa.array(places)),
+            ]
+            yield from pa.table(arrays, names=["key", "low", "high", "least", "most", "starts", "rows", "places"]).to_batches(max_chunksize=20_000)
+
+    return pages.select("row", "page", "family", "host", "words", "open").mapInArrow(sort, _SUFFIXES)
+
+
+def block_suffixes(texts: DataFrame, run: int = RUN) -> DataFrame:
+    """The suffixes of texts' blocks (lines) of run tokens or more, each from where its block begins, as page_suffixes gives its own.
+
+    texts: row, host (long), text.  starts: the blocks; places: ~block of each.
+    """
+
+    def begin(batches):
+        import pyarrow as pa
+
+        for part in gathered(batches, 2_000_000):
+            at, streams = [], []
+            hosts = column(part, "host").to_numpy().view(np.uint64)
+            for i, (host, text) in enumerate(zip(hosts.tolist(), column(part, "text").to_pylist(), strict=True)):
+                own = [(k, words[:run]) for k, block in enumerate(text.split("\n")) if len(words := block.split(" ", run)) >= run]
+                at += [(i, k) for k, _ in own]
+                streams.append(token_numbers(host, [w for _, words in own for w in words]))
+            if not at:
+                continue
+            owner, block = np.array(at).T
+            keys = suffix_keys(hosts[owner], np.concatenate(streams), np.arange(len(at)) * run, run)
+            _, first, group, n = np.unique(keys.view(f"V{keys.shape[1]}").ravel(), return_index=True, return_inverse=True, return_counts=True)
+            order, offsets = np.argsort(group, kind="stable"), np.append(0, np.cumsum(n)).astype(np.int32)
+            arrays = [
+                _binary(keys[first]), *(pa.array(np.full(len(n), e)) for e in _NONE * 2), pa.array(n.astype(np.int32)),
+                pa.ListArray.from_arrays(offsets, pa.array(column(part, "row").to_numpy()[owner[order]])), pa.ListArray.from_arrays(offsets, pa.array((~block[order]).astype(np.int32))),
+            ]
+            yield from pa.table(arrays, names=["key", "low", "high", "least", "most", "starts", "rows", "places"]).to_batches(max_chunksize=20_000)
+
+    return texts.select("row", "host", "text").mapInArrow(begin, _SUFFIXES)
+
+
+def suffix_array(suffixes: DataFrame) -> DataFrame:
+    """One array of the suffixes of all pages, host after host: equal ones are neighbours, in one partition."""
+    return suffixes.repartitionByRange("key").sortWithinPartitions("key")
+
+
+def repeats(array: DataFrame) -> DataFrame:
+    """row, place, n of the suffixes in a suffix array that repeat: neighbours share their tokens as deep as they are sorted.
+
+    A place of 0 or more is that of a suffix of an open page that distinct pages share which are no copies; one below
+    is ~block of an article's block, and n blocks, PAGES or more, begin like it.  A task holds the places of one
+    repeat, 12 bytes each.
+    """
+
+    def scan(batches):
+        import pyarrow as pa
+
+        held, key, (low, high), (least, most), starts = [], None, _NONE, _NONE, 0
+
+        def told():
+            """The places of the neighbours held, if they are repeats of a kind."""
+            for rows, places in held:
+                wanted = ((places >= 0) & (low != high and least != most)) | ((places < 0) & (starts >= PAGES))
+                if wanted.any():
+                    yield rows[wanted], places[wanted], np.full(wanted.sum(), starts)
+
+        for part in gathered(batches, 4_000_000):
+            keys = column(part, "key")
+            n = len(keys)
+            flat = np.frombuffer(keys.buffers()[2], np.uint8)
+            bounds = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + n + 1]
+            flat = flat[bounds[0] : bounds[-1]].reshape(n, -1)
+            first = np.flatnonzero(np.append(True, (flat[1:] != flat[:-1]).any(axis=1)))
+            ends = [f.reduceat(column(part, c).to_numpy(), first) for c, f in (("low", np.minimum), ("high", np.maximum), ("least", np.minimum), ("most", np.maximum), ("starts", np.add))]
+            offsets = np.concatenate([[0], np.cumsum(column(part, "rows").value_lengths().to_numpy())])
+            rows, places = (column(part, c).flatten().to_numpy() for c in ("rows", "places"))
+            out = []
+            for i, (a, b, *found) in enumerate(zip(offsets[first].tolist(), offsets[np.append(first[1:], n)].tolist(), *(e.tolist() for e in ends), strict=True)):
+                if i or key != flat[0].tobytes():
+                    out += told()
+                    held = []
+                    low, high, least, most, starts = found
+                else:
+                    low, high, least, most, starts = min(low, found[0]), max(high, found[1]), min(least, found[2]), max(most, found[3]), starts + found[4]
+                if b > a:
+                    held.append((rows[a:b].copy(), places[a:b].copy()))
+            key = flat[-1].tobytes()
+            if out:
+                yield from pa.table([np.concatenate(c) for c in zip(*out)], names=["row", "place", "n"]).to_batches(max_chunksize=100_000)
+        for found in told():
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["row", "place", "n"])
+
+    return array.mapInArrow(scan, "row long, place int, n long")
+
+
 def main_text(pages: DataFrame, run: int = RUN) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
     pages: page_id, url, html; other columns are ignored.  A null or empty html, or one without main text, gives
     an empty text; null urls and those without a host share one host.  Rows that repeat a page_id are pages of their own,
-    but count as one where repeats on distinct pages are looked for, as do pages whose open texts link as
+    but count as one where repeats on distinct pages are looked for, as do pages whose texts link as
     op7_jaccard_join links documents.  Pages of any length are read as a whole; an empty table gives no rows.  It runs
     jobs, and stages what they find.
     """
@@ -312,94 +446,98 @@ def main_text(pages: DataFrame, run: int = RUN) -> DataFrame:
 
     def parse(batches):
         import pyarrow as pa
+        import xxhash
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 40
         for part in gathered(batches, 4_000_000):
-            texts, streams, opened = [], [], []
+            texts, hosts, streams, opened = [], [], [], []
             for url, page in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
                 blocks = blocks_of(page or "")
                 best = max((p for p, _ in blocks), default=OPEN)
                 texts.append("\n".join(t for p, t in blocks if p == best) if best > OPEN else None)
-                rest = [(p, t.split()) for p, t in blocks if p <= OPEN]
                 try:
                     host = (urlsplit(url or "").hostname or "").lower()
                 except ValueError:
                     host = ""
-                numbers = token_numbers(host, [w for _, words in rest for w in words])
-                streams.append(numbers.view(np.int64))
-                at, own = 0, []
-                for p, words in rest:
-                    if p == OPEN and best <= OPEN:
-                        own.append({"at": at, "words": words})
-                    at += len(words)
+                hosts.append(xxhash.xxh3_64_intdigest(host))
+                words, own = [], []
+                for p, t in blocks:
+                    if p <= OPEN:
+                        at = len(words)
+                        words += t.split()
+                        if p == OPEN and best <= OPEN:
+                            own.append({"at": at, "end": len(words)})
+                streams.append(words)
                 opened.append(own)
             n = len(texts)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(row, row + n)), *(part.column(c).combine_chunks() if part.column(c).num_chunks != 1 else part.column(c).chunk(0) for c in ("page_id", "url")),
-                    pa.array(texts, pa.string()), pa.array(streams, pa.list_(pa.int64())), pa.array(opened, pa.list_(pa.struct([("at", pa.int64()), ("words", pa.list_(pa.string()))]))),
+                    pa.array(np.arange(row, row + n)), column(part, "page_id"), column(part, "url"), pa.array(np.array(hosts, np.uint64).view(np.int64)), pa.array(texts, pa.string()),
+                    pa.array(streams, pa.list_(pa.string())), pa.array(opened, pa.list_(pa.struct([("at", pa.int32()), ("end", pa.int32())]))),
                 ],
-                names=["row", "page_id", "url", "text", "stream", "opened"],
+                names=["row", "page_id", "url", "host", "text", "words", "opened"],
             )
             row += n
 
-    def sort(batches):
-        import pyarrow as pa
-
-        for part in gathered(batches, 8_000_000):
-            streams = [np.array(s, np.int64).view(np.uint64) for s in part.column("stream").to_pylist()]
-            order, group = suffix_groups(streams, run)
-            if not len(order):
-                continue
-            owner = np.repeat(np.arange(len(streams)), [len(s) for s in streams])[order]
-            first = np.flatnonzero(np.diff(group, prepend=-1))
-            # one key a group, from its first suffix
-            flat = np.concatenate(streams)
-            at = order[first]
-            key = flat[at].copy()
-            for k in range(1, run):
-                key = key * np.uint64(0x9E3779B97F4A7C15) + flat[at + k]
-            ends = [pa.array(f.reduceat(part.column(c).to_numpy()[owner], first)) for c in ("page", "family") for f in (np.minimum, np.maximum)]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *ends], names=["key", "low", "high", "least", "most"])
-
     def uncovered(batches):
         import pyarrow as pa
 
         for batch in batches:
             texts = []
-            for opened, stream, repeated in zip(*(batch.column(c).to_pylist() for c in ("opened", "stream", "repeated")), strict=True):
-                keys = window_keys(np.array(stream, np.int64).view(np.uint64), run).view(np.int64)
-                hit = np.flatnonzero(np.isin(keys, np.array(repeated or [], np.int64)))
-                kept = []
+            for opened, words, places in zip(*(batch.column(c).to_pylist() for c in ("opened", "words", "places")), strict=True):
+                hit, kept = np.sort(np.array(places or [], np.int64)), []
                 for b in opened:
-                    lo, hi = b["at"], b["at"] + len(b["words"])
+                    lo, hi = b["at"], b["end"]
                     if _covered(hit, run, lo, hi).all():
                         continue
                     own = _covered(hit[(hit >= lo) & (hit + run <= hi)], run, lo, hi)
-                    kept.append(" ".join(w for w, gone in zip(b["words"], own.tolist(), strict=True) if not gone))
+                    kept.append(" ".join(w for w, gone in zip(words[lo:hi], own.tolist(), strict=True) if not gone))
                 texts.append("\n".join(t for t in kept if t))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parsed = staged(spark, source.mapInArrow(parse, "row long, page_id long, url string, text string, stream array<long>, opened array<struct<at: long, words: array<string>>>"), "parsed")
-    open_pages = parsed.filter("text is null")
+    made = source.mapInArrow(parse, "row long, page_id long, url string, host long, text string, words array<string>, opened array<struct<at: int, end: int>>")
+    parsed = staged(spark, made, "parsed", compression="zstd")
+    whole, open_pages = parsed.filter("text is not null"), parsed.filter("text is null")
     page = F.coalesce("page_id", -1 - F.col("row")).alias("page")
     if open_pages.isEmpty():
         numbered = parsed.withColumn("family", F.col("row"))
     else:
-        body = F.array_join(F.flatten(F.transform("opened", lambda b: b["words"])), " ").alias("text")
-        linked = similar_components(open_pages.select(F.col("row").alias("doc_id"), body)).filter("component_id <> doc_id")
-        numbered = parsed.join(staged(spark, linked.select(F.col("doc_id").alias("row"), "component_id"), "copies"), "row", "left").withColumn("family", F.coalesce("component_id", "row"))
-    groups = numbered.filter(F.size("stream") >= run).select(page, "family", "stream").mapInArrow(sort, "key long, low long, high long, least long, most long")
-    # where both differ, two rows of the key differ in both
-    ends = groups.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("least").alias("least"), F.max("most").alias("most"))
-    repeats = ends.filter("low <> high and least <> most").select("key")
-    windows = open_pages.select("row", "stream").mapInArrow(lambda batches: _windows(batches, run), "row long, key long")
-    found = windows.join(staged(spark, repeats, "repeats"), "key").groupBy("row").agg(F.collect_set("key").alias("repeated"))
-    rest = open_pages.join(staged(spark, found, "covered"), "row", "left").select("page_id", "url", "opened", "stream", "repeated").mapInArrow(uncovered, "page_id long, url string, text string")
-    out = parsed.filter("text is not null").select("page_id", "url", "text").unionByName(rest)
-    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+        body = F.concat_ws(" ", F.flatten(F.transform("opened", lambda b: F.slice("words", b["at"] + 1, b["end"] - b["at"])))).alias("text")
+        numbered = _families(parsed, open_pages.select(F.col("row").alias("doc_id"), body))
+    streams = page_suffixes(numbered.filter(F.size("words") >= run).select("row", page, "family", "host", "words", F.col("text").isNull().alias("open")), run)
+    found = staged(spark, repeats(suffix_array(streams.unionByName(block_suffixes(whole, run)))), "repeats")
+    covered = found.filter("place >= 0").groupBy("row").agg(F.collect_list("place").alias("places"))
+    rest = open_pages.join(covered, "row", "left").select("page_id", "url", "opened", "words", "places").mapInArrow(uncovered, "page_id long, url string, text string")
+    told = whole.join(_notices(whole.select("row", page, "host", "text"), parsed.groupBy("host").agg(F.count("*").alias("pages")), found), "row", "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")
+    told = told.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept))
+    return told.select("page_id", "url", "text").unionByName(rest).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def _notices(whole: DataFrame, on_hosts: DataFrame, found: DataFrame) -> DataFrame:
+    """row, gone: the blocks of whole texts that stand, as a whole, on PAGES pages of a host or more and on most of all.
+
+    whole: row, page, host, text; found: what repeats gives.  Only pages with a block that begins like those
+    of so many rows are compared, to count copies once; most of a host's pages are those of all, copies included.
+    """
+    begun = found.filter("place < 0").join(whole.select("row", "host"), "row").join(on_hosts, "host").filter("2 * n > pages")
+    begun = staged(whole.sparkSession, begun.select("row", (-1 - F.col("place")).alias("block"), "pages"), "begun")
+    if begun.isEmpty():
+        return begun.select("row", F.array("block").alias("gone"))
+    maybe = whole.join(begun.select("row").distinct(), "row", "left_semi")
+    maybe = _families(maybe, maybe.select(F.col("row").alias("doc_id"), "text"))
+    blocks = maybe.select("row", "page", "host", "family", F.posexplode(F.split("text", "\n")).alias("block", "t")).withColumn("t", F.sha2("t", 256)).join(begun, ["row", "block"])
+    ranks = blocks.groupBy("host", "t", "pages").agg(F.least(F.countDistinct("page"), F.countDistinct("family")).alias("n"))
+    blocks = blocks.join(ranks.filter((F.col("n") >= PAGES) & (2 * F.col("n") > F.col("pages"))).select("host", "t"), ["host", "t"], "left_semi")
+    return staged(whole.sparkSession, blocks.groupBy("row").agg(F.collect_set("block").alias("gone")), "notices")
+
+
+def _families(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """rows and their family: the row of the first of the texts that links reach, else their own."""
+    linked = similar_components(texts).filter("component_id <> doc_id").select(F.col("doc_id").alias("row"), "component_id")
+    return rows.join(staged(rows.sparkSession, linked, "copies"), "row", "left").withColumn("family", F.coalesce("component_id", "row"))
 
 
 def _covered(starts: np.ndarray, run: int, lo: int, hi: int) -> np.ndarray:
@@ -411,19 +549,6 @@ def _covered(starts: np.ndarray, run: int, lo: int, hi: int) -> np.ndarray:
     return np.cumsum(edges)[:-1] > 0
 
 
-def _windows(batches, run: int):
-    import pyarrow as pa
-
-    for batch in batches:
-        rows, keys = [], []
-        for row, stream in zip(batch.column("row").to_pylist(), batch.column("stream").to_pylist(), strict=True):
-            own = np.unique(window_keys(np.array(stream, np.int64).view(np.uint64), run))
-            rows.append(np.full(own.size, row, np.int64))
-            keys.append(own.view(np.int64))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(keys))], names=["row", "key"])
-
-
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     prepare(spark)

@@ -504,6 +504,50 @@ def test_suffix_groups():
     assert len(set(zip(runs, group.tolist()))) == len(set(runs)) == len(set(group.tolist()))
 
 
+def test_host_suffix_array_is_one_over_all_batches(spark):
+    rng = random.Random(4)
+    rows = [(i, i, i, i % 2, [rng.choice("abc") for _ in range(rng.randrange(0, 60))], i % 3 == 0) for i in range(90)]
+    pages = spark.createDataFrame(rows, "row long, page long, family long, host long, words array<string>, open boolean").repartition(7)
+    run = 4
+    array = html_text.suffix_array(html_text.page_suffixes(pages, run)).collect()
+    keys = [bytes(r.key) for r in array]
+    assert keys == sorted(keys)  # over all partitions
+    met, name = {}, lambda r, k: html_text.suffix_keys(np.array([r[3]], np.uint64), html_text.token_numbers(r[3], r[4]), np.array([k]), run).tobytes()
+    for r in rows:
+        for k in range(len(r[4]) - run + 1):
+            met.setdefault((r[3], *r[4][k : k + run]), []).append((r, k))
+    assert len(set(keys)) == len(met) and set(keys) == {name(*places[0]) for places in met.values()}
+    opened = sorted((row, place) for r in array for row, place in zip(r.rows, r.places))
+    assert opened == sorted((r[0], k) for places in met.values() for r, k in places if r[5])
+    got = sorted((r.row, r.place) for r in html_text.repeats(html_text.suffix_array(html_text.page_suffixes(pages, run))).collect())
+    assert got == sorted((r[0], k) for places in met.values() if len({r[0] for r, _ in places}) > 1 for r, k in places if r[5])
+
+
+def test_a_block_on_most_pages_of_a_host_is_no_article(spark):
+    rng = random.Random(8)
+    phrase = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    notice, half, short, copied = phrase(12), phrase(9), phrase(html_text.RUN - 1), phrase(60)
+    rows, want = [], {}
+
+    def add(i, host, tag, blocks, gone=()):
+        rows.append((i, f"http://{host}/{i}", f"<{tag}>" + "".join(f"<p>{b}</p>" for b in blocks) + f"</{tag}>"))
+        want[i] = "\n".join(b for b in blocks if b not in gone)
+
+    for i in range(12):
+        own = [phrase(30), notice, phrase(3), *([half] if i % 2 else []), short, notice[:-1] + "x", notice + " and more"]
+        add(i, "most", "article" if i % 3 else "main", own, (notice, notice[:-1] + "x", notice + " and more"))
+    for i in range(20, 20 + html_text.PAGES - 1):
+        add(i, "few", "article", [phrase(30), notice])
+    for i in range(40, 60):  # copies of one page, nearly; with it seven pages have the notice
+        add(i, "copies", "article", [copied, phrase(1), notice])
+    for i in range(60, 66):
+        add(i, "copies", "article", [phrase(30), notice])
+    for i in range(80, 100):
+        add(i, "rest", "article", [phrase(30), *([notice] if i < 90 else [])])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    assert {r.page_id: r.text for r in html_text.main_text(pages).collect()} == want
+
+
 def test_trees_learn_and_flatten():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(3000, 5))
